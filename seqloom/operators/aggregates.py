@@ -110,14 +110,12 @@ def standard_scale(df: DataFrame, vector: str) -> DataFrame:
         ).alias("sd"),
     )
     table = stats.select(F.arrays_zip("mean", "sd").alias("t")).scalar()
-    return df.withColumn(
-        vector,
-        F.zip_with(
-            F.col(vector).cast("array<double>"),
-            table,
-            lambda x, t: (x - t["mean"]) / F.when(t["sd"] > 0, t["sd"]).otherwise(1.0),
-        ),
+    scaled = F.zip_with(
+        F.col(vector).cast("array<double>"),
+        F.col("_stats"),
+        lambda x, t: (x - t["mean"]) / F.when(t["sd"] > 0, t["sd"]).otherwise(1.0),
     )
+    return df.withColumn("_stats", table).withColumn(vector, scaled).drop("_stats")
 
 
 # ---- results -----------------------------------------------------------------------------

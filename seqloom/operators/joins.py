@@ -60,9 +60,9 @@ def homology_lookup(df: DataFrame, homology: DataFrame, order: str = "ordinal")
 def attach_embeddings(df: DataFrame, embeddings: DataFrame, key: str = "row_id", check: bool = True) -> DataFrame:
     """Join vectors by row id. With `check`, differing row sets are an error rather than a shorter table."""
     if check:
-        unmatched = df.select(key).join(embeddings.select(key), key, "full_outer").filter(
-            df[key].isNull() | embeddings[key].isNull()
-        )
+        left = df.select(key, F.lit(1).alias("_left"))
+        right = embeddings.select(key, F.lit(1).alias("_right"))
+        unmatched = left.join(right, key, "full_outer").filter("_left IS NULL OR _right IS NULL")
         if unmatched.limit(1).count():
             raise ValueError("rows and embeddings do not match one to one")
     return df.join(embeddings, key)

@@ -52,7 +52,7 @@ def sink_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
 def scan_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     """Comma-separated measurements with a header; gzip files are read as they are.
 
-    Columns are matched by position, as the reader does with a declared schema.
+    The header must name the schema's columns in its order.
     """
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
 
@@ -81,13 +81,13 @@ def scan_csv_multi(spark: SparkSession, glob: str, key: str = "utr", value: str
 def tensor_rows(df: DataFrame, tensor: str = "X") -> DataFrame:
     """Rows of an L x 6 tensor to `sequence, cds, splice`; the other columns stay."""
     x = F.col(tensor)
-    out = df.withColumn("sequence", S.ohe_to_str(x))
-    return out.withColumns(
-        {
-            name: S.trim_track(F.transform(x, lambda r, at=at: F.element_at(r, at).cast("tinyint")), F.col("sequence"))
-            for name, at in (("cds", 5), ("splice", 6))
-        }
-    ).drop(tensor)
+
+    def track(at: int):
+        column = F.transform(x, lambda row: F.element_at(row, at).cast("tinyint"))
+        return S.trim_track(column, F.col("sequence"))
+
+    rows = df.withColumn("sequence", S.ohe_to_str(x))
+    return rows.withColumns({"cds": track(5), "splice": track(6)}).drop(tensor)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
