@@ -23,28 +23,28 @@ class BaseCounter:
         return np.concatenate([self.embed_sequence(sequence, pool), [cds.sum(), splice.sum()]])
 
 
-SHARES = ", ".join(
-    f"CASE WHEN length(sequence) > 0 THEN round((length(sequence) - length(replace(sequence, '{b}', ''))) / length(sequence), 5) ELSE 0 END AS {b.lower()}"
-    for b in "ACGT"
-)
+COUNTS = ", ".join(f"length(sequence) - length(replace(sequence, '{b}', '')) AS {b.lower()}" for b in "ACGT")
 
 
 def columns(v):
-    return [F.round(v[i].cast("double"), 5).alias(n) for i, n in enumerate("acgt")]
+    """Base counts: the pooled shares times the length."""
+    return [F.round(v[i].cast("double") * F.length("sequence")).cast("bigint").alias(n) for i, n in enumerate("acgt")]
 
 
-@query("embed_udf", ctes("seqs") + f"SELECT row_id, {SHARES} FROM seqs")
+@query("embed_udf", ctes("seqs") + f"SELECT row_id, {COUNTS} FROM seqs")
 def embed_udf(spark, sf):
     run = E.embed_udf(BaseCounter)
-    return D.sequences(spark, sf).select("row_id", run("sequence").alias("v")).select("row_id", *columns(F.col("v")))
+    rows = D.sequences(spark, sf).select("row_id", "sequence", run("sequence").alias("v"))
+    return rows.select("row_id", *columns(F.col("v")))
 
 
 @query(
     "embed_dataset",
-    ctes("tracks") + f"SELECT row_id, {SHARES}, coalesce(list_sum(cds), 0)::BIGINT AS codons, coalesce(list_sum(splice), 0)::BIGINT AS exons FROM tracks",
+    ctes("tracks") + f"SELECT row_id, {COUNTS}, coalesce(list_sum(cds), 0)::BIGINT AS codons, coalesce(list_sum(splice), 0)::BIGINT AS exons FROM tracks",
 )
 def embed_dataset(spark, sf):
-    out = E.embed_dataset(D.tracks(spark, sf), BaseCounter, sixtrack=True)
+    rows = D.tracks(spark, sf)
+    out = E.embed_dataset(rows, BaseCounter, sixtrack=True).join(rows.select("row_id", "sequence"), "row_id")
     v = F.col("embedding")
     return out.select("row_id", *columns(v), v[4].cast("bigint").alias("codons"), v[5].cast("bigint").alias("exons"))
 

@@ -93,20 +93,6 @@ def welch_t(spark, sf):
 # ---- probes ------------------------------------------------------------------------------
 
 
-def embedded(spark, sf):
-    """All vectors with a value, a binary and a ten-way target, and chromosomes to split by."""
-    label = F.col("label")
-    return D.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("row_id"),
-        "embedding",
-        (label < 5).cast("int").alias("binary"),
-        (label + F.col("embedding")[0].cast("double")).alias("value"),
-        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (label == i).cast("int")).alias("many"),
-        F.concat(F.lit("g"), (F.col("vec_id") % 40).cast("string")).alias("gene"),
-        (F.col("vec_id") % 23).cast("string").alias("chromosome"),
-    )
-
-
 def weights(probe, spark):
     rows = [(i, j, float(w)) for i, c in enumerate(probe.coef) for j, w in enumerate([probe.intercept[i], *c])]
     return spark.createDataFrame(rows, "label int, term int, weight double")
@@ -152,36 +138,96 @@ def probe_ridge_fallback(spark, sf):
     return out.select("term", F.round("weight", 7).alias("weight"))
 
 
-@query("probe_logistic")
+NEWTON = """
+    it(label, k, a, b) AS (
+      SELECT label, 0, 0::DOUBLE, 0::DOUBLE FROM ls
+      UNION ALL
+      SELECT label, k + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+      FROM (SELECT label, k, a, b,
+          list_sum([r.pos - r.n * r.q FOR r IN rs]) AS g0, list_sum([r.x * (r.pos - r.n * r.q) FOR r IN rs]) - b AS g1,
+          list_sum([r.n * r.q * (1 - r.q) FOR r IN rs]) AS h00, list_sum([r.x * r.n * r.q * (1 - r.q) FOR r IN rs]) AS h01,
+          list_sum([r.x * r.x * r.n * r.q * (1 - r.q) FOR r IN rs]) + 1 AS h11
+        FROM (SELECT it.label, k, a, b, [{'x': d.x, 'n': d.n, 'pos': d.pos, 'q': 1 / (1 + exp(-(a + b * d.x)))} FOR d IN ls.data] AS rs
+          FROM it JOIN ls USING (label) WHERE k < 25)))"""
+
+
+@query(
+    "probe_logistic",
+    f"""
+    WITH RECURSIVE g AS (SELECT 0 AS label, l_discount * 10 AS x, count(*) AS n, count(*) FILTER (WHERE l_tax < 0.04 OR l_discount > 0.07) AS pos FROM lineitem GROUP BY l_discount),
+    ls AS (SELECT label, list({{'x': x, 'n': n, 'pos': pos}}) AS data FROM g GROUP BY label), {NEWTON}
+    SELECT label, t.term::INT AS term, round(CASE t.term WHEN 0 THEN a ELSE b END, 3) AS weight FROM it, range(2) t(term) WHERE k = 25
+    """,
+)
 def probe_logistic(spark, sf):
-    rows = embedded(spark, sf)
-    probe = P.probe_logistic(rows.withColumn("target", F.col("binary")))
-    return probe.predict(rows).select("row_id", "p")
+    """A flag on discount over all line items, beside Newton's method on the same penalised loss."""
+    flag = ((F.col("l_tax") < 0.04) | (F.col("l_discount") > 0.07)).cast("int")
+    rows = D.table(spark, sf, "lineitem").select(F.array(F.col("l_discount") * 10).alias("embedding"), flag.alias("target"))
+    return weights(P.probe_logistic(rows), spark).withColumn("weight", F.round("weight", 3))
 
 
-@query("probe_multilabel")
+@query(
+    "probe_multilabel",
+    f"""
+    WITH RECURSIVE g AS (SELECT i AS label, l_discount * 10 AS x, count(*) AS n, count(*) FILTER (WHERE CASE i WHEN 0 THEN l_returnflag = 'A' OR l_discount > 0.08 WHEN 1 THEN l_tax > 0.05 ELSE l_quantity > 10 AND l_discount > 0.01 END) AS pos
+      FROM lineitem, (VALUES (0), (1), (2)) t(i) GROUP BY l_discount, i),
+    ls AS (SELECT label, list({{'x': x, 'n': n, 'pos': pos}}) AS data FROM g GROUP BY label), {NEWTON}
+    SELECT label, t.term::INT AS term, round(CASE t.term WHEN 0 THEN a ELSE b END, 3) AS weight FROM it, range(2) t(term) WHERE k = 25
+    """,
+)
 def probe_multilabel(spark, sf):
-    rows = embedded(spark, sf)
-    probe = P.probe_multilabel(rows.withColumn("target", F.col("many")))
-    return probe.predict(rows).select("row_id", F.posexplode("p").alias("label", "p"))
+    """Three flags at once, each beside its own Newton solution."""
+    d = F.col("l_discount")
+    flags = [(F.col("l_returnflag") == "A") | (d > 0.08), F.col("l_tax") > 0.05, (F.col("l_quantity") > 10) & (d > 0.01)]
+    rows = D.table(spark, sf, "lineitem").select(
+        F.array(d * 10).alias("embedding"), F.array(*[f.cast("int") for f in flags]).alias("target")
+    )
+    return weights(P.probe_multilabel(rows), spark).withColumn("weight", F.round("weight", 3))
+
+
+def runs_sql(seeds: str) -> str:
+    return f"""
+    WITH d AS (SELECT p_partkey AS row_id, p_size::DOUBLE AS x, p_retailprice + p_size * 10 AS y, seed, md5(p_partkey || ':' || seed) AS h FROM part, (VALUES {seeds}) t(seed)),
+    a AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY h, row_id) <= ceil(count(*) OVER (PARTITION BY seed) * 0.3::DOUBLE) AS held FROM d),
+    b AS (SELECT row_id, seed, row_number() OVER (PARTITION BY seed ORDER BY h, row_id) <= ceil(count(*) OVER (PARTITION BY seed) * 0.5::DOUBLE) AS test FROM a WHERE held),
+    s AS (SELECT row_id, seed, x, y, CASE WHEN NOT held THEN 'train' WHEN test THEN 'test' ELSE 'val' END AS split FROM a LEFT JOIN b USING (row_id, seed)),
+    w AS (SELECT seed, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s WHERE split = 'train' GROUP BY seed),
+    q AS (SELECT seed, split, y, a + b * x AS p, rank() OVER (PARTITION BY seed, split ORDER BY x) + (count(*) OVER (PARTITION BY seed, split, x) - 1) / 2 AS rx,
+      rank() OVER (PARTITION BY seed, split ORDER BY y) + (count(*) OVER (PARTITION BY seed, split, y) - 1) / 2 AS ry, b FROM s JOIN w USING (seed)),
+    m AS (SELECT seed, split, avg((p - y) ** 2) AS mse, corr(p, y) AS r, corr(rx, ry) * sign(max(b)) AS p FROM q GROUP BY seed, split)"""
+
+
+LONG = "SELECT seed, split, 'mse' AS metric, round(mse, 4) AS value FROM m UNION ALL SELECT seed, split, 'r', round(r, 6) FROM m UNION ALL SELECT seed, split, 'p', round(p, 6) FROM m"
+
+
+def priced(spark, sf):
+    size = F.col("p_size").cast("double")
+    return D.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("row_id"), F.array(size).alias("embedding"), (F.col("p_retailprice") + F.col("p_size") * 10).alias("target")
+    )
+
+
+def rounded(rows):
+    digits = F.when(F.col("metric") == "mse", F.round("value", 4)).otherwise(F.round("value", 6))
+    return rows.withColumn("value", digits)
 
 
-@query("run_probe")
+@query("run_probe", runs_sql("(2541)") + LONG)
 def run_probe(spark, sf):
-    _, rows = P.run_probe(embedded(spark, sf).drop("binary", "many"), "reg_ridge", "value", split_type="chromosome")
-    return rows
+    """Price of a part from its size: random split, least squares, three metrics on three splits."""
+    _, rows = P.run_probe(priced(spark, sf), "reg_lin")
+    return rounded(rows)
 
 
-@query("run_multi_seed")
+@query("run_multi_seed", runs_sql("(2541), (413), (411)") + LONG)
 def run_multi_seed(spark, sf):
-    data = embedded(spark, sf).drop("value", "many")
-    return P.run_multi_seed(data, "classification", (2541, 413), target="binary")
+    return rounded(P.run_multi_seed(priced(spark, sf), "reg_lin", (2541, 413, 411)))
 
 
-@query("fitted_model")
+@query("fitted_model", runs_sql("(413)") + "SELECT 0 AS label, t.term::INT AS term, round(CASE t.term WHEN 0 THEN a ELSE b END, 5) AS weight FROM w, range(2) t(term)")
 def fitted_model(spark, sf):
-    """A saved probe, read back, gives the probe's own weights."""
+    """A saved probe, read back for its seed."""
     path = scratch(spark, "probe")
-    data = embedded(spark, sf).drop("value", "many")
-    P.run_probe(data, "classification", "binary", seed=413, save_to=path)
-    return weights(P.fitted_model(spark, path, 413), spark)
+    for seed in (411, 413):
+        P.run_probe(priced(spark, sf), "reg_lin", seed=seed, save_to=path)
+    return weights(P.fitted_model(spark, path, 413), spark).withColumn("weight", F.round("weight", 5))

@@ -282,7 +282,22 @@ def chunk_backfill(spark, sf):
     return D.sequences(spark, sf).select("row_id", F.posexplode(S.chunk_backfill(F.col("sequence"), 510)).alias("chunk", "piece"))
 
 
-@query("chunk_cds_aware")
+@query(
+    "chunk_cds_aware",
+    "WITH RECURSIVE" + ctes("seqs").removeprefix("WITH")
+    + """
+    , t AS (SELECT row_id, sequence, length(sequence) AS L, length(sequence) // 4 AS u,
+        CASE WHEN row_id % 5 = 0 THEN 0 ELSE length(sequence) - 2 * (length(sequence) // 4) END AS c FROM seqs)
+    , walk(row_id, L, u, c, chunk, a, z) AS (
+      SELECT row_id, L, u, c, -1, 0::BIGINT, 0::BIGINT FROM t
+      UNION ALL
+      SELECT row_id, L, u, c, chunk + 1, z, CASE WHEN e > u AND e <= u + c + 1 AND (e - u) % 3 > 0 AND u + (e - u) // 3 * 3 < u + c THEN e - (e - u) % 3 ELSE e END
+      FROM (SELECT *, least(z + 510, L) AS e FROM walk WHERE z < L))
+    SELECT row_id, chunk, substr(sequence, a + 1, z - a) AS piece,
+      array_to_string([CASE WHEN i >= walk.u AND i < walk.u + walk.c AND (i - walk.u) % 3 = 0 THEN 1 ELSE 0 END FOR i IN range(a, z)], '') AS cds
+    FROM walk JOIN t USING (row_id) WHERE chunk >= 0
+    """,
+)
 def chunk_cds_aware(spark, sf):
     return E.chunk_cds_aware(D.tracks(spark, sf), 510).select(
         "row_id", "chunk", "piece", text(F.col("cds")).alias("cds")

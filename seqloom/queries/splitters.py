@@ -68,20 +68,43 @@ def _with_sequence(spark, sf):
     return D.sequences(spark, sf).select("row_id", "sequence")
 
 
-@query("split_kmer")
+# Which rows k-means puts together is its own affair; what a split must keep is stated beside it.
+WHOLE = "SELECT count(*) AS rows, {clusters} AS clusters, 0::BIGINT AS straddling, true AS reached, true AS needed FROM documents"
+
+
+def kept_whole(spark, sf, splitter, n_clusters):
+    """Rows, clusters, clusters on both sides; whether test reached its share, and needed its last cluster."""
+    seqs = _with_sequence(spark, sf)
+    clusters = X.kmeans_clusters(seqs, 3, n_clusters, SEED)
+    sides = splitter(seqs, SIZE, SEED, n_clusters=n_clusters).select("row_id", "side").join(clusters, "row_id")
+    each = sides.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("side").alias("sides"), F.max("side").alias("side"), shuffle_order("cluster", SEED).alias("k")
+    )
+    test, share = F.col("side") == "test", F.floor(F.sum("n") * SIZE)
+    held = F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    last = F.coalesce(F.max_by(F.when(test, F.col("n")), F.when(test, F.col("k"))), F.lit(0))
+    return each.agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters"), F.count(F.when(F.col("sides") > 1, 1)).alias("straddling"),
+        (held >= share).alias("reached"), (held - last < share).alias("needed"),
+    )
+
+
+@query("split_kmer", WHOLE.format(clusters="10::BIGINT"))
 def split_kmer(spark, sf):
-    return X.split_kmer(_with_sequence(spark, sf), SIZE, SEED).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
+    return kept_whole(spark, sf, X.split_kmer, 10)
 
 
-@query("split_hard_kmer")
+@query("split_hard_kmer", WHOLE.format(clusters="2::BIGINT"))
 def split_hard_kmer(spark, sf):
-    return X.split_hard_kmer(_with_sequence(spark, sf), SIZE, SEED).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
+    return kept_whole(spark, sf, X.split_hard_kmer, 2)
 
 
-@query("kmeans_clusters")
+@query("kmeans_clusters", "SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, 10::BIGINT AS clusters FROM documents")
 def kmeans_clusters(spark, sf):
     out = X.kmeans_clusters(_with_sequence(spark, sf), 3, 10, SEED)
-    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+    return out.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("row_id").alias("ids"), F.countDistinct("cluster").alias("clusters")
+    )
 
 
 THREE = f"""
