@@ -291,7 +291,7 @@ def chunk_backfill(spark, sf):
     , walk(row_id, L, u, c, chunk, a, z) AS (
       SELECT row_id, L, u, c, -1, 0::BIGINT, 0::BIGINT FROM t
       UNION ALL
-      SELECT row_id, L, u, c, chunk + 1, z, CASE WHEN e > u AND e <= u + c + 1 AND (e - u) % 3 > 0 AND u + (e - u) // 3 * 3 < u + c THEN e - (e - u) % 3 ELSE e END
+      SELECT row_id, L, u, c, chunk + 1, z, CASE WHEN e > u AND (e - u) % 3 > 0 AND u + (e - u) // 3 * 3 < u + c AND e - (e - u) % 3 > z THEN e - (e - u) % 3 ELSE e END
       FROM (SELECT *, least(z + 510, L) AS e FROM walk WHERE z < L))
     SELECT row_id, chunk, substr(sequence, a + 1, z - a) AS piece,
       array_to_string([CASE WHEN i >= walk.u AND i < walk.u + walk.c AND (i - walk.u) % 3 = 0 THEN 1 ELSE 0 END FOR i IN range(a, z)], '') AS cds
