@@ -84,20 +84,19 @@ def running_totals(
     task is run again. Each part is one window partition, so even a group with all the rows is
     spread over tasks.
     """
+    if not by:
+        out = running_totals(df.withColumn("_all", F.lit(0)), order, sums, ["_all"], parts)
+        return out.drop("_all")
     by = list(by)
     least_hash = W.partitionBy(*by).orderBy("_hash", order)
     cuts = (
         df.select(*by, order, F.xxhash64(order).alias("_hash"))
         .withColumn("_n", F.row_number().over(least_hash))
-        .filter(F.col("_n") < parts)
+        .filter(F.col("_n") <= parts)
         .groupBy(*by)
         .agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
     )
-    if by:
-        placed = df.join(cuts, by)
-    else:
-        placed = df.withColumn("_cuts", cuts.select("_cuts").scalar())
-    placed = placed.withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))).drop("_cuts")
+    placed = df.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))).drop("_cuts")
 
     group = W.partitionBy(*by)
     earlier = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
