@@ -68,7 +68,7 @@ BASELINE_WIDTH = GC_INDEX + 1
 SIXTRACK_WIDTH = GC_INDEX + 3
 
 
-def baseline_features(df: DataFrame, sixtrack: bool = False) -> DataFrame:
+def baseline_features(df: DataFrame, sixtrack: bool = False, ks=BASELINE_KMERS) -> DataFrame:
     """k-mer counts, GC share and, with tracks, coding length and exon count.
 
     Sparse and row-wise: `row_id, idx array<int>, val array<double>`, idx ascending. Nothing is shuffled.
@@ -77,8 +77,9 @@ def baseline_features(df: DataFrame, sixtrack: bool = False) -> DataFrame:
     if sixtrack:
         extra += [S.cds_length(F.col("cds")).cast("double"), S.exon_count(F.col("splice")).cast("double")]
     prepared = df.select("row_id", "sequence", F.array(*extra).alias("extra"))
-    counts = kmer_vectors(prepared, BASELINE_KMERS, keep=("extra",))
-    tail = F.array(*[F.lit(GC_INDEX + i) for i in range(len(extra))])
+    counts = kmer_vectors(prepared, ks, keep=("extra",))
+    after = S.kmer_offset(max(ks) + 1, ks)
+    tail = F.array(*[F.lit(after + i) for i in range(len(extra))])
     return counts.select("row_id", F.concat("idx", tail).alias("idx"), F.concat("val", "extra").alias("val"))
 
 
@@ -135,9 +136,9 @@ def baseline_stats(features: DataFrame) -> DataFrame:
     return sparse_stats(entries, rows)
 
 
-def embed_kmer_dataset(df: DataFrame, sixtrack: bool = False) -> DataFrame:
+def embed_kmer_dataset(df: DataFrame, sixtrack: bool = False, ks=BASELINE_KMERS) -> DataFrame:
     """Baseline features without all-zero columns, scaled over the whole dataset."""
-    features = baseline_features(spread(df, "row_id"), sixtrack)
+    features = baseline_features(spread(df, "row_id"), sixtrack, ks)
     return densify(features, baseline_stats(features))
 
 

@@ -28,6 +28,12 @@ TASKS = (*REGRESSIONS, "classification", "multilabel")
 # Exact ridge holds a width x width matrix on the driver, whatever the number of rows: 512 MB here.
 EXACT_WIDTH = 8192
 
+# Training rows per task of a gradient fit.
+PART_BYTES = 32 << 20
+
+# Gradient fits stop once a step improves the loss by less than this share.
+TOLERANCE = 1e-6
+
 
 @dataclass(frozen=True)
 class FittedProbe:
@@ -203,36 +209,49 @@ def probe_linear(train: DataFrame, features: str = "embedding", y: str = "target
 # ---- classification ----------------------------------------------------------------------
 
 
-def _logistic(vectors: DataFrame, n: int):
-    """L2 logistic regression with unit inverse penalty, that is 1/n on the mean loss."""
+def _packed(vectors: DataFrame, rows: int, width: int) -> DataFrame:
+    """Fewer, fuller partitions where there is little data: every step of a fit is a job over all of them."""
+    return vectors.coalesce(max(1, -(-rows * width * 8 // PART_BYTES)))
+
+
+def _logistic(vectors: DataFrame, rows: int):
+    """L2 logistic regression with unit inverse penalty, that is 1/rows on the mean loss."""
     return LogisticRegression(
-        featuresCol="x", labelCol="y", regParam=1.0 / n, standardization=False, maxIter=5000, tol=1e-8
+        featuresCol="x", labelCol="y", regParam=1.0 / rows, standardization=False, maxIter=5000, tol=TOLERANCE
     ).fit(vectors)
 
 
 def probe_logistic(train: DataFrame, features: str = "embedding", y: str = "target") -> FittedProbe:
-    vectors = _vectors(train, features, y)
-    row = vectors.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
-    if not row["n"] or row["pos"] in (0.0, float(row["n"])):
+    row = train.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("pos"), F.max(F.size(features)).alias("width")
+    ).first()
+    n = row["n"]
+    if not n or row["pos"] in (0.0, float(n)):
         raise ValueError("classification needs both classes in the training rows")
-    return _from_spark(_logistic(vectors, row["n"]), "classification")
+    vectors = _packed(_vectors(train, features, y), n, row["width"]).persist()
+    try:
+        return _from_spark(_logistic(vectors, n), "classification")
+    finally:
+        vectors.unpersist()
 
 
 def probe_multilabel(
     train: DataFrame, features: str = "embedding", y: str = "target", parallel: int = 4
 ) -> FittedProbe:
     """One logistic regression per label over the same cached rows; labels with one class are skipped."""
-    vectors = train.select(
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("width")).first()
+    if not size["n"]:
+        raise ValueError("no training rows")
+    rows = train.select(
         array_to_vector(F.col(features).cast("array<double>")).alias("x"),
         F.col(y).cast("array<double>").alias("labels"),
-    ).persist()
+    )
+    vectors = _packed(rows, size["n"], size["width"]).persist()
     try:
         sums = vectors.agg(
             vector_to_array(Summarizer.sum(array_to_vector("labels"))).alias("pos"), F.count(F.lit(1)).alias("n")
         ).first()
         n, pos = sums["n"], sums["pos"]
-        if not n:
-            raise ValueError("no training rows")
         skipped = tuple(i for i, s in enumerate(pos) if s in (0.0, float(n)))
 
         def fit(i: int):
@@ -319,7 +338,8 @@ def run_probe(
     if target not in data.columns:
         raise ValueError(f"target column not found: {target}")
     kept = drop_null(data, target) if dropna else data
-    keys = kept.drop(features, target)
+    # the splitters pass over these few columns several times, the vectors are read once
+    keys = kept.drop(features, target).persist()
     if splitter is None:
         placed = get_splits(keys, split_type, ratios, seed, **split_options)
     else:
@@ -336,6 +356,7 @@ def run_probe(
         rows = evaluate_probe(probe.predict(scored), task, skipped=probe.skipped).collect()  # splits x metrics
     finally:
         frame.unpersist()
+        keys.unpersist()
     spark = data.sparkSession
     if save_to:
         probe.save(spark, save_to, seed)

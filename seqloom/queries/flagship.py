@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.plans.embed import embed_kmer_dataset
 from seqloom.plans.probe import run_probe
+from seqloom.session import scratch
 from seqloom.sources import standins as D
+from seqloom.sources.readers import scan_embeddings, sink_embeddings
 
 
 def homology_map(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,12 +27,14 @@ HOMOLOGY_SQL = """hom AS (
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Baseline features of every document, probed for its quality label across homology groups."""
+    """k-mer features (3 and 4 bases) of every labelled document, probed for its quality label across homology groups."""
     seqs = D.sequences(spark, sf)
     labels = D.table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("target"))
     labelled = seqs.join(labels, "row_id")
-    vectors = embed_kmer_dataset(labelled.select("row_id", "sequence"))
-    data = vectors.join(labelled.select("row_id", "gene", "target"), "row_id")
+    path = scratch(spark, "embeddings")
+    sink_embeddings(embed_kmer_dataset(labelled.select("row_id", "sequence"), ks=(3, 4)), path, "documents", "kmer")
+    vectors = scan_embeddings(spark, path, "documents", "kmer").drop("chunk")
+    data = D.keyed(spark, sf).join(labels, "row_id").join(vectors, "row_id")
     _, rows = run_probe(
         data, "classification", split_type="homology", homology=homology_map(spark, sf), eval_all_splits=True
     )

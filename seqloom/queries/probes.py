@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import joins as J, metrics as M
 from seqloom.plans import probe as P
-from seqloom.queries.sources import scratch
 from seqloom.registry import query
+from seqloom.session import scratch
 from seqloom.sources import standins as D
 from seqloom.sources.standins import ctes
 

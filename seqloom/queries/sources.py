@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from seqloom.constants import SEEDS
 from seqloom.functions import sequence as S
 from seqloom.operators import sets as U
 from seqloom.registry import query
+from seqloom.session import scratch
 from seqloom.sources import catalogue as C, readers as R, standins as D
 from seqloom.sources.standins import ctes
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder for a written table: under the shared checkpoint folder where one is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/seqloom/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="seqloom-"), name)
-
-
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
