@@ -109,8 +109,9 @@ def homology_lookup(spark, sf):
 def attach_embeddings(spark, sf):
     """Documents that have a vector, joined one to one by id."""
     vectors = D.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id")
-    rows = D.keyed(spark, sf).join(vectors.select("row_id"), "row_id", "left_semi")
-    out = J.attach_embeddings(rows, vectors)
+    docs = D.keyed(spark, sf)
+    rows = docs.join(vectors.select("row_id"), "row_id", "left_semi")
+    out = J.attach_embeddings(rows, vectors.join(docs.select("row_id"), "row_id", "left_semi"))
     return out.select("row_id", "gene", "label", F.floor(F.col("embedding")[0].cast("double") * 1000000).alias("x"))
 
 
