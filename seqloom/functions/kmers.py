@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from seqloom.functions.sequence import kmer_name, kmer_offset
 
 SLICE = 1 << 20  # bases per numpy pass
+ROWS = 1 << 15  # rows per numpy pass
 
 
 def _letter_codes(alphabet: str) -> np.ndarray:
@@ -76,10 +77,10 @@ def _count_long_row(codes: np.ndarray, ks, letters: int):
 
 
 def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about SLICE bases together; a longer row is a run of its own."""
+    """Runs of at most ROWS rows with about SLICE bases together; a longer row is a run of its own."""
     start, size = 0, 0
     for i, n in enumerate(lengths):
-        if size and size + n > SLICE:
+        if i > start and (size + n > SLICE or i - start == ROWS):
             yield start, i
             start, size = i, 0
         size += n
@@ -157,6 +158,24 @@ def kmer_vectors(
     return source.mapInArrow(run, f"{row_id} bigint{kept}, idx array<int>, val array<double>")
 
 
+def kmer_dense(df: DataFrame, k: int, alphabet: str, row_id: str = "row_id", sequence: str = "sequence") -> DataFrame:
+    """`row_id, val array<double>`: all counts of a small vocabulary, zeros included."""
+    width = len(alphabet) ** k
+
+    def run(batches):
+        for batch in batches:
+            for first, rows, row, idx, n in _batch_counts(batch.column(1), (k,), alphabet):
+                dense = np.zeros((rows, width))
+                dense[row, idx] = n
+                ends = np.arange(rows + 1, dtype=np.int32) * width
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, rows), pa.ListArray.from_arrays(pa.array(ends), pa.array(dense.ravel()))],
+                    names=[row_id, "val"],
+                )
+
+    return df.select(row_id, sequence).mapInArrow(run, f"{row_id} bigint, val array<double>")
+
+
 def kmer_counts_fit(df: DataFrame, k: int = 3, alphabet: str = "acgtn", **names) -> DataFrame:
     """Counts over the observed k-mers of the lower-cased sequence: `(row_id, kmer, n)`."""
     sequence = names.get("sequence", "sequence")

@@ -16,8 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from seqloom.constants import DEFAULT_RATIOS
-from seqloom.functions.kmers import kmer_vectors
-from seqloom.functions.sequence import kmer_offset
+from seqloom.functions.kmers import kmer_dense
 from seqloom.operators.joins import homology_lookup
 from seqloom.operators.prefix import fill_cuts, shuffle_order, up_to_cut
 from seqloom.session import cut_lineage, spread
@@ -44,19 +43,22 @@ def split_homology(
     A group enters the order at its first row. Train takes whole groups while it holds fewer than
     floor(rows * (1 - test_size)) rows. With `group_unmapped`, rows of one unmapped gene stay together.
     """
-    single = F.concat(F.lit("gene:"), F.col("gene")) if group_unmapped else None
-    row = F.concat(F.lit("row:"), F.col("row_id").cast("string"))
-    unmapped = row if single is None else F.coalesce(single, row)
+    group = F.concat(F.lit("group:"), F.col("gene_group").cast("string"))
+    if group_unmapped:
+        group = F.coalesce(group, F.concat(F.lit("gene:"), F.col("gene")))
     rows = homology_lookup(df, homology).select(
-        *df.columns,
-        # text keys keep unmapped rows apart in the shuffle instead of meeting at one null key
-        F.coalesce(F.concat(F.lit("group:"), F.col("gene_group").cast("string")), unmapped).alias("_group"),
-        shuffle_order("row_id", seed).alias("_order"),
+        *df.columns, group.alias("_group"), shuffle_order("row_id", seed).alias("_order")
     )
-    groups = rows.groupBy("_group").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    cuts = fill_cuts(groups, "_first", "_n", lambda n: F.floor(n * (1 - test_size)))
-    placed = up_to_cut(groups, "_first", cuts).select("_group", "filled")
-    return _sides(rows.join(placed, "_group"), "train", "test").drop("_group", "_order")
+    # rows without a group are placed by their own order: they meet no join and no null key
+    alone, grouped = rows.filter("_group IS NULL"), rows.filter("_group IS NOT NULL")
+    groups = grouped.groupBy("_group").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    items = groups.select("_first", "_n").unionByName(
+        alone.select(F.col("_order").alias("_first"), F.lit(1).cast("bigint").alias("_n"))
+    )
+    cuts = fill_cuts(items, "_first", "_n", lambda n: F.floor(n * (1 - test_size)))
+    placed = grouped.join(groups.select("_group", "_first"), "_group").select(*df.columns, "_first")
+    ordered = placed.unionByName(alone.select(*df.columns, F.col("_order").alias("_first")))
+    return _sides(up_to_cut(ordered, "_first", cuts), "train", "test").drop("_first")
 
 
 def first_fit(counts: DataFrame, name: str, order: str, size: str, test_size: float) -> DataFrame:
@@ -101,16 +103,9 @@ def kmeans_clusters(df: DataFrame, k: int, n_clusters: int, seed: int) -> DataFr
     Counts are dense vectors over the small vocabulary; columns no sequence has are zero
     everywhere and change no distance.
     """
-    width = kmer_offset(k + 1, (k,), 5)
     low = spread(df.select("row_id", "sequence"), "row_id").withColumn("sequence", F.lower("sequence"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))
-    )
-    vectors = (
-        kmer_vectors(low, (k,), "acgtn")
-        .withColumn("_m", F.map_from_arrays("idx", "val"))
-        .select("row_id", array_to_vector(dense).alias("features"))
-    )
+    counts = kmer_dense(low, k, "acgtn")
+    vectors = counts.select("row_id", array_to_vector("val").alias("features"))
     vectors = cut_lineage(vectors)  # k-means reads its input once per iteration
     model = KMeans(k=n_clusters, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
     return model.transform(vectors).select("row_id", "cluster")
@@ -153,6 +148,7 @@ def split_three_way(
     """`df` with `split` in train, val, test: the rest of a first split is split again.
 
     A zero ratio leaves that part empty. Any function with a splitter's signature can be passed.
+    Pass key columns only: the first split is written once before the second reads it.
     """
     train, val, test = ratios = tuple(ratios or DEFAULT_RATIOS)
     if abs(sum(ratios) - 1) > 1e-9:
@@ -170,6 +166,8 @@ def split_three_way(
         kept, rest = None, df
     else:
         first = splitter(df, held, seed, **options)
+        if val and test:
+            first = cut_lineage(first)  # a second split passes over the held-out keys several times
         kept = first.filter("side = 'train'").drop("side").withColumn("split", F.lit("train"))
         rest = first.filter("side = 'test'").drop("side")
     if val == 0 or test == 0:

@@ -52,15 +52,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder so later passes and retries read it back."""
+    """Write `df` once to the shared checkpoint folder so later passes and retries read it back.
+
+    The folder is the session's `spark.checkpoint.dir`. Local sessions without one get a temporary
+    folder; on a cluster without one the rows are only cached, which a lost executor recomputes.
+    """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.getCheckpointDir() is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master.startswith("local"):
+            shared = tempfile.mkdtemp(prefix="seqloom-ckpt-")
+        if shared is None:
+            return df.persist()
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 

@@ -142,7 +142,8 @@ def scan_embeddings(spark: SparkSession, path: str, dataset: str, model: str) ->
 def sink_results(df: DataFrame, path: str) -> None:
     """Write metric rows; a run that is there already is replaced, other runs stay."""
     (
-        df.write.mode("overwrite")
+        df.repartition(*RESULT_KEYS)  # one file per run
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*RESULT_KEYS)
         .parquet(path)
