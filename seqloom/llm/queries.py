@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import textwrap
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.registry import Entry
 
@@ -35,3 +35,23 @@ def substring_dedup(spark, sf_dir):
     from seqloom.llm.windows import remove_repeated_windows
 
     return remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
+@query("op1_decontamination")
+def decontamination(spark, sf_dir):
+    from seqloom.llm.benchmark import find_items
+
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op2_best_fit_packing")
+def best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from seqloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
