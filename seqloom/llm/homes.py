@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 MESSAGE = "slot long, kind int, body binary"
 ARROW = pa.schema([("slot", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 HOME_BYTES = 16 << 20  # bytes of text per home
-SLOT_BYTES = 16 << 20  # bytes of hashes per slot
+SLOT_BYTES = 32 << 20  # bytes of hashes per slot
 PACK_BYTES = 4 << 20  # bytes of text in one message
 FLUSH = 1 << 22  # hashes that a task holds before it sends them
+SHORT = np.uint64((1 << 48) - 1)  # bits of anchors, which only propose, and of the identity of texts beside them
 NEVER = np.iinfo(np.int64).max  # order of a row without doc_id
 
 
@@ -99,7 +100,7 @@ def by_slot(keys: np.ndarray, slots: int) -> Iterator[tuple[int, int, int]]:
 
 def to_homes(texts: DataFrame, homes: int) -> DataFrame:
     """`texts` has `doc_id`, `text`, `key`; kind 0: the distinct texts of a task, with their smallest ids."""
-    rows = texts.select("doc_id", "text", "key", F.pmod(F.xxhash64("key"), F.lit(homes)).alias("home"))
+    rows = texts.select("doc_id", "text", "key", F.pmod(F.xxhash64("key").bitwiseAND(F.lit(int(SHORT))), F.lit(homes)).alias("home"))
 
     def pack(batches):
         waiting: dict[int, list] = {}
@@ -141,10 +142,11 @@ def to_homes(texts: DataFrame, homes: int) -> DataFrame:
 class Home:
     """The distinct texts of one home, ordered by their smallest id, and the hashes it was answered."""
 
-    def __init__(self, table: pa.Table):
-        kinds = np.asarray(table.column("kind"))
-        bodies = table.column("body")
-        of = lambda kind: [bodies[int(i)].as_py() for i in np.flatnonzero(kinds == kind)]
+    def __init__(self, texts: pa.Table, answered: pa.Table):
+        def of(kind, table=texts):
+            kinds, bodies = np.asarray(table.column("kind")), table.column("body")
+            return [bodies[int(i)].as_py() for i in np.flatnonzero(kinds == kind)]
+
         facts = pa.concat_tables([from_ipc(b) for b in of(1)]).group_by("key").aggregate([("first", "min"), ("copies", "sum")])
         order = facts.sort_by([("first_min", "ascending"), ("key", "ascending")])
         self.keys = order.column("key").to_pylist()
@@ -153,25 +155,26 @@ class Home:
         packs = pa.concat_tables([from_ipc(b) for b in of(0)])
         where = {k: i for i, k in enumerate(packs.column("key").to_pylist())}
         self.texts = packs.column("text").combine_chunks().take(pa.array([where[k] for k in self.keys], pa.int64()))
-        self.answers = {k: self._union([unpack_sorted(b)[0] for b in of(k)]) for k in set(kinds.tolist()) - {0, 1}}
-
-    @staticmethod
-    def _union(lists: list[np.ndarray]) -> np.ndarray:
-        return np.unique(np.concatenate(lists))
+        self.answers = {
+            k: np.unique(np.concatenate([unpack_sorted(b)[0] for b in of(k, answered)]))
+            for k in set(answered.column("kind").to_pylist())
+        }
 
     def answered(self, kind: int) -> np.ndarray:
         return self.answers.get(kind, np.zeros(0, np.uint64))
 
 
-def at_homes(packs: DataFrame, answers: DataFrame | None, homes: int, work: Callable, schema: str) -> DataFrame:
-    """Run `work(home, number)` on every home with what its slots answered; it returns Arrow columns."""
-    rows = packs if answers is None else packs.unionByName(answers)
+def at_homes(packs: DataFrame, answers: DataFrame, homes: int, work: Callable, schema: str) -> DataFrame:
+    """Run `work(home, number)` on every home with what its slots answered; it returns Arrow columns.
 
-    def step(key, table):
-        kinds = np.asarray(table.column("kind"))
-        return work(Home(table), key[0].as_py()) if (kinds == 0).any() else work(None, key[0].as_py())
+    The texts are dealt to homes once: later calls over the same `packs` reuse that exchange.
+    """
+
+    def step(key, texts, answered):
+        return work(Home(texts, answered) if len(texts) else None, key[0].as_py())
 
-    return rows.repartition(homes, "slot").groupBy("slot").applyInArrow(step, schema)
+    grouped = packs.repartition(homes, "slot").groupBy("slot")
+    return grouped.cogroup(answers.repartition(homes, "slot").groupBy("slot")).applyInArrow(step, schema)
 
 
 def at_slots(messages: DataFrame, slots: int, work: Callable) -> DataFrame:
@@ -209,7 +212,7 @@ def send_anchors(texts: DataFrame, homes: int, slots: int, anchors: Callable) ->
 
         def send():
             key, owner = np.concatenate(hashes), np.concatenate(ids)
-            of = slot_of(key, slots)
+            of = slot_of(key << np.uint64(16), slots)
             order = np.argsort(of, kind="stable")
             key, owner, of = key[order], owner[order], of[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
@@ -228,8 +231,9 @@ def send_anchors(texts: DataFrame, homes: int, slots: int, anchors: Callable) ->
                     seen.add(k)
                     fresh.append(i)
             batch = batch.take(pa.array(fresh, pa.int64()))
-            number = np.asarray(batch.column(1)).astype(np.int64)
+            number = (np.asarray(batch.column(1)).astype(np.int64).view(np.uint64) & SHORT).view(np.int64)
             for first, row, key in anchors(batch.column(0)):
+                key = key & SHORT
                 if len(key):
                     ids.append(number[first + row])
                     hashes.append(key)

@@ -47,7 +47,7 @@ def _candidates(text, offsets, sums, repeated, length, window, in_cover) -> tupl
     """Suffixes with a repeated sample window among their first `period` shifts, and their keys."""
     n, period = len(text), len(in_cover)
     at, row = _samples(offsets, n, window, in_cover)
-    hit = H.member(S.span_hashes(sums, at, at + window), repeated)
+    hit = H.member(S.span_hashes(sums, at, at + window) & H.SHORT, repeated)
     at, row = at[hit], row[hit]
     steps = np.zeros(n + 1, dtype=np.int64)
     np.add.at(steps, np.maximum(at - period + 1, offsets[row]), 1)
@@ -105,15 +105,18 @@ def remove_repeated_bytes(documents: DataFrame, length: int = LENGTH, period: in
         repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         out = []
         for keys, kind, body in zip(lists, kinds, bodies):
-            found = keys[H.member(keys, repeated)] if kind == 3 else keys
-            if len(found):
+            found = keys[H.member(keys, repeated)]
+            if kind == 3 and len(found):  # a home knows what it has several times
                 out.append((int.from_bytes(body.as_py()[:8], "little"), 3, H.pack_sorted(found)))
         return out
 
     def cut(home, number):
         rows = []
-        for first, text, offsets, at, key in suffixes(home) if home else ():
-            at = at[H.member(key, home.answered(3))]
+        chunks = list(suffixes(home)) if home else []
+        ordered = np.sort(np.concatenate([key for *_, key in chunks] or [np.zeros(0, np.uint64)]))
+        several = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        for first, text, offsets, at, key in chunks:
+            at = at[H.member(key, home.answered(3)) | H.member(key, several)]
             steps = np.zeros(len(text) + 1, dtype=np.int64)
             np.add.at(steps, at, 1)
             np.add.at(steps, at + length, -1)

@@ -41,7 +41,7 @@ def _candidates(hashes, first, repeated, width, window, in_cover):
     """Windows with a repeated anchor in one of their first `period` places: word number, row, hash."""
     period = len(in_cover)
     at, row, key = _anchors(hashes, first, window, in_cover)
-    hit = H.member(key, repeated)
+    hit = H.member(key & H.SHORT, repeated)
     at, row = at[hit], row[hit]
     steps = np.zeros(len(hashes) + 1, dtype=np.int64)
     np.add.at(steps, np.maximum(at - period + 1, first[row]), 1)
