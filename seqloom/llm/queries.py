@@ -55,3 +55,19 @@ def best_fit_packing(spark, sf_dir):
     from seqloom.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_language_id")
+def language_id(spark, sf_dir):
+    from seqloom.llm.language import fit, identify
+
+    documents = table(spark, sf_dir, "documents")
+    return identify(documents, fit(documents))
+
+
+@query("op10_toxicity")
+def toxicity(spark, sf_dir):
+    from seqloom.llm.toxicity import fit, score
+
+    documents = table(spark, sf_dir, "documents")
+    return score(documents, fit(documents, table(spark, sf_dir, "labels")))
