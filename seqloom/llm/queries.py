@@ -71,3 +71,12 @@ def toxicity(spark, sf_dir):
 
     documents = table(spark, sf_dir, "documents")
     return score(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query("op5_quality_rules")
+def quality_rules(spark, sf_dir):
+    from seqloom.llm.quality import apply_rules, fit
+
+    documents = table(spark, sf_dir, "documents")
+    found = apply_rules(documents, fit(documents, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
