@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 MESSAGE = "slot long, kind int, body binary"
 ARROW = pa.schema([("slot", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 HOME_BYTES = 16 << 20  # bytes of text per home
-SLOT_BYTES = 32 << 20  # bytes of hashes per slot
+SLOT_BYTES = 16 << 20  # bytes of hashes per slot
 PACK_BYTES = 4 << 20  # bytes of text in one message
 FLUSH = 1 << 22  # hashes that a task holds before it sends them
 SHORT = np.uint64((1 << 48) - 1)  # bits of anchors, which only propose, and of the identity of texts beside them
@@ -199,7 +199,7 @@ def member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
 # -- anchors: hashes at the positions of a difference cover
 
 
-def send_anchors(texts: DataFrame, homes: int, slots: int, anchors: Callable) -> DataFrame:
+def send_anchors(texts: DataFrame, slots: int, anchors: Callable, id_mask: np.uint64 = SHORT) -> DataFrame:
     """`anchors(column)` yields (first row, row of each anchor, hash of each anchor) per chunk of texts.
 
     A body: the identities of its texts, how many anchors each has, and the anchors in order of the texts.
@@ -231,7 +231,7 @@ def send_anchors(texts: DataFrame, homes: int, slots: int, anchors: Callable) ->
                     seen.add(k)
                     fresh.append(i)
             batch = batch.take(pa.array(fresh, pa.int64()))
-            number = (np.asarray(batch.column(1)).astype(np.int64).view(np.uint64) & SHORT).view(np.int64)
+            number = (np.asarray(batch.column(1)).astype(np.int64).view(np.uint64) & id_mask).view(np.int64)
             for first, row, key in anchors(batch.column(0)):
                 key = key & SHORT
                 if len(key):

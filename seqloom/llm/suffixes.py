@@ -99,24 +99,23 @@ def remove_repeated_bytes(documents: DataFrame, length: int = LENGTH, period: in
         return pa.Table.from_batches([H.message(rows)])
 
     def bucket(kinds, bodies):
-        """Sort one bucket of suffixes; equal neighbours from two homes, or one that a home has twice, are repeated."""
+        """Sort one bucket of suffixes; equal neighbours from two homes, or one that a home has twice, are repeated.
+
+        Answers (kind 3) name the suffixes of a home that are unique after all."""
         lists = [H.unpack_sorted(memoryview(b.as_py())[8:])[0] for b in bodies]
         ordered = np.sort(np.concatenate(lists + [x for x, k in zip(lists, kinds) if k == 4]))
         repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         out = []
         for keys, kind, body in zip(lists, kinds, bodies):
-            found = keys[H.member(keys, repeated)]
-            if kind == 3 and len(found):  # a home knows what it has several times
+            found = keys[~H.member(keys, repeated)]
+            if kind == 3 and len(found):  # most candidates are repeated, so homes hear of the others
                 out.append((int.from_bytes(body.as_py()[:8], "little"), 3, H.pack_sorted(found)))
         return out
 
     def cut(home, number):
         rows = []
-        chunks = list(suffixes(home)) if home else []
-        ordered = np.sort(np.concatenate([key for *_, key in chunks] or [np.zeros(0, np.uint64)]))
-        several = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        for first, text, offsets, at, key in chunks:
-            at = at[H.member(key, home.answered(3)) | H.member(key, several)]
+        for first, text, offsets, at, key in suffixes(home) if home else ():
+            at = at[~H.member(key, home.answered(3))]
             steps = np.zeros(len(text) + 1, dtype=np.int64)
             np.add.at(steps, at, 1)
             np.add.at(steps, at + length, -1)
@@ -132,7 +131,7 @@ def remove_repeated_bytes(documents: DataFrame, length: int = LENGTH, period: in
         types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    sample = H.repeated_anchors(H.send_anchors(texts, homes, slots, anchors), homes, slots)
+    sample = H.repeated_anchors(H.send_anchors(texts, slots, anchors), homes, slots)
     packs = H.to_homes(texts, homes)
     ranked = H.at_slots(H.at_homes(packs, sample, homes, send, H.MESSAGE), slots, bucket)
     result = H.at_homes(packs, sample.unionByName(ranked), homes, cut, "key string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

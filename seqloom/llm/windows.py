@@ -141,7 +141,7 @@ def remove_repeated_windows(documents: DataFrame, width: int = WIDTH, period: in
         types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "first", "n_words", "removed_first", "sha_first", "removed_later", "sha_later"])
 
-    sample = H.repeated_anchors(H.send_anchors(texts, homes, slots, anchors), homes, slots)
+    sample = H.repeated_anchors(H.send_anchors(texts, slots, anchors), homes, slots)
     packs = H.to_homes(texts, homes)
     later = H.at_slots(H.at_homes(packs, sample, homes, send, H.MESSAGE), slots, elect)
     schema = "key string, first long, n_words long, removed_first long, sha_first string, removed_later long, sha_later string"
