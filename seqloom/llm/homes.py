@@ -100,12 +100,12 @@ def by_slot(keys: np.ndarray, slots: int) -> Iterator[tuple[int, int, int]]:
 
 def to_homes(texts: DataFrame, homes: int) -> DataFrame:
     """`texts` has `doc_id`, `text`, `key`; kind 0: the distinct texts of a task, with their smallest ids."""
-    rows = texts.select("doc_id", "text", "key", F.pmod(F.xxhash64("key").bitwiseAND(F.lit(int(SHORT))), F.lit(homes)).alias("home"))
+    rows = texts.select("doc_id", "text", "key", F.pmod(F.xxhash64("key").bitwiseAND(F.lit(int(SHORT))), F.lit(homes)).alias("home"), F.xxhash64("key").alias("id"))
 
     def pack(batches):
         waiting: dict[int, list] = {}
         held: dict[int, int] = {}
-        seen: dict[str, list] = {}
+        seen: dict[str, list] = {}  # by key: home, smallest doc_id, copies, id
 
         def send(home):
             keys, texts = zip(*waiting.pop(home))
@@ -114,14 +114,14 @@ def to_homes(texts: DataFrame, homes: int) -> DataFrame:
             return message([(home, 0, ipc(batch))])
 
         for batch in batches:
-            for doc, text, key, home in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for doc, text, key, home, number in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 doc = NEVER if doc is None else doc
                 if key in seen:
                     entry = seen[key]
                     entry[1] = min(entry[1], doc)
                     entry[2] += 1
                     continue
-                seen[key] = [home, doc, 1]
+                seen[key] = [home, doc, 1, number]
                 waiting.setdefault(home, []).append((key, text))
                 held[home] = held.get(home, 0) + len(text)
                 if held[home] >= PACK_BYTES:
@@ -129,11 +129,11 @@ def to_homes(texts: DataFrame, homes: int) -> DataFrame:
         for home in list(waiting):
             yield send(home)
         facts: dict[int, list] = {}
-        for key, (home, first, copies) in seen.items():
-            facts.setdefault(home, []).append((key, first, copies))
+        for key, (home, first, copies, number) in seen.items():
+            facts.setdefault(home, []).append((key, number, first, copies))
         for home, entries in facts.items():
-            keys, first, copies = zip(*entries)
-            batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first, pa.int64()), pa.array(copies, pa.int64())], ["key", "first", "copies"])
+            keys, *numbers = zip(*entries)
+            batch = pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(n, pa.int64()) for n in numbers)], ["key", "id", "first", "copies"])
             yield message([(home, 1, ipc(batch))])
 
     return rows.mapInArrow(pack, MESSAGE)
@@ -142,14 +142,15 @@ def to_homes(texts: DataFrame, homes: int) -> DataFrame:
 class Home:
     """The distinct texts of one home, ordered by their smallest id, and the hashes it was answered."""
 
-    def __init__(self, texts: pa.Table, answered: pa.Table):
+    def __init__(self, texts: pa.Table, answered: pa.Table | None):
         def of(kind, table=texts):
             kinds, bodies = np.asarray(table.column("kind")), table.column("body")
             return [bodies[int(i)].as_py() for i in np.flatnonzero(kinds == kind)]
 
-        facts = pa.concat_tables([from_ipc(b) for b in of(1)]).group_by("key").aggregate([("first", "min"), ("copies", "sum")])
+        facts = pa.concat_tables([from_ipc(b) for b in of(1)]).group_by("key").aggregate([("id", "min"), ("first", "min"), ("copies", "sum")])
         order = facts.sort_by([("first_min", "ascending"), ("key", "ascending")])
         self.keys = order.column("key").to_pylist()
+        self.ids = order.column("id_min").to_pylist()
         self.first = np.asarray(order.column("first_min"))
         self.copies = np.asarray(order.column("copies_sum"))
         packs = pa.concat_tables([from_ipc(b) for b in of(0)])
@@ -157,7 +158,7 @@ class Home:
         self.texts = packs.column("text").combine_chunks().take(pa.array([where[k] for k in self.keys], pa.int64()))
         self.answers = {
             k: np.unique(np.concatenate([unpack_sorted(b)[0] for b in of(k, answered)]))
-            for k in set(answered.column("kind").to_pylist())
+            for k in (set(answered.column("kind").to_pylist()) if answered is not None else ())
         }
 
     def answered(self, kind: int) -> np.ndarray:
@@ -173,8 +174,8 @@ def at_homes(packs: DataFrame, answers: DataFrame, homes: int, work: Callable, s
     def step(key, texts, answered):
         return work(Home(texts, answered) if len(texts) else None, key[0].as_py())
 
-    grouped = packs.repartition(homes, "slot").groupBy("slot")
-    return grouped.cogroup(answers.repartition(homes, "slot").groupBy("slot")).applyInArrow(step, schema)
+    grouped = packs.repartition(2 * homes, "slot").groupBy("slot")
+    return grouped.cogroup(answers.repartition(2 * homes, "slot").groupBy("slot")).applyInArrow(step, schema)
 
 
 def at_slots(messages: DataFrame, slots: int, work: Callable) -> DataFrame:
@@ -184,7 +185,7 @@ def at_slots(messages: DataFrame, slots: int, work: Callable) -> DataFrame:
         kinds = np.asarray(table.column("kind"))
         return pa.Table.from_batches([message(work(kinds, table.column("body")))])
 
-    return messages.repartition(slots, "slot").groupBy("slot").applyInArrow(step, MESSAGE)
+    return messages.repartition(2 * slots, "slot").groupBy("slot").applyInArrow(step, MESSAGE)
 
 
 def member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:

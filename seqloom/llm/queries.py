@@ -80,3 +80,10 @@ def quality_rules(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     found = apply_rules(documents, fit(documents, table(spark, sf_dir, "labels")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_ngram_jaccard")
+def ngram_jaccard(spark, sf_dir):
+    from seqloom.llm.jaccard import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
