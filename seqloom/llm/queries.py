@@ -87,3 +87,53 @@ def ngram_jaccard(spark, sf_dir):
     from seqloom.llm.jaccard import link_documents
 
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from seqloom.llm import licenses as L
+
+    templates = ", ".join(f"('{label}', string_split('{s}', ' '))" for label, of in L.TEMPLATES.items() for s in of)
+    phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in L.PHRASES.items())
+    return rf"""
+        WITH t(label, tokens) AS (SELECT label, list_distinct(tokens) FROM (VALUES {templates}) v(label, tokens)),
+        p(label, parts) AS (VALUES {phrases}),
+        d AS (SELECT row_number() OVER () AS r, doc_id,
+                     regexp_extract_all(translate(coalesce(text, ''), '{L._UPPER}', '{L._LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS words
+              FROM documents),
+        w AS (SELECT r, unnest(range(len(words))) AS pos, words FROM d),
+        base AS (SELECT r, pos, label FROM w JOIN p ON words[pos + 1] = parts[1] AND words[pos + 1 : pos + len(parts)] = parts),
+        b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY r),
+        blocks AS (SELECT r, words[16 * pos + 1 : 16 * pos + 32] AS block
+                   FROM (SELECT r, words, unnest(range(greatest(cast(ceil(len(words) / 16.0) AS BIGINT) - 1, 1))) AS pos FROM d)),
+        m AS (SELECT r, label, len(list_intersect(tokens, list_distinct(block))) / len(tokens) AS share FROM blocks, t),
+        f AS (SELECT r, list(DISTINCT label) AS found, max(share) AS share FROM m WHERE share >= {L.CONTAINED} - 1e-9 GROUP BY r)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(array_to_string(labels, ','), '') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ',') AS labels,
+               greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+        FROM d LEFT JOIN b USING (r) LEFT JOIN f USING (r)
+    """
+
+
+@query("op3_license_scan", _license_sql())
+def license_scan(spark, sf_dir):
+    from seqloom.llm.licenses import find_licenses
+
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op7_line_dedup", r"""
+    WITH l AS (SELECT doc_id, source, md5(coalesce(text, '')) AS key, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
+                      unnest(string_split(text, chr(10))) AS line FROM documents),
+    w AS (SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 8),
+    k AS (SELECT l.*, line IN (SELECT line FROM w) AND (rank() OVER (PARTITION BY line ORDER BY doc_id NULLS LAST, key, pos)) > 1 AS gone FROM l)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM k GROUP BY doc_id
+""")
+def line_dedup(spark, sf_dir):
+    from seqloom.llm.boilerplate import spread_lines
+
+    found = spread_lines(table(spark, sf_dir, "documents"))
+    removed = F.size("line_numbers_removed").cast("long").alias("n_removed")
+    return found.select("doc_id", "n_lines", removed, F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
