@@ -20,7 +20,7 @@ WIDTH = 10
 #: Bytes of items in one automaton. More items are scanned for in blocks of this size, one pass each.
 BLOCK_BYTES = 8 << 20
 
-FOUND = "doc_id long, key string, n_words long, hit array<int>, items array<string>, spans array<struct<start:int,end:int>>"
+FOUND = "n_words long, hit array<int>, items array<string>, spans array<struct<start:int,end:int>>"
 _TABLE = bytes(int(S.LOWER[b]) if S.ALNUM[b] else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -41,7 +41,7 @@ def _item_windows(items, width: int) -> dict[bytes, list[str]]:
 
 
 def _scan(texts: DataFrame, items, width: int) -> DataFrame:
-    """One pass over `texts` with one automaton, built once per Python worker's task."""
+    """One pass over `texts` (row, key, text) with one automaton, built once per task."""
     windows = texts.sparkSession.sparkContext.broadcast(_item_windows(items, width))
 
     def automaton():
@@ -57,7 +57,7 @@ def _scan(texts: DataFrame, items, width: int) -> DataFrame:
         items = automaton()
         for batch in batches:
             rows = []
-            for doc, text, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for text in batch.column(2).to_pylist():
                 words = normal_words(text or "")
                 hit, ids, spans = [], [], []
                 if words and len(items):
@@ -77,12 +77,32 @@ def _scan(texts: DataFrame, items, width: int) -> DataFrame:
                         runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
                         spans = [{"start": places[r[0]][0], "end": places[r[-1]][1]} for r in runs]
                         hit = hit.tolist()
-                rows.append((doc, key, len(words), hit, ids, spans))
-            columns = zip(*rows) if rows else [()] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "key", "n_words", "hit", "items", "spans"])
+                rows.append((len(words), hit, ids, spans))
+            columns = zip(*rows) if rows else [()] * 4
+            types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+            found = [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["row", "key", "n_words", "hit", "items", "spans"])
 
-    return texts.mapInArrow(search, FOUND)
+    return texts.mapInArrow(search, f"row {texts.schema['row'].dataType.simpleString()}, key string, {FOUND}")
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> DataFrame:
+    """The rows of `documents` as a struct `row`, and what `find_items` says of them."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    texts = documents.select(F.struct("*").alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    bare = texts.withColumn("row", F.struct(F.lit(True).alias("bare")))
+    scans = [_scan(texts if b == 0 else bare, items.where(block == b).collect(), width) for b in range(blocks)]
+    if blocks == 1:
+        return scans[0].drop("key")
+    every = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_set(name)))).alias(name)
+    hits = reduce(DataFrame.unionByName, [s.where(F.size("hit") > 0).drop("row", "n_words") for s in scans])
+    merged = hits.groupBy("key").agg(every("hit"), every("items"), every("spans"))
+    found = scans[0].select("row", "key", "n_words").join(merged, "key", "left")
+    empty = lambda name: F.coalesce(F.col(name), F.array().cast(found.schema[name].dataType)).alias(name)
+    return found.select("row", "n_words", empty("hit"), empty("items"), empty("spans"))
 
 
 def find_items(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -96,17 +116,10 @@ def find_items(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, b
     Returns doc_id, n_words, hit (numbers of the words inside occurrences), items (ids with occurrences, sorted as
     strings), spans (of the original text's characters, a run of hit words each; runs that two blocks found may overlap).
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    texts = documents.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    scans = [_scan(texts, items.where(block == b).collect(), width) for b in range(blocks)]
-    if blocks == 1:
-        return scans[0].drop("key")
-    every = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
-    hits = reduce(DataFrame.unionByName, [s.where(F.size("hit") > 0).drop("doc_id", "n_words") for s in scans])
-    merged = hits.groupBy("key").agg(every("hit"), every("items"), every("spans"))
-    found = scans[0].select("doc_id", "key", "n_words").join(merged, "key", "left")
-    empty = lambda name: F.coalesce(F.col(name), F.array().cast(found.schema[name].dataType)).alias(name)
-    return found.select("doc_id", "n_words", empty("hit"), empty("items"), empty("spans"))
+    found = _found(documents.select("doc_id", "text"), benchmark, width, block_bytes)
+    return found.select("row.doc_id", "n_words", "hit", "items", "spans")
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `documents`, all columns, in which no benchmark item occurs; see `find_items`."""
+    return _found(documents, benchmark, width, block_bytes).where(F.size("hit") == 0).select("row.*")

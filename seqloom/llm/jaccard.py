@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from seqloom.llm import homes as H
 from seqloom.llm import spans as S
@@ -25,6 +25,7 @@ PERCENT = 75
 GROUPS = 128  # coordinates of a point
 CORNERS = 16  # coordinates of the boxes of leaves, each the sum of neighbouring groups
 LEAF = 256  # texts in a leaf at most about
+_ID, _FIRST, _EMPTY, _AGAIN = (f"seqloom {x}" for x in ("id", "first", "empty", "again"))  # names that no input has
 COMMON = 100_000  # shingles in the list of common ones at most
 
 
@@ -106,16 +107,9 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
     return out
 
 
-def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Classes of documents connected by links: `percent` % or more of all their different shingles are shared.
-
-    `documents` needs `doc_id` and `text`; other columns are ignored, whatever their names. A-Z are lower-cased. A text of fewer than `shingle`
-    words has one shingle, all of them; null or wordless text has none and links with nothing. Equal texts are one
-    class; rows that repeat a doc_id give a row each. A class whose ids are all null has a null id. An empty table gives no rows.
-
-    Returns doc_id, n_shingles, component_id (smallest doc_id of the class).
-    """
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), H.text_key().alias("key"))
+def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """`documents` as doc_id, text, key, id, and id, n_shingles, first (smallest doc_id of the text), component_id of every text."""
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), H.text_key().alias("key"), F.xxhash64(H.text_key()).alias("id"))
     size = H.text_bytes(documents)
     homes, slots = H.parts(size, H.HOME_BYTES), H.parts(0.4 * size, H.SLOT_BYTES)
     # every word starts a shingle at most, and is a byte and a blank at least
@@ -172,10 +166,39 @@ def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     classes = facts.select("id", "first", "n").join(connected(links), F.col("id") == F.col("node"), "left")
     classes = classes.select("id", "first", "n", F.coalesce("root", "id").alias("root"))
     firsts = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(firsts, "root").select("id", F.col("n").alias("n_shingles"), F.when(F.col("component_id") != H.NEVER, F.col("component_id")).alias("component_id"))
+    return texts, classes.join(firsts, "root").select("id", "first", F.col("n").alias("n_shingles"), "component_id")
+
+
+def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Classes of documents connected by links: `percent` % or more of all their different shingles are shared.
+
+    `documents` needs `doc_id` and `text`; other columns are ignored, whatever their names. A-Z are lower-cased. A text of fewer than `shingle`
+    words has one shingle, all of them; null or wordless text has none and links with nothing. Equal texts are one
+    class; rows that repeat a doc_id give a row each. A class whose ids are all null has a null id. An empty table gives no rows.
+
+    Returns doc_id, n_shingles, component_id (smallest doc_id of the class).
+    """
+    texts, classes = _classes(documents, shingle, percent)
+    smallest = F.when(F.col("component_id") != H.NEVER, F.col("component_id"))
     # wordless texts link with nothing, not even with each other
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return texts.select("doc_id", F.xxhash64("key").alias("id")).join(named, "id").select("doc_id", "n_shingles", own.alias("component_id"))
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(smallest)
+    return texts.select("doc_id", "id").join(classes, "id").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def drop_linked(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row, all columns, of each class that `link_documents` finds: the one of smallest doc_id, ties by the hash of the text.
+
+    Wordless texts all stay, as they link with nothing.
+    """
+    _, classes = _classes(documents, shingle, percent)
+    best = classes.groupBy("component_id").agg(F.min(F.struct("first", "id")).alias("best"))
+    chosen = classes.join(best, "component_id").where((F.col("n_shingles") == 0) | (F.struct("first", "id") == F.col("best")))
+    chosen = chosen.select(F.col("id").alias(_ID), F.col("first").alias(_FIRST), (F.col("n_shingles") == 0).alias(_EMPTY))
+    rows = documents.withColumn(_ID, F.xxhash64(H.text_key())).join(chosen, _ID)
+    rows = rows.where(F.col(_EMPTY) | (F.coalesce("doc_id", F.lit(H.NEVER)) == F.col(_FIRST)))
+    # rows that repeat both id and text: one of them, whichever, as they are the same
+    again = F.row_number().over(W.partitionBy(_ID).orderBy(_FIRST))
+    return rows.withColumn(_AGAIN, F.when(F.col(_EMPTY), F.lit(1)).otherwise(again)).where(F.col(_AGAIN) == 1).select(*documents.columns)
 
 
 def _verified(points: DataFrame, percent: int) -> DataFrame:

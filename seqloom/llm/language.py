@@ -22,7 +22,7 @@ BUCKETS = 1 << 16  # hashed n-grams
 GRAMS = (1, 2, 3, 4)
 SHARPNESS = 8.0  # of the loss, per nat of margin and n-gram
 AMBIGUOUS = 0.6  # a score below flags the text
-SCORED = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
+SCORED = "held_out boolean, lang_pred string, score double, ambiguous boolean"
 
 _LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0x80 for b in range(256)])
 
@@ -159,16 +159,11 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return model
 
 
-def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """Predict the language of whole texts, from nothing but the text.
-
-    `documents` needs `doc_id` and `text`; other columns are ignored. Null texts and texts without a letter are `und` with score 0, and so are
-    all texts if nothing was learned. Equal texts get equal results; every row gives a row; an empty table gives none.
-
-    Returns doc_id, held_out, lang_pred, score (0 to 1), ambiguous.
-    """
+def _predicted(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of `documents` as a struct `row`, beside `SCORED` but for doc_id."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select("doc_id", (fold() == 0).alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = documents.select(F.struct("*").alias("row"), (fold() == 0).alias("held_out"), "text", letters.alias("letters"))
 
     def predict(batches):
         model = shared.value
@@ -177,6 +172,24 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             letters = np.asarray(batch.column(3)).astype(bool) & bool(model.languages)
             best, score = model.decode(model.margins(batch.column(2))) if model.languages else (np.zeros(len(letters), int), np.zeros(len(letters)))
             best, score = np.where(letters, best, len(names) - 1), np.where(letters, score, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(score < AMBIGUOUS)], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
+            columns = [batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(score < AMBIGUOUS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "held_out", "lang_pred", "score", "ambiguous"])
+
+    return rows.mapInArrow(predict, f"row {rows.schema['row'].dataType.simpleString()}, {SCORED}")
+
+
+def identify(documents: DataFrame, model: Model) -> DataFrame:
+    """Predict the language of whole texts, from nothing but the text.
+
+    `documents` needs `doc_id` and `text`; other columns are ignored. Null texts and texts without a letter are `und` with score 0, and so are
+    all texts if nothing was learned. Equal texts get equal results; every row gives a row; an empty table gives none.
+
+    Returns doc_id, held_out, lang_pred, score (0 to 1), ambiguous.
+    """
+    return _predicted(documents.select("doc_id", "text"), model).select("row.doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
 
-    return rows.mapInArrow(predict, SCORED)
+def drop_unidentified(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of `documents`, all columns, whose text has a language with a score of `least` or more; see `identify`."""
+    found = _predicted(documents, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

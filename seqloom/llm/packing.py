@@ -8,6 +8,8 @@ places by their rank among pieces of the same length.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
@@ -24,69 +26,85 @@ RANK_GROUP = 4096  # pieces of one length that one task numbers together
 CACHE = 1 << 20  # atoms of text whose ids a worker keeps
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+CHUNK = 8 << 20  # bytes of text that are cut into atoms together
+JOINED = 512  # atoms that the tokenizer gets in one string, a line each
+
 # A blank before something else than white space always starts a new word of the tokenizer, whatever stands before the
-# blank; texts where a blank precedes more white space or the end are encoded whole.
+# blank; texts where a blank precedes more white space or the end, or with a special token, are encoded whole.
 _IRREGULAR = r" (?:[\s\v\x{1c}-\x{1f}\x{85}\pZ]|$)"
+_PLAIN = re.compile(r" ?[^\s\x1c-\x1f\x85]+(?:\n[^\s\x1c-\x1f\x85]+)*").fullmatch
 
 
 class _Encoder:
     """Ids of whole texts; atoms between blanks are encoded once and looked up after."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.irregular = "|".join([_IRREGULAR, *(re.sub(r"([^A-Za-z0-9])", r"\\\1", t) for t in special)])
+        self.line = self._encode(["\n"])[0][0]
         self.clear()
 
     def clear(self):
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.lengths: list[np.ndarray] = []
-        self.flat = None
+        self.lengths = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.uint32)
+        self.begins = np.zeros(1, dtype=np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), 16):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 16], add_special_tokens=False)]
+        return out
 
     def _learn(self, atoms: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
             self.clear()
         new = [a for a in atoms if a not in self.known]
         if new:
-            ids = self._encode(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.lengths.append(np.array([len(i) for i in ids], dtype=np.int64))
-            self.ids.append(np.array([i for x in ids for i in x], dtype=np.uint32))
-            lengths = np.concatenate(self.lengths)
-            self.lengths = [lengths]
-            self.ids = [np.concatenate(self.ids)]
-            self.flat = np.concatenate([[0], np.cumsum(lengths)])
-        return np.array([self.known[a] for a in atoms], dtype=np.int64)
-
-    def encode(self, texts: pa.Array):
-        """Ids of the texts one after another, and where each begins."""
-        irregular = np.asarray(pc.match_substring_regex(texts, _IRREGULAR)).astype(bool)
-        whole = [(i, ids) for i, ids in zip(np.flatnonzero(irregular), self._encode(texts.filter(pa.array(irregular)).to_pylist()) if irregular.any() else [])]
-        regular = texts.filter(pa.array(~irregular))
-        pieces = pc.split_pattern(regular, " ")
+            # atoms with no white space inside but line feeds between words are lines of one string, as a line feed
+            # between words is a word of its own
+            plain = [a for a in new if _PLAIN(a)]
+            lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+            groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+            for group, encoded in zip(groups, self._encode(["\n".join(g) for g in groups])):
+                encoded = np.array(encoded, dtype=np.uint32)
+                ends = np.append(np.flatnonzero(encoded == self.line), len(encoded))
+                ends = ends[np.cumsum([a.count("\n") + 1 for a in group]) - 1]
+                lengths.append(np.diff(ends, prepend=-1) - 1)
+                ids.append(np.delete(encoded, ends[:-1]))
+            rest = [a for a in new if not _PLAIN(a)]
+            for encoded in self._encode(rest):
+                lengths.append(np.array([len(encoded)]))
+                ids.append(np.array(encoded, dtype=np.uint32))
+            self.known.update(zip(plain + rest, range(len(self.known), len(self.known) + len(new))))
+            self.lengths = np.concatenate([self.lengths, *lengths])
+            self.ids = np.concatenate([self.ids, *ids])
+            self.begins = np.concatenate([[0], np.cumsum(self.lengths)])
+        return np.fromiter(map(self.known.__getitem__, atoms), np.int64, len(atoms))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        irregular = np.asarray(pc.match_substring_regex(texts, self.irregular)).astype(bool)
+        whole = iter(self._encode(texts.filter(pa.array(irregular)).to_pylist()))
+        pieces = pc.split_pattern(texts.filter(pa.array(~irregular)), " ")
         starts = np.asarray(pieces.offsets).astype(np.int64) - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
         first = np.zeros(len(coded), dtype=bool)
-        first[starts[:-1][np.diff(starts) > 0]] = True
+        first[starts[:-1]] = True  # splitting gives every text a piece at least
         code = np.asarray(coded.indices).astype(np.int64) * 2 + ~first
-        used, code = np.unique(code, return_inverse=True)
+        seen = np.bincount(code, minlength=1) > 0
+        used = np.flatnonzero(seen) if len(code) else np.zeros(0, np.int64)
         words = coded.dictionary.take(pa.array(used // 2)).to_pylist()
-        atom = self._learn([w if lead == 0 else " " + w for w, lead in zip(words, (used % 2).tolist())])[code] if len(code) else np.zeros(0, np.int64)
-        lengths = self.lengths[0][atom] if len(atom) else atom
-        ids = self.ids[0][S.ranges(self.flat[atom], lengths)] if len(atom) else np.zeros(0, np.uint32)
-        bounds = np.concatenate([[0], np.cumsum(lengths)])[starts]
-        out, at, encoded = [], 0, dict(whole)
-        for i in range(len(texts)):
-            if i in encoded:
-                out.append(np.array(encoded[i], dtype=np.uint32))
-            else:
-                out.append(ids[bounds[at] : bounds[at + 1]])
-                at += 1
-        return out
+        atoms = self._learn([" " + w if blank else w for w, blank in zip(words, (used % 2).tolist())])
+        atom = atoms[(np.cumsum(seen) - 1)[code]] if len(code) else atoms
+        lengths = self.lengths[atom]
+        ids = self.ids[S.ranges(self.begins[atom], lengths)]
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[starts].tolist()
+        regular = zip(bounds[:-1], bounds[1:])
+        return [np.array(next(whole), dtype=np.uint32) if odd else ids[slice(*next(regular))] for odd in irregular.tolist()]
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
@@ -96,7 +114,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end: in
         encoder = _Encoder(tokenizer)
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1).fill_null("")
-            for first, last, _, _ in S.chunks(texts):
+            for first, last, _, _ in S.chunks(texts, CHUNK):
                 rows = []
                 for doc, ids in zip(docs.slice(first, last - first).to_pylist(), encoder.encode(texts.slice(first, last - first))):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
@@ -126,51 +144,38 @@ def _patterns(lengths: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([twos, threes])
 
 
-def fit_repeats(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Non-negative x with A x near `counts` in least squares (active sets; several columns enter per round)."""
-    n, m = len(counts), len(patterns)
-    x = np.zeros(m)
-    active: list[int] = []
-    padded = np.where(patterns < 0, n, patterns)
-
-    def columns(of):
-        a = np.zeros((n + 1, len(of)))
-        for slot in range(3):
-            np.add.at(a, (padded[of, slot], np.arange(len(of))), 1)
-        return a[:n]
+def fit_repeats(patterns: np.ndarray, counts: np.ndarray, rounds: int = 120) -> np.ndarray:
+    """Non-negative x with A x near `counts` in least squares, A having a column per pattern.
 
-    scale = np.sqrt((columns(np.arange(0)) ** 2).sum()) + 1
+    Block coordinate descent: every round takes patterns with the largest gain that share no length, whose columns are
+    orthogonal, and moves each to its best value. The result is sparse, so that few repeats are lost to rounding.
+    """
+    n = len(counts)
+    x = np.zeros(len(patterns))
+    padded = np.where(patterns < 0, n, patterns)
+    norm = np.zeros(len(patterns))
+    for slot in range(3):
+        norm += (padded == padded[:, [slot]]).sum(axis=1) * (padded[:, slot] < n)
+    left = np.append(counts, 0.0)
     for _ in range(rounds):
-        fitted = np.bincount(padded.ravel(), np.repeat(x, 3), n + 1)[:n]
-        left = np.append(counts - fitted, 0.0)
-        gain = left[padded].sum(axis=1)
-        gain[active] = -1
+        step = np.maximum(left[padded].sum(axis=1) / norm, -x)
+        gain = step * step * norm
         used = np.zeros(n + 1, dtype=bool)
-        enter = []
-        for p in np.argsort(-gain, kind="stable")[: 8 * n]:
-            if gain[p] <= 1e-6 * scale or len(active) + len(enter) >= n:
+        moved = []
+        best = np.argpartition(-gain, min(len(gain) - 1, 4 * n))[: 4 * n + 1]
+        for p in best[np.argsort(-gain[best], kind="stable")].tolist():
+            members = padded[p][padded[p] < n]
+            if gain[p] < 1e-3:
                 break
-            if not used[padded[p][padded[p] < n]].any():
-                used[padded[p][padded[p] < n]] = True
-                enter.append(int(p))
-        if not enter:
+            if not used[members].any():
+                used[members] = True
+                moved.append(p)
+        if not moved:
             break
-        active += enter
-        while active:
-            of = np.array(active)
-            a = columns(of)
-            solved = np.linalg.solve(a.T @ a + 1e-9 * np.eye(len(of)), a.T @ counts)
-            if (solved > 0).all():
-                x[of] = solved
-                break
-            low = solved <= 0
-            step = min(1.0, float((x[of][low] / np.maximum(x[of][low] - solved[low], 1e-12)).min()))
-            x[of] += step * (solved - x[of])
-            gone = of[low & (x[of] <= 1e-9)]
-            if not len(gone):
-                break
-            x[gone] = 0
-            active = [p for p in active if p not in set(gone.tolist())]
+        x[moved] += step[moved]
+        for slot in range(3):
+            np.subtract.at(left, padded[moved, slot], step[moved])
+        left[n] = 0.0
     return x
 
 

@@ -45,7 +45,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets into them) of a string column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -58,11 +58,11 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     if column.null_count:
         # Null rows may own bytes of the buffer; lay the others side by side.
         column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
-        yield from chunks(column)
+        yield from chunks(column, size)
         return
     row = 0
     while row < len(column):
-        end = int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         end = min(max(end, row + 1), len(column))
         base = offsets[row]
         yield row, end, text[base : offsets[end]], offsets[row : end + 1] - base
