@@ -176,9 +176,17 @@ def kmer_dense(df: DataFrame, k: int, alphabet: str, row_id: str = "row_id", seq
     return df.select(row_id, sequence).mapInArrow(run, f"{row_id} bigint, val array<double>")
 
 
-def kmer_counts_fit(df: DataFrame, k: int = 3, alphabet: str = "acgtn", **names) -> DataFrame:
-    """Counts over the observed k-mers of the lower-cased sequence: `(row_id, kmer, n)`."""
-    sequence = names.get("sequence", "sequence")
-    lowered = df.withColumn(sequence, F.lower(F.col(sequence)))
-    counts = kmer_counts(lowered, (k,), alphabet, **names)
-    return counts.withColumn("kmer", kmer_name(F.col("idx"), (k,), alphabet)).drop("idx")
+def kmer_counts_fit(df: DataFrame, k: int = 3, alphabet: str = "acgtn", row_id: str = "row_id", sequence: str = "sequence") -> DataFrame:
+    """Counts over all observed k-mers of the lower-cased sequence: `(row_id, kmer, n)`.
+
+    Rows over `alphabet` are counted as numbers; the rare rows with other letters as strings, as any letter may occur.
+    """
+    lowered = df.select(row_id, F.lower(F.col(sequence)).alias(sequence))
+    other = F.col(sequence).rlike(f"[^{alphabet}]")
+    plain = kmer_counts(lowered.where(~other), (k,), alphabet, row_id, sequence)
+    plain = plain.select(row_id, kmer_name(F.col("idx"), (k,), alphabet).alias("kmer"), "n")
+    letters = F.split(sequence, "")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(letters) - k + 1, F.lit(1))), lambda i: i + (k - 1) <= F.size(letters))
+    kmers = F.transform(starts, lambda i: F.array_join(F.slice(letters, i, F.lit(k)), ""))
+    odd = lowered.where(other).select(row_id, F.explode(kmers).alias("kmer"))
+    return plain.unionByName(odd.groupBy(row_id, "kmer").agg(F.count(F.lit(1)).alias("n")))

@@ -60,15 +60,18 @@ def homology_lookup(df: DataFrame, homology: DataFrame, order: str = "ordinal")
 def attach_embeddings(df: DataFrame, embeddings: DataFrame, key: str = "row_id", check: bool = True) -> DataFrame:
     """Join vectors by row id. With `check`, differing row sets are an error rather than a shorter table.
 
-    The sets are compared by count and hashes of the ids, added up without moving a row.
+    The sets are compared by count and hashes of the ids, added up without moving a row. Repeated ids of vectors
+    are an error as well: with equal sets, ids are then unique on both sides.
     """
 
     def fingerprint(table: DataFrame):
         code = F.xxhash64(key)
-        return table.agg(F.count(key), F.bit_xor(code), F.sum(F.pmod(code, F.lit(1_000_000_007)))).first()
+        return table.agg(F.count(key), F.bit_xor(code), F.sum(code.cast("decimal(38,0)"))).first()
 
     if check and fingerprint(df) != fingerprint(embeddings):
         raise ValueError("rows and embeddings do not match one to one")
+    if check and not embeddings.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError("rows and embeddings do not match one to one: ids repeat")
     return df.join(embeddings, key)
 
 

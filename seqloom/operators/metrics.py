@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.operators.windows import score_steps, value_ranks
 
@@ -19,8 +19,17 @@ def metric_mse(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFra
     return df.groupBy(*by).agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("mse"))
 
 
+def _correlation(p: str, y: str) -> Column:
+    """Pearson's r; null, not an error, where a side is constant or there is one row."""
+    used = F.col(p).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(used, F.col(p).cast("double")), F.when(used, F.col(y).cast("double"))
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    spread = F.when(varies, F.stddev_pop(a) * F.stddev_pop(b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def metric_pearson(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(F.corr(p, y).alias("r"))
+    return df.groupBy(*by).agg(_correlation(p, y).alias("r"))
 
 
 def metric_spearman(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -33,13 +42,13 @@ def metric_spearman(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> Da
         return ranks.select(*by, value, (F.col("rank") - (F.col("n_total") + 1) / 2).alias(name))
 
     both = pairs.join(centred(p, "a"), [*by, p]).join(centred(y, "b"), [*by, y])
-    rho = F.sum(F.expr("w * a * b")) / F.sqrt(F.sum(F.expr("w * a * a")) * F.sum(F.expr("w * b * b")))
+    rho = F.try_divide(F.sum(F.expr("w * a * b")), F.sqrt(F.sum(F.expr("w * a * a")) * F.sum(F.expr("w * b * b"))))
     return both.groupBy(*by).agg(rho.alias("p"))
 
 
 def eval_regression(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
-    plain = df.groupBy(*by).agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("mse"), F.corr(p, y).alias("r"))
+    plain = df.groupBy(*by).agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("mse"), _correlation(p, y).alias("r"))
     rho = metric_spearman(df, p, y, by)
     if by:
         return plain.join(rho, by)
@@ -94,15 +103,19 @@ def group_moments(df: DataFrame, group: str, value: str, by: Sequence[str] = ())
 
 
 def welch_t(pairs: DataFrame) -> DataFrame:
-    """Unequal-variance t, degrees of freedom and two-sided p for pairs of `group_moments` rows."""
+    """Unequal-variance t, degrees of freedom and two-sided p for pairs of `group_moments` rows.
+
+    All three are null for two constant groups.
+    """
     a, b = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(a + b)
-    df = F.pow(a + b, F.lit(2)) / (F.pow(a, F.lit(2)) / (F.col("n_a") - 1) + F.pow(b, F.lit(2)) / (F.col("n_b") - 1))
+    t = F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(a + b))
+    within = F.try_divide(F.pow(a, F.lit(2)), F.col("n_a") - 1) + F.try_divide(F.pow(b, F.lit(2)), F.col("n_b") - 1)
+    df = F.try_divide(F.pow(a + b, F.lit(2)), within)
     out = pairs.withColumns({"t": t, "df": df})
 
     @F.pandas_udf("double")
     def two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series(student_two_sided(t.to_numpy(), df.to_numpy()))
+        return pd.Series(student_two_sided(t.to_numpy(dtype=float), df.to_numpy(dtype=float)))
 
     return out.withColumn("p_value", two_sided("t", "df"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seqloom.operators.projections import strip_prefix
 from seqloom.session import cut_lineage
@@ -29,13 +29,9 @@ def with_row_id(df: DataFrame, *order: str) -> DataFrame:
         "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
     )
     placed = cut_lineage(placed.withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
-    starts, at = {}, 0
-    for row in placed.groupBy("_part").count().orderBy("_part").collect():  # one row per partition
-        starts[row["_part"]], at = at, at + row["count"]
-    if not starts:
-        return df.withColumn("row_id", F.lit(None).cast("bigint"))
-    base = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
-    return placed.withColumn("row_id", (base[F.col("_part")] + F.col("_at")).cast("bigint")).drop("_part", "_at")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
+    starts = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return placed.join(starts, "_part").withColumn("row_id", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
 def row_chunk(df: DataFrame, chunks: int, row_id: str = "row_id") -> DataFrame:

@@ -98,13 +98,18 @@ def split_chromosome(df: DataFrame, test_size: float, seed: int) -> DataFrame:
 
 
 def kmeans_clusters(df: DataFrame, k: int, n_clusters: int, seed: int) -> DataFrame:
-    """`row_id, cluster` from k-means over the k-mer counts of the lower-cased sequence.
+    """`row_id, cluster` from k-means over the counts of all observed k-mers of the lower-cased sequence.
 
     Counts are dense vectors over the small vocabulary; columns no sequence has are zero
     everywhere and change no distance.
     """
     low = spread(df.select("row_id", "sequence"), "row_id").withColumn("sequence", F.lower("sequence"))
-    counts = kmer_dense(low, k, "acgtn")
+    seen = low.select(F.explode(F.array_distinct(F.split("sequence", ""))).alias("letter")).distinct()
+    letters = "".join(sorted({r[0] for r in seen.collect()} | set("acgtn")))  # the letters of an alphabet
+    if len(letters) > 90:
+        raise ValueError(f"sequences of {len(letters)} different letters")
+    code = "".join(chr(33 + i) for i in range(len(letters)))  # a byte each
+    counts = kmer_dense(low.withColumn("sequence", F.translate("sequence", letters, code)), k, code)
     vectors = counts.select("row_id", array_to_vector("val").alias("features"))
     vectors = cut_lineage(vectors)  # k-means reads its input once per iteration
     model = KMeans(k=n_clusters, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)

@@ -52,14 +52,18 @@ def apply_variant(exons: DataFrame, variants: DataFrame) -> DataFrame:
     `variants` names the matched transcript. `exons` has genome coordinates, strand, `before` (bases of
     the transcript ahead of the exon) and the exon text. On the - strand the transcript runs
     backwards, so the allele's last genomic base comes first and ALT is complemented.
+    A variant belongs to the exon that holds its first genomic base. Where REF runs on past that exon, the bases of REF
+    within it are replaced by as many of ALT's; other exons stay as they are.
     """
-    last = F.col("pos") - 1 + F.length("ref") - 1
-    hit = exons.join(variants, "tx_id").filter((F.col("start") <= F.col("pos") - 1) & (F.col("pos") - 1 < F.col("end")))
+    first = F.col("pos") - 1
+    last = F.least(first + F.length("ref"), F.col("end"))  # one past the last base within the exon
+    hit = exons.join(variants, "tx_id").filter((F.col("start") <= first) & (first < F.col("end")))
     forward = F.col("strand") == "+"
-    offset = F.col("before") + F.when(forward, F.col("pos") - 1 - F.col("start")).otherwise(F.col("end") - 1 - last)
-    alt = F.when(forward, F.col("alt")).otherwise(S.reverse_complement(F.col("alt")))
-    placed = hit.select("variant_id", "tx_id", offset.alias("_at"), alt.alias("_alt"), F.length("ref").alias("_len"))
-    whole = assemble_sequence(exons)
+    offset = F.col("before") + F.when(forward, first - F.col("start")).otherwise(F.col("end") - last)
+    within = F.when(first + F.length("ref") <= F.col("end"), F.col("alt")).otherwise(F.left("alt", (F.col("end") - first).cast("int")))
+    alt = F.when(forward, within).otherwise(S.reverse_complement(within))
+    placed = hit.select("variant_id", "tx_id", offset.alias("_at"), alt.alias("_alt"), (last - first).cast("int").alias("_len"))
+    whole = assemble_sequence(exons.join(variants.select("tx_id").distinct(), "tx_id", "left_semi"))
     return placed.join(whole, "tx_id").select(
         "variant_id",
         "tx_id",

@@ -21,12 +21,13 @@ from seqloom.constants import DEFAULT_RATIOS, RIDGE_ALPHAS, RIDGE_FALLBACK_ALPHA
 from seqloom.operators import metrics as M
 from seqloom.operators.projections import drop_null, validate_splits
 from seqloom.operators.splits import get_splits, split_three_way
+from seqloom.session import cut_lineage
 
 REGRESSIONS = ("regression", "reg_ridge", "reg_lin")
 TASKS = (*REGRESSIONS, "classification", "multilabel")
 
-# Exact ridge holds a width x width matrix on the driver, whatever the number of rows: 512 MB here.
-EXACT_WIDTH = 8192
+# Rows of a block of ridge in the form for fewer rows than columns.
+ROW_BLOCK = 1024
 
 # Training rows per task of a gradient fit.
 PART_BYTES = 32 << 20
@@ -104,16 +105,26 @@ def _stack(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def centred_gram(table: DataFrame, mean: np.ndarray, y_mean: float) -> np.ndarray:
-    """Columns of X'X and X'y of the centred data: one partial matrix per task, summed on the executors."""
+def _numbered(train: DataFrame, features: str, y: str) -> DataFrame:
+    """`id, x, y`, written once: a row keeps its number in every pass and on every retry."""
+    table = train.select(F.monotonically_increasing_id().alias("id"), F.col(features).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"))
+    return cut_lineage(table)
+
+
+def centred_gram(table: DataFrame, mean: np.ndarray, y_mean: float, rows: int) -> np.ndarray:
+    """Columns of X'X and X'y of the centred data, width x (width + 1).
+
+    A task's partial sum is as large as `width` rows, so tasks are merged until each has eight times as many: what
+    is shuffled is an eighth of the data at most.
+    """
     width = len(mean)
 
     def partial(batches):
         gram = np.zeros((width, width + 1))
         for batch in batches:
             if len(batch):
-                x = _stack(batch.column(0)) - mean
-                y = batch.column(1).to_numpy(zero_copy_only=False) - y_mean
+                x = _stack(batch.column(1)) - mean
+                y = batch.column(2).to_numpy(zero_copy_only=False) - y_mean
                 gram[:, :width] += x.T @ x
                 gram[:, width] += x.T @ y
         if gram.any():
@@ -126,7 +137,8 @@ def centred_gram(table: DataFrame, mean: np.ndarray, y_mean: float) -> np.ndarra
                     names=["i", "part"],
                 )
 
-    parts = table.mapInArrow(partial, "i int, part array<double>")
+    few = table.coalesce(max(1, rows // (8 * width)))
+    parts = few.mapInArrow(partial, "i int, part array<double>")
     total = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
     out = np.zeros((width, width + 1))
     for row in total.collect():  # width rows
@@ -134,38 +146,103 @@ def centred_gram(table: DataFrame, mean: np.ndarray, y_mean: float) -> np.ndarra
     return out
 
 
+def centred_products(table: DataFrame, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, y, X X') of the centred rows, where rows are fewer than columns.
+
+    Rows are cut into blocks by id; every pair of blocks is multiplied in a task of its own.
+    """
+    ids, y = (np.asarray(c) for c in table.select("id", "y").orderBy("id").toArrow().columns)  # fewer rows than a row has numbers
+    blocks = -(-len(ids) // ROW_BLOCK)
+    edges = ids[::ROW_BLOCK]
+    block = sum((F.when(F.col("id") >= int(e), 1).otherwise(0) for e in edges[1:]), F.lit(0))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("block", o).alias("a"), F.greatest("block", o).alias("b")))
+    spread_out = table.withColumn("block", block).select("id", "block", "x", F.explode(pairs).alias("pair")).select("id", "block", "x", "pair.a", "pair.b")
+
+    def multiply(key, rows):
+        a, b = key[0].as_py(), key[1].as_py()
+        of, at = np.asarray(rows.column("block")), np.asarray(rows.column("id"))
+        x = _stack(rows.column("x").combine_chunks()) - mean
+        left, right = np.flatnonzero(of == a), np.flatnonzero(of == b)
+        product = x[left] @ x[right].T
+        ends = np.arange(len(left) + 1, dtype=np.int32) * len(right)
+        return pa.table({
+            "id": pa.array(at[left]), "other": pa.array([at[right].tolist()] * len(left), pa.list_(pa.int64())),
+            "product": pa.ListArray.from_arrays(pa.array(ends), pa.array(product.ravel())),
+        })
+
+    out = np.zeros((len(ids), len(ids)))
+    for row in spread_out.groupBy("a", "b").applyInArrow(multiply, "id long, other array<long>, product array<double>").toLocalIterator():
+        i, j = np.searchsorted(ids, row["id"]), np.searchsorted(ids, row["other"])
+        out[i, j] = out[j, i] = row["product"]
+    return ids, y, out
+
+
 def probe_ridge_cv(
     train: DataFrame, features: str = "embedding", y: str = "target", alphas: Sequence[float] = RIDGE_ALPHAS
 ) -> FittedProbe:
-    """Ridge with the penalty of the smallest leave-one-out error, exact for every penalty at once.
+    """Ridge with the penalty of the smallest leave-one-out error, exact for every penalty at once and at any width.
 
-    Two passes over the rows. The first sums the centred Gram matrix; its eigenvectors turn each
-    row's leverage into a weighted sum of squares, so the second gets the left-out error of every
-    row and penalty without refitting.
+    The smaller of rows and columns decides the form; the driver holds its square. With fewer columns, the Gram
+    matrix is summed over the rows, and a second pass gets every row's left-out error from the eigenvectors. With
+    fewer rows, the products of rows have all that is needed, and a second pass turns their weights into coefficients.
     """
-    table = train.select(F.col(features).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"))
-    mean, y_mean, _, n = _moments(_vectors(train, features, y))
+    table = _numbered(train, features, y)
+    mean, y_mean, _, n = _moments(_vectors(table, "x", "y"))
+    grid = np.array(alphas, dtype=np.float64)
+    fit = _ridge_by_columns if len(mean) <= n else _ridge_by_rows
+    coef, best = fit(table, mean, y_mean, n, grid)
+    return FittedProbe("reg_ridge", coef[None, :], np.array([y_mean - coef @ mean]), float(grid[best]))
+
+
+def _ridge_by_rows(table: DataFrame, mean: np.ndarray, y_mean: float, n: int, grid: np.ndarray) -> tuple[np.ndarray, int]:
+    ids, y, products = centred_products(table, mean)
+    values, basis = np.linalg.eigh(products)
+    values = np.maximum(values, 0.0)
+    turned = basis.T @ (y - y_mean)
+    errors, weights = [], []
+    for alpha in grid:
+        weight = basis @ (turned / (values + alpha))
+        # residual over 1 - leverage, the intercept taking 1/n of every row
+        residual = (y - y_mean) - products @ weight
+        leverage = (np.square(basis) * (values / (values + alpha))).sum(axis=1) + 1.0 / n
+        # rows that the fit reaches whole have no left-out error but in the limit
+        errors.append(np.square(residual / np.maximum(1.0 - leverage, 1e-12)).sum())
+        weights.append(weight)
+    best = int(np.argmin(errors))
+    shared = table.sparkSession.sparkContext.broadcast((ids, weights[best]))
+
+    def weighted(batches):
+        ids, weight = shared.value
+        total = np.zeros(len(mean))
+        for batch in batches:
+            if len(batch):
+                total += weight[np.searchsorted(ids, np.asarray(batch.column(0)))] @ (_stack(batch.column(1)) - mean)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["part"])
+
+    parts = table.mapInArrow(weighted, "part array<double>")
+    coef = np.array(parts.agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("coef")).first()["coef"])
+    return coef, best
+
+
+def _ridge_by_columns(table: DataFrame, mean: np.ndarray, y_mean: float, n: int, grid: np.ndarray) -> tuple[np.ndarray, int]:
     width = len(mean)
-    if width > EXACT_WIDTH:
-        raise ValueError(f"{width} features exceed the exact solver's {EXACT_WIDTH}")
-    gram = centred_gram(table, mean, y_mean)
+    gram = centred_gram(table, mean, y_mean, n)
     values, basis = np.linalg.eigh(gram[:, :width])
     values = np.maximum(values, 0.0)
     turned = basis.T @ gram[:, width]
-    grid = np.array(alphas, dtype=np.float64)
     shrink = 1.0 / (values[None, :] + grid[:, None])  # penalties x width
 
-    shared = train.sparkSession.sparkContext.broadcast((basis, shrink, shrink * turned, mean))
+    shared = table.sparkSession.sparkContext.broadcast((basis, shrink, shrink * turned, mean))
 
     def left_out(batches):
         basis, shrink, weights, mean = shared.value
         total = np.zeros(len(shrink))
         for batch in batches:
             if len(batch):
-                z = (_stack(batch.column(0)) - mean) @ basis
-                y = batch.column(1).to_numpy(zero_copy_only=False) - y_mean
+                z = (_stack(batch.column(1)) - mean) @ basis
+                y = batch.column(2).to_numpy(zero_copy_only=False) - y_mean
                 error = y[:, None] - z @ weights.T
-                total += np.square(error / (1.0 - 1.0 / n - np.square(z) @ shrink.T)).sum(axis=0)
+                total += np.square(error / np.maximum(1.0 - 1.0 / n - np.square(z) @ shrink.T, 1e-12)).sum(axis=0)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "error"]
         )
@@ -174,8 +251,7 @@ def probe_ridge_cv(
     by_alpha = {r["i"]: r["error"] for r in errors.collect()}  # one row per penalty
     shared.unpersist()
     best = min(range(len(grid)), key=lambda i: (by_alpha[i], i))
-    coef = basis @ (shrink[best] * turned)
-    return FittedProbe("reg_ridge", coef[None, :], np.array([y_mean - coef @ mean]), float(grid[best]))
+    return basis @ (shrink[best] * turned), best
 
 
 def _from_spark(model, task: str, penalty: float | None = None) -> FittedProbe:
@@ -185,7 +261,7 @@ def _from_spark(model, task: str, penalty: float | None = None) -> FittedProbe:
 def probe_ridge_fallback(
     train: DataFrame, features: str = "embedding", y: str = "target", alpha: float = RIDGE_FALLBACK_ALPHA
 ) -> FittedProbe:
-    """Ridge with one fixed penalty by gradient steps, for widths the exact solver cannot hold.
+    """Ridge with one fixed penalty by gradient steps, for data whose eigenvalues do not converge.
 
     The optimiser works on labels divided by their sample deviation, hence the factor.
     """
@@ -281,7 +357,7 @@ def fit_probe(train: DataFrame, task: str, features: str = "embedding", y: str =
     if task in ("regression", "reg_ridge"):
         try:
             return probe_ridge_cv(train, features, y)
-        except ValueError as e:
+        except np.linalg.LinAlgError as e:  # the eigenvalues did not converge; the result's penalty tells
             warnings.warn(f"ridge with a single penalty instead: {e}")
             return probe_ridge_fallback(train, features, y)
     if task == "reg_lin":

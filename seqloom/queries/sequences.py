@@ -122,10 +122,11 @@ def assemble_sequence(spark, sf):
     , pick AS (SELECT variant_id, ref, alt, variant_id % (top + 1) AS tx_id, variant_id FROM tgt)
     , pos AS (SELECT p.variant_id, p.tx_id, p.ref, p.alt, s.strand, s.start AS p0, s.before, s.len FROM pick p JOIN segs s USING (tx_id)
         WHERE s.ordinal = 1)
+    , part AS (SELECT *, least(length(ref), len) AS c, CASE WHEN length(ref) <= len THEN alt ELSE left(alt, len::INT) END AS altp FROM pos)
     SELECT variant_id, tx_id,
-      CASE WHEN strand = '+' THEN alt || substr(s, length(ref) + 1)
-        ELSE left(s, (len - length(ref))::INT) || translate(reverse(alt), 'ACGT', 'TGCA') || substr(s, (len + 1)::INT) END AS var_sequence
-    FROM pos JOIN whole USING (tx_id) WHERE strand = '+' OR len >= length(ref)
+      CASE WHEN strand = '+' THEN altp || substr(s, (c + 1)::INT)
+        ELSE left(s, (len - c)::INT) || translate(reverse(altp), 'ACGT', 'TGCA') || substr(s, (len + 1)::INT) END AS var_sequence
+    FROM part JOIN whole USING (tx_id)
     """,
 )
 def apply_variant(spark, sf):
@@ -134,7 +135,7 @@ def apply_variant(spark, sf):
     top = segs.agg(F.max("tx_id").alias("top")).scalar()
     picked = D.variants(spark, sf).select("variant_id", "ref", "alt", (F.col("variant_id") % (top + 1)).alias("tx_id"))
     first = segs.filter("ordinal = 1").select("tx_id", (F.col("start") + 1).alias("pos"), "strand", "len")
-    at = picked.join(first, "tx_id").filter((F.col("strand") == "+") | (F.col("len") >= F.length("ref")))
+    at = picked.join(first, "tx_id")
     exons = segs.select("tx_id", "ordinal", "start", "end", "before", "seq", "strand")
     return B.apply_variant(exons, at.drop("strand", "len"))
 

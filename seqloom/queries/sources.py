@@ -16,10 +16,9 @@ from seqloom.sources.standins import ctes
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-@query("scan_parquet", "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en'")
+@query("scan_parquet", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def scan_parquet(spark, sf):
-    table = spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{sf}/documents.parquet")
-    return table.filter("lang = 'en'").select("doc_id", "lang", "source", "n_chars")
+    return R.scan_parquet(spark, f"{sf}/documents.parquet")
 
 
 @query("sink_parquet", ctes("seqs") + "SELECT row_id, gene, md5(sequence) AS digest FROM seqs")

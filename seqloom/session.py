@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -40,38 +40,40 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **extra)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input with fewer partitions than the cluster has cores.
+    """Spread an input that is one file over the cores before long per-row work.
 
-    A file with one row group is one task, however long its per-row work takes. Inputs that
-    already have enough partitions, as any large table does, are returned unshuffled.
+    The plan's size estimate decides, so nothing runs: an input that Spark cuts into as many tasks as there are
+    cores anyway is returned unshuffled.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
+    spark = df.sparkSession
+    wanted = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= wanted * int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()):
         return df
     return df.repartition(wanted, *keys)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder so later passes and retries read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`, of the session or the context.
 
-    The folder is the session's `spark.checkpoint.dir`. Local sessions without one get a temporary
-    folder; on a cluster without one the rows are only cached, which a lost executor recomputes.
+    Where it is unset, a local session, whose tasks run in the driver, gets a temporary folder; any other must set it.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and re.match(r"local($|\[)", spark.sparkContext.master):
+        folder = tempfile.mkdtemp(prefix="spark-seqloom-")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared checkpoint folder so later passes and retries read it back."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and context.master.startswith("local"):
-            shared = tempfile.mkdtemp(prefix="seqloom-ckpt-")
-        if shared is None:
-            return df.persist()
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder for a written table: under the shared checkpoint folder where one is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/seqloom/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="seqloom-"), name)
+    """A new folder for a written table, within the shared folder."""
+    return f"{shared_folder(spark)}/seqloom/{name}-{uuid.uuid4().hex}"

@@ -221,3 +221,18 @@ def test_null_and_empty_targets(spark):
         P.validate_splits(df.withColumn("split", F.lit("train")), "t", "k")
     with pytest.raises(ValueError, match="val is empty"):
         P.validate_splits(df.filter("row_id = 1").withColumn("split", F.lit("train")), "t", "k", ("train", "val"))
+
+
+def test_variant_at_exon_edges(spark):
+    exons = spark.createDataFrame(
+        [("p", 1, 100, 104, 0, "AAAA", "+"), ("p", 2, 200, 204, 4, "CCCC", "+"), ("m", 1, 200, 204, 0, "AAAA", "-"), ("m", 2, 100, 104, 4, "CCCC", "-")],
+        "tx_id string, ordinal int, start long, end long, before long, seq string, strand string")
+    variants = spark.createDataFrame(
+        [(1, "p", 104, "AA", "GG"),  # last base of exon 1 and the intron
+         (2, "p", 204, "CC", "GG"),  # past the transcript's end
+         (3, "m", 104, "GG", "TA"),  # leaves the second exon on its 5' side
+         (4, "m", 204, "TT", "GG"),  # past the transcript's start
+         (5, "p", 101, "A", "GTG"), (6, "m", 101, "GG", "T")],
+        "variant_id int, tx_id string, pos long, ref string, alt string")
+    got = {r.variant_id: r.var_sequence for r in B.apply_variant(exons, variants).collect()}
+    assert got == {1: "AAAGCCCC", 2: "AAAACCCG", 3: "AAAAACCC", 4: "CAAACCCC", 5: "GTGAAACCCC", 6: "AAAACCA"}

@@ -153,3 +153,9 @@ def test_codon_aware_chunks(spark):
             want.append((seq[start:end], cds[start:end]))
             start = end
         assert got.get(i, []) == want
+
+
+def test_observed_kmers_of_other_letters(spark):
+    df = spark.createDataFrame([(1, "ACGRYACG"), (2, "acgacg"), (3, "AR"), (4, ""), (5, None)], "row_id long, sequence string")
+    got = {(r.row_id, r.kmer): r.n for r in K.kmer_counts_fit(df, 3).collect()}
+    assert got == {(1, "acg"): 2, (1, "cgr"): 1, (1, "gry"): 1, (1, "rya"): 1, (1, "yac"): 1, (2, "acg"): 2, (2, "cga"): 1, (2, "gac"): 1}

@@ -128,3 +128,18 @@ def test_welch_and_adjustment(spark):
     assert sorted(r.adj_p for r in out.values()) == pytest.approx(want)
     significant = W.bh_adjust(tests, "p_value", alpha=0.05).collect()
     assert [(r.g_a, r.g_b) for r in significant] and all(r.adj_p <= 0.05 for r in significant)
+
+
+def test_constant_and_single_rows_give_null(spark):
+    rows = [("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("one", 4.0, 5.0), ("ok", 1.0, 2.0), ("ok", 2.0, 4.0), ("ok", 3.0, 5.0)]
+    df = spark.createDataFrame(rows, "g string, p double, y double")
+    got = {r.g: r for r in M.eval_regression(df, "p", "y", ["g"]).collect()}
+    assert got["flat"].r is None and got["flat"].p is None and got["flat"].mse == 2.5
+    assert got["one"].r is None and got["one"].p is None
+    assert got["ok"].p == pytest.approx(1.0) and got["ok"].r == pytest.approx(0.9819805)
+
+
+def test_welch_of_constant_groups_is_null(spark):
+    pairs = spark.createDataFrame([(1.0, 0.0, 5, 2.0, 0.0, 5)], "mean_a double, var_a double, n_a long, mean_b double, var_b double, n_b long")
+    row = M.welch_t(pairs).first()
+    assert row.t is None and row.df is None and (row.p_value is None or row.p_value != row.p_value)

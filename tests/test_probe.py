@@ -46,13 +46,36 @@ def test_ridge_fallback_and_ols(spark, data):
     x, y = data
     np.testing.assert_allclose(P.probe_ridge_fallback(frame(spark, x, y), alpha=5.0).coef[0], ridge(x, y, 5.0)[0], rtol=1e-5)
     np.testing.assert_allclose(P.probe_linear(frame(spark, x, y)).coef[0], ridge(x, y, 0.0)[0], rtol=1e-7)
-    old, P.EXACT_WIDTH = P.EXACT_WIDTH, 3
-    try:
-        with pytest.warns(UserWarning, match="single penalty"):
-            wide = P.fit_probe(frame(spark, x, y), "reg_ridge")
-    finally:
-        P.EXACT_WIDTH = old
-    np.testing.assert_allclose(wide.coef[0], ridge(x, y, 1e-3)[0], rtol=1e-4)
+
+
+def left_out(x, y, alphas):
+    """Leave-one-out errors of ridge with an intercept, through the products of rows: any width."""
+    errors = []
+    for a in alphas:
+        total = 0.0
+        for i in range(len(y)):
+            xt, yt = np.delete(x, i, 0), np.delete(y, i)
+            xc = xt - xt.mean(axis=0)
+            w = xc.T @ np.linalg.solve(xc @ xc.T + a * np.eye(len(yt)), yt - yt.mean())
+            total += (y[i] - yt.mean() - (x[i] - xt.mean(axis=0)) @ w) ** 2
+        errors.append(total)
+    return errors
+
+
+@pytest.mark.parametrize("width,block", [(60, 1024), (60, 7), (9000, 16)])
+def test_ridge_with_more_columns_than_rows(spark, monkeypatch, width, block):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, width)).astype(np.float32).astype(float)
+    y = x[:, :5].sum(axis=1) + rng.normal(size=40)
+    alphas = (0.1, 10.0, 1000.0, 20000.0)
+    monkeypatch.setattr(P, "ROW_BLOCK", block)
+    probe = P.probe_ridge_cv(frame(spark, x, y), alphas=alphas)
+    best = alphas[int(np.argmin(left_out(x, y, alphas)))]
+    assert probe.penalty == best
+    xc = x - x.mean(axis=0)
+    w = xc.T @ np.linalg.solve(xc @ xc.T + best * np.eye(40), y - y.mean())
+    np.testing.assert_allclose(probe.coef[0], w, rtol=1e-6, atol=1e-10)
+    assert probe.intercept[0] == pytest.approx(y.mean() - w @ x.mean(axis=0))
 
 
 def newton(x, y):
