@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -23,10 +25,10 @@ from seqloom.session import cut_lineage
 SIZE = 1024
 END = 2
 RANK_GROUP = 4096  # pieces of one length that one task numbers together
-CACHE = 1 << 20  # atoms of text whose ids a worker keeps
+CACHE = 1 << 22  # atoms of text whose ids a worker keeps, the first it meets
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-CHUNK = 8 << 20  # bytes of text that are cut into atoms together
+CHUNK = 4 << 20  # bytes of text that are cut into atoms together
 JOINED = 512  # atoms that the tokenizer gets in one string, a line each
 
 # A blank before something else than white space always starts a new word of the tokenizer, whatever stands before the
@@ -36,7 +38,7 @@ _PLAIN = re.compile(r" ?[^\s\x1c-\x1f\x85]+(?:\n[^\s\x1c-\x1f\x85]+)*").fullmatc
 
 
 class _Encoder:
-    """Ids of whole texts; atoms between blanks are encoded once and looked up after."""
+    """Ids of whole texts; atoms between blanks are encoded once and then found by their 64-bit hash."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker per core
@@ -46,13 +48,10 @@ class _Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.irregular = "|".join([_IRREGULAR, *(re.sub(r"([^A-Za-z0-9])", r"\\\1", t) for t in special)])
         self.line = self._encode(["\n"])[0][0]
-        self.clear()
-
-    def clear(self):
-        self.known: dict[str, int] = {}
+        self.keys = np.zeros(0, dtype=np.uint64)  # ascending
+        self.slots = np.zeros(0, dtype=np.int64)  # of the keys, in the arrays below
         self.lengths = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
-        self.begins = np.zeros(1, dtype=np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         out = []
@@ -60,58 +59,80 @@ class _Encoder:
             out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 16], add_special_tokens=False)]
         return out
 
-    def _learn(self, atoms: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self.clear()
-        new = [a for a in atoms if a not in self.known]
-        if new:
-            # atoms with no white space inside but line feeds between words are lines of one string, as a line feed
-            # between words is a word of its own
-            plain = [a for a in new if _PLAIN(a)]
-            lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-            groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-            for group, encoded in zip(groups, self._encode(["\n".join(g) for g in groups])):
-                encoded = np.array(encoded, dtype=np.uint32)
-                ends = np.append(np.flatnonzero(encoded == self.line), len(encoded))
-                ends = ends[np.cumsum([a.count("\n") + 1 for a in group]) - 1]
-                lengths.append(np.diff(ends, prepend=-1) - 1)
-                ids.append(np.delete(encoded, ends[:-1]))
-            rest = [a for a in new if not _PLAIN(a)]
-            for encoded in self._encode(rest):
-                lengths.append(np.array([len(encoded)]))
-                ids.append(np.array(encoded, dtype=np.uint32))
-            self.known.update(zip(plain + rest, range(len(self.known), len(self.known) + len(new))))
-            self.lengths = np.concatenate([self.lengths, *lengths])
-            self.ids = np.concatenate([self.ids, *ids])
-            self.begins = np.concatenate([[0], np.cumsum(self.lengths)])
-        return np.fromiter(map(self.known.__getitem__, atoms), np.int64, len(atoms))
+    def _encode_atoms(self, atoms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """In which order, how many ids each, and the ids.
+
+        Atoms with no white space inside but line feeds between words are lines of one string, as a line feed
+        between words is a word of its own.
+        """
+        fits = np.array([_PLAIN(a) is not None for a in atoms], dtype=bool)
+        lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        plain = [a for a, fit in zip(atoms, fits) if fit]
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, encoded in zip(groups, self._encode(["\n".join(g) for g in groups])):
+            encoded = np.array(encoded, dtype=np.uint32)
+            ends = np.append(np.flatnonzero(encoded == self.line), len(encoded))
+            ends = ends[np.cumsum([a.count("\n") + 1 for a in group]) - 1]
+            lengths.append(np.diff(ends, prepend=-1) - 1)
+            ids.append(np.delete(encoded, ends[:-1]))
+        for encoded in self._encode([a for a, fit in zip(atoms, fits) if not fit]):
+            lengths.append(np.array([len(encoded)]))
+            ids.append(np.array(encoded, dtype=np.uint32))
+        return np.concatenate([np.flatnonzero(fits), np.flatnonzero(~fits)]), np.concatenate(lengths), np.concatenate(ids)
+
+    def _look_up(self, keys: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Slots of distinct atoms, and the arrays to find them in; atoms met for the first time are encoded."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        slots = np.zeros(len(keys), dtype=np.int64)
+        slots[known] = self.slots[at[known]]
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return slots, self.lengths, self.ids
+        raw = text.tobytes()
+        order, lengths, ids = self._encode_atoms([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+        slots[new[order]] = len(self.lengths) + np.arange(len(new))
+        lengths, ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+        if len(lengths) <= CACHE:  # beyond, what is new is encoded where it stands and not kept
+            self.keys, self.slots = np.insert(self.keys, at[new], keys[new]), np.insert(self.slots, at[new], slots[new])
+            self.lengths, self.ids = lengths, ids
+        return slots, lengths, ids
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         irregular = np.asarray(pc.match_substring_regex(texts, self.irregular)).astype(bool)
         whole = iter(self._encode(texts.filter(pa.array(irregular)).to_pylist()))
-        pieces = pc.split_pattern(texts.filter(pa.array(~irregular)), " ")
-        starts = np.asarray(pieces.offsets).astype(np.int64) - pieces.offsets[0].as_py()
-        coded = pieces.flatten().dictionary_encode()
-        first = np.zeros(len(coded), dtype=bool)
-        first[starts[:-1]] = True  # splitting gives every text a piece at least
-        code = np.asarray(coded.indices).astype(np.int64) * 2 + ~first
-        seen = np.bincount(code, minlength=1) > 0
-        used = np.flatnonzero(seen) if len(code) else np.zeros(0, np.int64)
-        words = coded.dictionary.take(pa.array(used // 2)).to_pylist()
-        atoms = self._learn([" " + w if blank else w for w, blank in zip(words, (used % 2).tolist())])
-        atom = atoms[(np.cumsum(seen) - 1)[code]] if len(code) else atoms
-        lengths = self.lengths[atom]
-        ids = self.ids[S.ranges(self.begins[atom], lengths)]
-        bounds = np.concatenate([[0], np.cumsum(lengths)])[starts].tolist()
-        regular = zip(bounds[:-1], bounds[1:])
-        return [np.array(next(whole), dtype=np.uint32) if odd else ids[slice(*next(regular))] for odd in irregular.tolist()]
+        found: list[np.ndarray] = []
+        for _, _, text, offsets in S.chunks(texts.filter(pa.array(~irregular)), CHUNK):
+            # an atom begins with its text or with the blank before it
+            starts = np.union1d(np.flatnonzero(text == 0x20), offsets[:-1][np.diff(offsets) > 0])
+            ends = np.append(starts[1:], len(text))[: len(starts)]
+            keys, at, code = np.unique(S.span_hashes(S.prefix_sums(text), starts, ends), return_index=True, return_inverse=True)
+            slots, lengths, ids = self._look_up(keys, text, starts[at], ends[at])
+            slot = slots[code]
+            begins = np.cumsum(lengths) - lengths
+            flat = ids[S.ranges(begins[slot], lengths[slot])]
+            bounds = np.concatenate([[0], np.cumsum(lengths[slot])])[np.searchsorted(starts, offsets)].tolist()
+            found += [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        regular = iter(found)
+        return [np.array(next(whole), dtype=np.uint32) if odd else next(regular) for odd in irregular.tolist()]
+
+
+def _encoder(path: str) -> _Encoder:
+    """The encoder of a tokenizer, kept while its Python worker lives, as one worker runs many tasks."""
+    state = sys.modules.setdefault("_seqloom_worker", types.ModuleType("_seqloom_worker"))
+    kept = vars(state).setdefault("encoders", {})
+    if path not in kept:
+        kept[path] = _Encoder(path)
+    return kept[path]
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
     """Documents as pieces of at most `size` tokens; only the first piece of a longer document may be shorter."""
 
     def cut(batches):
-        encoder = _Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1).fill_null("")
             for first, last, _, _ in S.chunks(texts, CHUNK):

@@ -179,8 +179,9 @@ def learn_rules(counts: np.ndarray, bad: np.ndarray, seed: int = 5) -> list[list
 def fit(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> list[list[Condition]]:
     """Learn from the texts that `labels` marks with quality 0 or 1; repeated marks count once, 0 before 1."""
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(marks, "doc_id")
-    found = statistics(labelled_sample(rows, "quality", per_label), "doc_id", "quality").toArrow().sort_by("doc_id")  # twice `per_label` rows at most about
+    chosen = F.broadcast(labelled_sample(marks, "quality", per_label))  # twice `per_label` rows at most about
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
+    found = statistics(rows, "doc_id", "quality").toArrow().sort_by("doc_id")
     counts = np.stack([np.asarray(found.column(c)) for c in COUNTS], axis=1).reshape(-1, len(COUNTS))
     return learn_rules(counts, np.asarray(found.column("quality")) == 0)
 

@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 10).
 
 Method: two interpolated Kneser-Ney models over the bytes of words, one for toxic and one for ordinary texts. The longest n-grams are counted
-per class; everything shorter is one set of continuation counts that both classes back off to, so an expression that
-either class hardly saw is judged by shared evidence. A text is scored by its length-normalised log-likelihood ratio
-and by its two words that speak most for toxicity; a logistic curve over these, fitted on a fold that its counts leave out, gives the score.
+per class, in a bounded sample of labelled texts; everything shorter is one set of continuation counts over the whole
+corpus that both classes back off to, so an expression that either class hardly saw is judged by shared evidence. A text is scored by its length-normalised log-likelihood ratio
+and by the words that speak most for toxicity; a logistic curve over these, fitted on a fold that its counts leave out, gives the score.
 """
 
 from __future__ import annotations
@@ -13,15 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seqloom.llm import spans as S
+from seqloom.llm.homes import member
 from seqloom.llm.samples import fold, labelled_sample
 from seqloom.session import cut_lineage
 
 ORDER = 6  # bytes; n-grams fit a 64-bit number as they are
 DISCOUNT = 0.75
+BACKOFF = 5.0  # occurrences' worth of shared evidence in every context of a class
+EXCESS = 2.0  # nats from which on a word counts
 BITS = {6: 20, 5: 19, 4: 19, 3: 18, 2: 16, 1: 8}  # of the count tables that tasks get, whatever the corpus has
-#: Labelled rows per class for the logistic curve.
-PER_LABEL = 10_000
-PRIOR = 1e-3  # ridge of the curve
+#: Labelled rows per class to learn from.
+PER_LABEL = 50_000
+PRIOR = 1e-4  # ridge of the curve
+PLACES = (1, 2, 4, 8)  # words of a text that count on their own
+FEATURES = 3 + len(PLACES)
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -86,6 +91,24 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")])
 
 
+def corpus_grams(documents: DataFrame) -> DataFrame:
+    """The different n-grams of all texts, each once; tasks drop what they have sent."""
+
+    def distinct(batches):
+        kept = np.zeros(0, np.uint64)
+        for batch in batches:
+            for _, _, text, starts, ends, _ in _distinct_words(batch.column(0)):
+                if not len(starts):
+                    continue
+                new = np.unique(_grams(text, starts, ends)[1])
+                new = new[~member(new, kept)]
+                if len(new):
+                    kept = np.union1d(kept, new) if len(kept) < 1 << 22 else new
+                    yield pa.RecordBatch.from_arrays([pa.array(new.astype(np.int64))], names=["gram"])
+
+    return documents.select("text").mapInArrow(distinct, "gram long").distinct()
+
+
 def _bucket(keys: np.ndarray, order: int) -> np.ndarray:
     return (S.mix(keys + np.uint64(order << 56)) & np.uint64((1 << BITS[order]) - 1)).astype(np.int64)
 
@@ -112,27 +135,34 @@ def _tables(counts: DataFrame, order: int) -> DataFrame:
     return counts.select("gram", *names).mapInArrow(gather, schema).groupBy("kind", "bucket").agg(*[F.sum(c).alias(c) for c in out])
 
 
+def _arrays(counts: DataFrame, order: int) -> dict[tuple[int, str], np.ndarray]:
+    found = _tables(counts, order).toArrow()  # 2 * 2**BITS rows at most
+    kind, at = np.asarray(found.column("kind")), np.asarray(found.column("bucket"))
+    of = {}
+    for name in found.column_names[2:]:
+        for k in (0, 1):
+            of[k, name] = np.zeros(1 << BITS[order], dtype=np.float32)
+            of[k, name][at[kind == k]] = np.asarray(found.column(name))[kind == k]
+    return of
+
+
+def shared_tables(grams: DataFrame) -> dict[int, dict]:
+    """Continuation counts of all shorter n-grams: how many different bytes stand before each in the corpus."""
+    tables = {}
+    for order in range(ORDER - 1, 0, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
+        grams = cut_lineage(grams.groupBy(shorter).agg(F.count(F.lit(1)).alias("n0")))
+        tables[order] = _arrays(grams, order)
+    return tables
+
+
 class Model:
     """Count tables of bounded size, and the curve from features to a score."""
 
-    def __init__(self, counts: DataFrame):
-        """`counts`: gram, n0, n1 over all labelled texts."""
-        self.tables: dict[int, dict[tuple[int, str], np.ndarray]] = {}
+    def __init__(self, counts: DataFrame, shared: dict[int, dict]):
+        """`counts`: gram, n0, n1 over labelled texts; `shared`: tables of the shorter n-grams."""
+        self.tables = {**shared, ORDER: _arrays(counts, ORDER)}
         self.curve = None
-        for order in range(ORDER, 0, -1):
-            found = _tables(counts, order).toArrow()  # 2 * 2**BITS rows at most
-            kind, at = np.asarray(found.column("kind")), np.asarray(found.column("bucket"))
-            of = {}
-            for name in found.column_names[2:]:
-                for k in (0, 1):
-                    table = np.zeros(1 << BITS[order], dtype=np.float32)
-                    table[at[kind == k]] = np.asarray(found.column(name))[kind == k]
-                    of[k, name] = table
-            self.tables[order] = of
-            # how many different bytes stand before the n-gram that is one byte shorter
-            mask = (1 << 8 * (order - 1)) - 1
-            seen = (F.col("n0") + F.col("n1")) > 0 if order == ORDER else F.lit(True)
-            counts = counts.where(seen).groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count(F.lit(1)).alias("n0"))
 
     def ratios(self, grams: np.ndarray) -> np.ndarray:
         """log P(last byte | the others, toxic) - log P(.. | ordinary)."""
@@ -150,33 +180,34 @@ class Model:
         logs = []
         for c in "01":
             total, types = of[1, f"sum{c}"][context], of[1, f"types{c}"][context]
-            share = np.maximum(of[0, f"sum{c}"][here] - DISCOUNT, 0) + DISCOUNT * types * shared
-            logs.append(np.log(np.maximum(np.where(total > 0, share / np.maximum(total, 1), shared), 1e-12)))
+            share = np.maximum(of[0, f"sum{c}"][here] - DISCOUNT, 0) + (DISCOUNT * types + BACKOFF) * shared
+            logs.append(np.log(np.maximum(share / (total + BACKOFF), 1e-12)))
         return logs[1] - logs[0]
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """Per text: length-normalised ratio, and the ratios of its two words that speak most for toxicity."""
-        out = np.zeros((len(column), 3))
+        """Per text: length-normalised ratio, and the ratios of the words that come 1st, 2nd, 4th and 8th
+        in speaking for toxicity, and what words have beyond `EXCESS`, by the root of the text's length and by its length."""
+        out = np.zeros((len(column), FEATURES))
         for first, bounds, text, starts, ends, code in _distinct_words(column):
             if not len(starts):
                 continue
             word, gram = _grams(text, starts, ends)
             gram, of = np.unique(gram, return_inverse=True)
             per_word = np.bincount(word, self.ratios(gram)[of], len(starts))
-            n, filled = len(bounds) - 1, np.flatnonzero(np.diff(bounds))
+            n = len(bounds) - 1
             row = np.repeat(np.arange(n), np.diff(bounds))
             value = per_word[code]
             size = np.bincount(row, (ends - starts + 1)[code], n)
-            top = np.zeros(n)
-            top[filled] = np.maximum.reduceat(value, bounds[:-1][filled])
-            # the second best, where another place has the same word too
-            at = np.flatnonzero(value == top[row])
-            once = at[np.unique(row[at], return_index=True)[1]]
-            rest = value.copy()
-            rest[once] = 0
-            second = np.zeros(n)
-            second[filled] = np.maximum.reduceat(rest, bounds[:-1][filled])
-            out[first : first + n] = np.stack([100 * np.bincount(row, value, n) / np.maximum(size, 1), np.maximum(top, 0), np.maximum(second, 0)], axis=1)
+            out[first : first + n, 0] = 100 * np.bincount(row, value, n) / np.maximum(size, 1)
+            over = np.bincount(row, np.maximum(value - EXCESS, 0), n)
+            length = np.maximum(np.diff(bounds), 1)
+            out[first : first + n, -2:] = np.stack([over / np.sqrt(length), 100 * over / (length + 20)], axis=1)
+            at = np.flatnonzero(value > 0)
+            at = at[np.lexsort((-value[at], row[at]))]
+            begins = np.searchsorted(row[at], np.arange(n + 1))
+            for i, place in enumerate(PLACES):
+                has = np.flatnonzero(np.diff(begins) >= place)
+                out[first + has, i + 1] = value[at[begins[has] + place - 1]]
         return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
@@ -185,16 +216,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.curve[1:] + self.curve[0], -30, 30)))
 
 
+_NAMES = [f"f{i}" for i in range(FEATURES)]
+
+
 def _feature_rows(rows: DataFrame, model: Model, *kept: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def compute(batches):
         for batch in batches:
             found = shared.value.features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(kept))), *(pa.array(f) for f in found.T)], names=[*kept, "f0", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(kept))), *(pa.array(f) for f in found.T)], names=[*kept, *_NAMES])
 
     types = dict(rows.dtypes)
-    return rows.select("text", *kept).mapInArrow(compute, ", ".join(f"{k} {types[k]}" for k in kept) + ", f0 double, f1 double, f2 double")
+    return rows.select("text", *kept).mapInArrow(compute, ", ".join(f"{k} {types[k]}" for k in kept) + "".join(f", {f} double" for f in _NAMES))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -211,19 +245,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Learn from all documents outside the held-out fold that `labels` marks with toxic 0 or 1; repeated labels count once, 1 before 0."""
-    marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Learn from documents outside the held-out fold that `labels` marks with toxic 0 or 1, `per_label` of either at most about.
+
+    Repeated marks count once, 1 before 0. The shared counts are those of all documents outside that fold.
+    """
+    marks = labels.where(F.col("toxic").isin(0, 1) & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = F.broadcast(labelled_sample(marks, "toxic", per_label))  # twice `per_label` rows at most about
     texts = documents.where((fold() != 0) & F.col("text").isNotNull()).select("doc_id", "text", fold().alias("fold"))
-    rows = texts.join(marks, "doc_id").select("doc_id", "text", "toxic", (F.col("toxic") + 2 * (F.col("fold") == 4).cast("int")).alias("group"))
+    rows = texts.join(chosen, "doc_id").select("text", "toxic", (F.col("toxic") + 2 * (F.col("fold") == 4).cast("int")).alias("group"))
+    shared = shared_tables(corpus_grams(texts))
     counts = cut_lineage(count_grams(rows))
     of = lambda *names: counts.select("gram", *[sum((F.col(n) for n in c[1:]), F.col(c[0])).alias(f"n{i}") for i, c in enumerate(names)])
-    apart = Model(of(["a0"], ["a1"]))
-    sample = labelled_sample(rows.where(F.col("group") >= 2), "toxic", per_label)
-    found = _feature_rows(sample, apart, "toxic").toArrow()  # twice `per_label` rows at most about
-    model = Model(of(["a0", "b0"], ["a1", "b1"]))
+    apart = Model(of(["a0"], ["a1"]), shared)
+    found = _feature_rows(rows.where(F.col("group") >= 2), apart, "toxic").toArrow()  # a part of the sample
+    model = Model(of(["a0", "b0"], ["a1", "b1"]), shared)
     y = np.asarray(found.column("toxic")).astype(float)
     if len(set(y.tolist())) == 2:
-        model.curve = _logistic(np.stack([np.asarray(found.column(f)) for f in ("f0", "f1", "f2")], axis=1), y)
+        model.curve = _logistic(np.stack([np.asarray(found.column(f)) for f in _NAMES], axis=1), y)
     return model
 
 
