@@ -200,30 +200,13 @@ def member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
 # -- anchors: hashes at the positions of a difference cover
 
 
-def send_anchors(texts: DataFrame, slots: int, anchors: Callable, id_mask: np.uint64 = SHORT) -> DataFrame:
-    """`anchors(column)` yields (first row, row of each anchor, hash of each anchor) per chunk of texts.
-
-    A body: the identities of its texts, how many anchors each has, and the anchors in order of the texts.
-    """
+def send_anchors(texts: DataFrame, slots: int, anchors: Callable) -> DataFrame:
+    """`anchors(column)` yields (first row, row of each anchor, hash of each anchor) per chunk of texts."""
     rows = texts.select("text", F.xxhash64("key").alias("id"), "key")
 
     def emit(batches):
         seen: set[str] = set()
-        ids, hashes, held = [], [], 0
-
-        def send():
-            key, owner = np.concatenate(hashes), np.concatenate(ids)
-            of = slot_of(key << np.uint64(16), slots)
-            order = np.argsort(of, kind="stable")
-            key, owner, of = key[order], owner[order], of[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b > a:
-                    runs = np.concatenate([[0], np.flatnonzero(np.diff(owner[a:b])) + 1])
-                    counts = np.diff(np.concatenate([runs, [b - a]]))
-                    head = np.array([len(runs)], dtype=np.int64).tobytes()
-                    yield message([(int(of[a]), 2, head + planes(owner[a:b][runs]) + planes(counts) + planes(key[a:b]))])
-
+        writer = AnchorWriter(slots)
         for batch in batches:
             keys = batch.column(2).to_pylist()
             fresh = []
@@ -232,22 +215,45 @@ def send_anchors(texts: DataFrame, slots: int, anchors: Callable, id_mask: np.ui
                     seen.add(k)
                     fresh.append(i)
             batch = batch.take(pa.array(fresh, pa.int64()))
-            number = (np.asarray(batch.column(1)).astype(np.int64).view(np.uint64) & id_mask).view(np.int64)
+            number = (np.asarray(batch.column(1)).astype(np.int64).view(np.uint64) & SHORT).view(np.int64)
             for first, row, key in anchors(batch.column(0)):
-                key = key & SHORT
-                if len(key):
-                    ids.append(number[first + row])
-                    hashes.append(key)
-                    held += len(key)
-                if held >= FLUSH:
-                    yield from send()
-                    ids, hashes, held = [], [], 0
-        if held:
-            yield from send()
+                yield from writer.add(number[first + row], key)
+        yield from writer.send()
 
     return rows.mapInArrow(emit, MESSAGE)
 
 
+class AnchorWriter:
+    """Collects anchors and their texts and sends them to slots. A body: its texts, how many anchors each has, the anchors."""
+
+    def __init__(self, slots: int):
+        self.slots, self.ids, self.hashes, self.held = slots, [], [], 0
+
+    def add(self, ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """`ids` have runs of equal values, one for each text."""
+        if len(keys):
+            self.ids.append(ids)
+            self.hashes.append(keys & SHORT)
+            self.held += len(keys)
+        if self.held >= FLUSH:
+            yield from self.send()
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        key, owner = np.concatenate(self.hashes), np.concatenate(self.ids)
+        self.ids, self.hashes, self.held = [], [], 0
+        of = slot_of(key << np.uint64(16), self.slots)
+        order = np.argsort(of, kind="stable")
+        key, owner, of = key[order], owner[order], of[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            runs = np.concatenate([[0], np.flatnonzero(np.diff(owner[a:b])) + 1])
+            counts = np.diff(np.concatenate([runs, [b - a]]))
+            head = np.array([len(runs)], dtype=np.int64).tobytes()
+            yield message([(int(of[a]), 2, head + planes(owner[a:b][runs]) + planes(counts) + planes(key[a:b]))])
+
+
 def read_anchors(bodies) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text identity) of every anchor sent to a slot."""
     keys, owners = [], []

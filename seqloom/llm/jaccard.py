@@ -4,9 +4,11 @@ Method: an R-tree over count vectors. A text's shingles are hashed into groups,
 most the sum of the smaller counts, and two boxes of points at most the sum of their smaller upper corners. Pairs of leaves and then of
 points that this bound leaves are verified on the sets themselves.
 
+Points of unrelated texts of one size lie close, so the tree holds only texts that can have a partner. Of every second shingle it is
+found out whether another text has it; a text with more shingles of its own than a link may leave out has no partner.
 The root splits by connected candidates: texts that share a shingle among those that a text must share with any partner
-(all but the last `THRESHOLD` of its shingles in one global order, common shingles last). Below it, leaves hold texts of like size.
-A pair whose texts are already connected by verified links of its leaves needs no check of its own.
+(all but the last `PERCENT` of its shingles in one global order). Below it, leaves hold texts of like size. A pair whose
+texts are already connected by verified links of its leaves needs no check of its own.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ SHINGLE = 5
 PERCENT = 75
 GROUPS = 128  # coordinates of a point
 CORNERS = 16  # coordinates of the boxes of leaves, each the sum of neighbouring groups
-LEAF = 256  # texts in a leaf at most about
+LEAF = 1024  # texts in a leaf at most about
+LEAF_SHINGLES = 1 << 20  # shingles of the texts of a leaf at most about
 _ID, _FIRST, _EMPTY, _AGAIN = (f"seqloom {x}" for x in ("id", "first", "empty", "again"))  # names that no input has
-COMMON = 100_000  # shingles in the list of common ones at most
 
 
 def _sets(column, shingle: int):
@@ -54,20 +56,6 @@ def _must_share(sizes: np.ndarray, percent: int) -> np.ndarray:
     return sizes - -(-percent * sizes // 100) + (sizes > 0)
 
 
-def _common_shingles(texts: DataFrame, shingle: int, least: int, tasks: int) -> np.ndarray:
-    """Shingles of at least `least` texts, as far as tasks see them often; only the order of shingles depends on this list."""
-    often = max(2, least // (4 * tasks))
-
-    def count(batches):
-        keys = [key for batch in batches for *_, key in _sets(batch.column(0), shingle)]
-        if keys:
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key[n >= often].astype(np.int64)), pa.array(n[n >= often])], names=["key", "n"])
-
-    found = texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.asarray(found.select("key").toArrow().column("key")).astype(np.uint64))  # `COMMON` keys at most
-
-
 def _vectors(sets: list[np.ndarray]) -> np.ndarray:
     """Shingles per group of hash values, one row for each ascending set."""
     out = np.zeros((len(sets), GROUPS), dtype=np.int32)
@@ -111,58 +99,61 @@ def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFram
     """`documents` as doc_id, text, key, id, and id, n_shingles, first (smallest doc_id of the text), component_id of every text."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), H.text_key().alias("key"), F.xxhash64(H.text_key()).alias("id"))
     size = H.text_bytes(documents)
-    homes, slots = H.parts(size, H.HOME_BYTES), H.parts(0.4 * size, H.SLOT_BYTES)
-    # every word starts a shingle at most, and is a byte and a blank at least
-    least = max(200, -(-size // (2 * COMMON)))
-    tasks = max(1, H.parts(size, 32 << 20))
-    common = documents.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle, least, tasks))
-
-    def first_shingles(column):
-        for begin, n, of, key in _sets(column, shingle):
-            late = H.member(key, common.value)
-            order = np.lexsort((key, late, of))
-            of, key = of[order], key[order]
-            sizes = np.bincount(of, minlength=n)
-            begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            keep = np.arange(len(key)) - begins[of] < _must_share(sizes, percent)[of]
-            yield begin, of[keep], key[keep]
-
-    def meet(table):
-        key, owner = H.read_anchors(table.column("body"))
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        star = owner[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        linked = star != owner
-        node, root = components(owner[linked], star[linked])
-        return pa.table({"a": pa.array(node[node != root]), "b": pa.array(root[node != root])})
+    homes, slots = H.parts(size, H.HOME_BYTES), H.parts(0.6 * size, H.SLOT_BYTES)
 
-    sent = H.send_anchors(texts, slots, first_shingles, np.uint64(2**64 - 1))
-    candidates = connected(sent.repartition(2 * slots, "slot").groupBy("slot").applyInArrow(meet, "a long, b long"))
-    slot = F.pmod(F.col("node").bitwiseAND(F.lit(int(H.SHORT))), F.lit(homes)).alias("slot")
+    def every_second(column):
+        for begin, _, of, key in _sets(column, shingle):
+            chosen = (key & np.uint64(1)) == 0
+            yield begin, of[chosen], key[chosen]
 
-    def measure(key, packs, chosen):
-        """Size of every text of a home; the set and the corners of the point of the candidates."""
+    def measure(key, packs, answered):
+        """Size of every text of a home; the set and the corners of the point of those that may have a partner."""
         if not len(packs):
             return facts_schema.empty_table()
-        home = H.Home(packs, None)
-        roots = dict(zip(chosen.column("node").to_pylist(), chosen.column("root").to_pylist()))
+        home = H.Home(packs, answered)
         rows = []
         for begin, n, of, keys in _sets(home.texts, shingle):
             bounds = np.searchsorted(of, np.arange(n + 1))
+            own = ((keys & np.uint64(1)) == 0) & ~H.member(keys & H.SHORT, home.answered(2))
+            owned = np.concatenate([[0], np.cumsum(own)])
             for i in range(n):
                 mine = keys[bounds[i] : bounds[i + 1]]
-                root = roots.get(home.ids[begin + i])
-                corners = _vectors([mine]).reshape(CORNERS, -1).sum(axis=1).tolist() if root is not None else None
-                rows.append((home.ids[begin + i], int(home.first[begin + i]), len(mine), root, corners, mine.tobytes() if root is not None else None))
+                size = len(mine)
+                chosen = size > 0 and 100 * (size - (owned[bounds[i + 1]] - owned[bounds[i]])) >= percent * size
+                corners = _vectors([mine]).reshape(CORNERS, -1).sum(axis=1).tolist() if chosen else None
+                rows.append((home.ids[begin + i], int(home.first[begin + i]), size, corners, mine.tobytes() if chosen else None))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), facts_schema)], schema=facts_schema)
 
-    facts_schema = pa.schema([("id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("corners", pa.list_(pa.int32())), ("shingles", pa.binary())])
+    facts_schema = pa.schema([("id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("corners", pa.list_(pa.int32())), ("shingles", pa.binary())])
+    shared = H.repeated_anchors(H.send_anchors(texts, slots, every_second), homes, slots)
     dealt = H.to_homes(texts, homes).repartition(2 * homes, "slot").groupBy("slot")
-    chosen = candidates.select(slot, "node", "root").repartition(2 * homes, "slot").groupBy("slot")
-    facts = cut_lineage(dealt.cogroup(chosen).applyInArrow(measure, "id long, first long, n long, root long, corners array<int>, shingles binary"))
+    facts = dealt.cogroup(shared.repartition(2 * homes, "slot").groupBy("slot")).applyInArrow(measure, "id long, first long, n long, corners array<int>, shingles binary")
+    facts = cut_lineage(facts)
+    points = facts.where("shingles is not null")
+
+    def first_shingles(batches):
+        writer = H.AnchorWriter(slots)
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                mine = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+                mine = mine[: int(_must_share(np.array([len(mine)]), percent)[0])]
+                yield from writer.add(np.full(len(mine), number, dtype=np.int64), mine)
+        yield from writer.send()
+
+    def meet(table):
+        key, owner = H.read_anchors(table.column("body"))
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        star = owner[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        linked = star != owner
+        node, root = components(owner[linked], star[linked])
+        return pa.table({"a": pa.array(node[node != root]), "b": pa.array(root[node != root])})
 
-    links = _verified(facts.where("root is not null"), percent)
+    sent = points.select("id", "shingles").mapInArrow(first_shingles, H.MESSAGE)
+    candidates = connected(sent.repartition(2 * slots, "slot").groupBy("slot").applyInArrow(meet, "a long, b long"))
+    points = points.join(candidates, F.col("id") == F.col("node")).select("id", "n", "root", "corners", "shingles")
+    links = _verified(points, percent)
     classes = facts.select("id", "first", "n").join(connected(links), F.col("id") == F.col("node"), "left")
     classes = classes.select("id", "first", "n", F.coalesce("root", "id").alias("root"))
     firsts = classes.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -205,7 +196,7 @@ def _verified(points: DataFrame, percent: int) -> DataFrame:
     """Links a-b of candidates: bound pairs of leaves, then pairs of points, then the sets."""
     band = F.floor(4 * F.log2(F.greatest("n", F.lit(1)))).cast("int")
     sized = points.withColumn("band", band)
-    filled = sized.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("leaves"))
+    filled = sized.groupBy("root", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / LEAF, F.sum("n") / LEAF_SHINGLES)).alias("leaves"))
     # texts of like size share leaves; where there are more than a leaf takes, their hashes deal them out
     leaf = F.struct("root", "band", F.pmod(F.xxhash64("id"), F.col("leaves")).alias("part"))
     placed = sized.join(filled, ["root", "band"]).select(F.xxhash64(leaf).alias("leaf"), "root", "id", "n", "corners", "shingles")
