@@ -24,6 +24,7 @@ from seqloom.session import cut_lineage
 
 SIZE = 1024
 END = 2
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)  # of the fitted repeats that are tried
 RANK_GROUP = 4096  # pieces of one length that one task numbers together
 CACHE = 1 << 22  # atoms of text whose ids a worker keeps, the first it meets
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -200,31 +201,11 @@ def fit_repeats(patterns: np.ndarray, counts: np.ndarray, rounds: int = 120) ->
     return x
 
 
-def plan_sequences(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences), using every piece of the histogram once."""
-    left = np.zeros(size + 1, dtype=np.int64)
-    for length, n in histogram.items():
-        left[length] = n
-    plan = [((size,), int(left[size]))] if left[size] else []
-    left[size] = 0
-    lengths = np.flatnonzero(left)
-    if len(lengths) > 1:
-        patterns = _patterns(lengths, size)
-        if len(patterns):
-            x = fit_repeats(patterns, left[lengths].astype(float))
-            for p in np.argsort(-x, kind="stable"):
-                if x[p] < 0.5:
-                    break
-                members = tuple(int(lengths[i]) for i in patterns[p] if i >= 0)
-                repeats = min(int(round(x[p])), *(int(left[m]) // members.count(m) for m in members))
-                if repeats > 0:
-                    for m in members:
-                        left[m] -= repeats
-                    plan.append((members, repeats))
-    # what is left: longest first, each time the longest that still fits
+def _best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns for all of `left` (uses it up): longest first, each time the longest that still fits."""
+    plan = []
     while left.any():
-        room, members = size, []
-        here = left.copy()
+        room, members, here = size, [], left.copy()
         while True:
             fits = np.flatnonzero(here[: room + 1])
             if not len(fits):
@@ -240,6 +221,34 @@ def plan_sequences(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tu
     return plan
 
 
+def plan_sequences(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, how many such sequences), using every piece of the histogram once.
+
+    Fitted repeats are rounded down, whole and by the `SHARES`: residuals that keep the histogram's shape pack better
+    than what an all but perfect fit leaves. The plan with the fewest sequences is taken.
+    """
+    counts = np.zeros(size + 1, dtype=np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    whole = [((size,), int(counts[size]))] if counts[size] else []
+    counts[size] = 0
+    lengths = np.flatnonzero(counts)
+    patterns = _patterns(lengths, size) if len(lengths) else np.zeros((0, 3), dtype=int)
+    x = fit_repeats(patterns, counts[lengths].astype(float)) if len(patterns) else np.zeros(0)
+    used = [(p, tuple(int(lengths[i]) for i in patterns[p] if i >= 0)) for p in np.argsort(-x, kind="stable").tolist() if x[p] * max(SHARES) >= 1]
+    plans = []
+    for share in SHARES:
+        left, plan = counts.copy(), []
+        for p, members in used:
+            repeats = min(int(x[p] * share), *(int(left[m]) // members.count(m) for m in members))
+            if repeats > 0:
+                for m in members:
+                    left[m] -= repeats
+                plan.append((members, repeats))
+        plans.append(plan + _best_fit(left, size))
+    return whole + min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
 def _places(plan) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length: from which rank on a pattern serves, its first sequence, and its offsets for that length."""
     places: dict[int, list] = {}
