@@ -38,22 +38,21 @@ def versionless_join(spark, sf):
 @query(
     "replicate_join",
     """
-    WITH a AS (SELECT l_partkey // 10 AS utr, l_partkey, avg(l_discount) AS v, l_returnflag AS f FROM lineitem GROUP BY ALL)
+    WITH a AS (SELECT l_partkey // 4 AS utr, l_partkey, avg(l_discount) AS v, l_returnflag AS f FROM lineitem GROUP BY ALL)
     SELECT a.utr, round(a.v, 9) AS rep_1, round(n.v, 9) AS rep_2, round(r.v, 9) AS rep_3
-    FROM a JOIN a n ON a.utr = n.utr AND n.f = 'N' AND n.l_partkey % 5 = 0 JOIN a r ON a.utr = r.utr AND r.f = 'R' AND r.l_partkey % 5 = 1
+    FROM a JOIN a n ON a.utr = n.utr AND n.f = 'N' JOIN a r ON a.utr = r.utr AND r.f = 'R'
     WHERE a.f = 'A'
     """,
 )
 def replicate_join(spark, sf):
-    """Three replicates keyed by part tens, so keys repeat and pair up many-to-many."""
+    """Three replicates keyed by four parts each, so keys repeat and pair up many-to-many."""
     means = D.table(spark, sf, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.round(F.avg("l_discount"), 9).alias("v"))
-    keyed = means.withColumn("utr", F.floor(F.col("l_partkey") / 10))
-    part = F.col("l_partkey") % 5
+    keyed = means.withColumn("utr", F.floor(F.col("l_partkey") / 4))
 
-    def rep(flag, name, keep):
-        return keyed.filter((F.col("l_returnflag") == flag) & keep).select("utr", F.col("v").alias(name))
+    def rep(flag, name):
+        return keyed.filter(F.col("l_returnflag") == flag).select("utr", F.col("v").alias(name))
 
-    return J.replicate_join([rep("A", "rep_1", F.lit(True)), rep("N", "rep_2", part == 0), rep("R", "rep_3", part == 1)], "utr")
+    return J.replicate_join([rep("A", "rep_1"), rep("N", "rep_2"), rep("R", "rep_3")], "utr")
 
 
 @query(
@@ -105,14 +104,15 @@ def homology_lookup(spark, sf):
     return J.homology_lookup(D.keyed(spark, sf), homology_map(spark, sf)).select("row_id", "gene_group")
 
 
-@query("attach_embeddings", "SELECT doc_id AS row_id, source AS gene, label, floor(embedding[1]::DOUBLE * 1000000)::BIGINT AS x FROM documents JOIN embeddings ON vec_id = doc_id")
+@query("attach_embeddings", "SELECT doc_id AS row_id, source AS gene, label, list_sum([floor(v::DOUBLE * 1000000)::BIGINT FOR v IN embedding])::BIGINT AS x FROM documents JOIN embeddings ON vec_id = doc_id")
 def attach_embeddings(spark, sf):
     """Documents that have a vector, joined one to one by id."""
     vectors = D.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id")
     docs = D.keyed(spark, sf)
     rows = docs.join(vectors.select("row_id"), "row_id", "left_semi")
     out = J.attach_embeddings(rows, vectors.join(docs.select("row_id"), "row_id", "left_semi"))
-    return out.select("row_id", "gene", "label", F.floor(F.col("embedding")[0].cast("double") * 1000000).alias("x"))
+    total = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda n, v: n + F.floor(v.cast("double") * 1000000))
+    return out.select("row_id", "gene", "label", total.alias("x"))
 
 
 GRID_SQL = """

@@ -59,17 +59,17 @@ def metric_auprc(spark, sf):
 @query(
     "metric_micro",
     f"""
-    WITH flat AS (SELECT vec_id % 3 AS run, unnest([round(x::DOUBLE, 2) FOR x IN embedding[1:10]]) AS p, unnest([(label = i)::INT FOR i IN range(10)]) AS y FROM embeddings),
+    WITH flat AS (SELECT vec_id % 3 AS run, unnest([round(x::DOUBLE, 2) FOR x IN embedding]) AS p, unnest([(label = i)::INT FOR i IN range(len(embedding))]) AS y FROM embeddings),
     {rank_sql("flat", "run")}
     SELECT run, round(auroc, 9) AS auroc, round(auprc, 9) AS auprc FROM roc JOIN prc USING (run)
     """,
 )
 def metric_micro(spark, sf):
-    """The first ten coordinates as scores of the ten labels."""
+    """Every coordinate as the score of the label of its number."""
     rows = D.table(spark, sf, "embeddings").select(
         (F.col("vec_id") % 3).alias("run"),
-        F.transform(F.slice("embedding", 1, 10), lambda x: F.round(x.cast("double"), 2)).alias("p"),
-        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.col("label") == i).cast("int")).alias("y"),
+        F.transform("embedding", lambda x: F.round(x.cast("double"), 2)).alias("p"),
+        F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: (F.col("label") == i).cast("int")).alias("y"),
     )
     out = M.metric_micro(rows, "p", "y", BY)
     return out.select("run", F.round("auroc", 9).alias("auroc"), F.round("auprc", 9).alias("auprc"))

@@ -53,10 +53,7 @@ def scan_csv_multi(spark, sf):
         target = f"{path}/GSM1_{flag.lower()}.csv"
         part = items.filter(F.col("l_returnflag") == flag)
         part.select(F.concat(F.lit("key"), "l_partkey").alias("utr"), F.col("l_discount").alias("rl")).write.csv(target, header=True)
-    # Spark writes a folder per table, so the experiment comes from the folder in this round trip
-    table = spark.read.csv(f"{path}/*.csv", header=True)
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    rows = table.select("utr", F.col("rl").cast("double").alias("rl"), F.regexp_extract(folder, r"^[^_]*_(.*?)\.csv", 1).alias("experiment"))
+    rows = R.scan_csv_multi(spark, f"{path}/*.csv")
     return rows.groupBy("utr", "experiment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rl"), 9).alias("rl"))
 
 
@@ -168,7 +165,9 @@ def sink_results(spark, sf):
     f"WITH {RESULTS_SQL} SELECT model, seed, metric, value FROM res WHERE seed IN (413, 321, 2515) AND model = 'm3'",
 )
 def scan_results(spark, sf):
-    rows = R.filter_results(results(spark, sf), [413, 321, 2515], model="m3", dataset="events")
+    path = scratch(spark, "results")
+    R.sink_results(results(spark, sf), path)
+    rows = R.scan_results(spark, path, [413, 321, 2515], model="m3", dataset="events")
     return rows.select("model", "seed", "metric", "value")
 
 

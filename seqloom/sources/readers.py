@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from seqloom.functions import sequence as S
+from seqloom.session import cut_lineage
 
 TRACK = T.ArrayType(T.ByteType())
 DATASET = T.StructType(
@@ -28,6 +29,7 @@ DATASET = T.StructType(
 HOMOLOGY = T.StructType([T.StructField("gene_name", T.StringType()), T.StructField("gene_group", T.LongType())])
 REPLICATE = T.StructType([T.StructField("utr", T.StringType()), T.StructField("rl", T.DoubleType())])
 RESULT_KEYS = ("dataset", "model", "task", "target", "split_type", "seed")
+RESULT_FOLDERS = ("dataset", "model")
 RESULTS = T.StructType(
     [T.StructField(k, T.StringType()) for k in RESULT_KEYS[:-1]]
     + [
@@ -66,10 +68,12 @@ def scan_csv_columns(spark: SparkSession, path, *columns: tuple[str, str]) -> Da
 def scan_csv_multi(spark: SparkSession, glob: str, key: str = "utr", value: str = "rl") -> DataFrame:
     """All replicate files in one read: `key, value, experiment, replicate_file`.
 
-    The experiment is the file name without its leading accession and its ending.
+    The experiment is the file name without its leading accession and its ending; of a table that Spark wrote, the
+    folder's name.
     """
     table = spark.read.csv(glob, header=True)
-    file = F.col("_metadata.file_name")
+    steps = F.split(F.col("_metadata.file_path"), "/")
+    file = F.when(F.element_at(steps, -2).rlike(r"\.csv(\.gz)?$"), F.element_at(steps, -2)).otherwise(F.col("_metadata.file_name"))
     return table.select(
         F.col(key),
         F.col(value).cast("double").alias(value),
@@ -140,18 +144,27 @@ def scan_embeddings(spark: SparkSession, path: str, dataset: str, model: str) ->
 
 
 def sink_results(df: DataFrame, path: str) -> None:
-    """Write metric rows; a run that is there already is replaced, other runs stay."""
+    """Write metric rows; a run that is there already is replaced, other runs stay.
+
+    A folder per dataset and model, not per run. What the folders to be written hold of other runs is read first.
+    """
+    rows = df.select(*RESULTS.names)
+    if exists(df.sparkSession, path):
+        stored = df.sparkSession.read.schema(RESULTS).parquet(path)
+        others = stored.join(rows.select(*RESULT_FOLDERS).distinct(), [*RESULT_FOLDERS], "left_semi")
+        others = others.join(rows.select(*RESULT_KEYS).distinct(), [*RESULT_KEYS], "left_anti")
+        rows = cut_lineage(rows.unionByName(others.select(*RESULTS.names)))
     (
-        df.repartition(*RESULT_KEYS)  # one file per run
+        rows.repartition(*RESULT_FOLDERS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*RESULT_KEYS)
+        .partitionBy(*RESULT_FOLDERS)
         .parquet(path)
     )
 
 
 def scan_results(spark: SparkSession, path: str, seeds: Sequence[int] | None = None, **keys: str) -> DataFrame:
-    """Metric rows of the given seeds and keys; every condition prunes folders."""
+    """Metric rows of the given seeds and keys; dataset and model prune folders, the rest is pushed to the files."""
     return filter_results(spark.read.schema(RESULTS).parquet(path), seeds, **keys)
 
 
