@@ -56,4 +56,5 @@ NO_PRINCIPALITY = 100
 # Columns every dataset may have, in no particular order.
 INVARIANT_COLUMNS = ("sequence", "gene", "chromosome", "cds", "splice")
 
+# Names of the split types.
 SPLIT_TYPES = ("default", "homology", "kmer", "chromosome", "hard-kmer")

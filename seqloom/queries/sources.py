@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.constants import SEEDS
 from seqloom.functions import sequence as S
 from seqloom.operators import sets as U
+from seqloom.plans.report import report
 from seqloom.registry import query
 from seqloom.session import scratch
 from seqloom.sources import catalogue as C, readers as R, standins as D
@@ -171,6 +172,30 @@ def scan_results(spark, sf):
     return rows.select("model", "seed", "metric", "value")
 
 
+@query(
+    "report",
+    f"""
+    WITH {RESULTS_SQL}, t AS (SELECT CASE model WHEN 'm3' THEN 'm3-utronly' ELSE model END AS model,
+        CASE metric WHEN 'purchase' THEN 'auprc' WHEN 'click' THEN 'r' ELSE metric END AS metric, value
+      FROM res WHERE NOT (model = 'm5' AND metric = 'purchase')),
+    ci AS (SELECT model, metric, avg(value) AS mean, 1.96 * stddev_pop(value) / sqrt(count(*)) AS ci FROM t GROUP BY ALL),
+    best AS (SELECT * FROM ci WHERE metric = 'auprc' OR (metric = 'r' AND model NOT IN (SELECT model FROM ci WHERE metric = 'auprc')))
+    SELECT 'events' AS dataset, 'target' AS target, model, round(mean, 8) AS mean, round(ci, 8) AS ci,
+      CASE WHEN model <> 'm9' THEN 'class ' || right(model, 1)::INT % 2 END AS model_class
+    FROM best WHERE NOT contains(model, 'utronly')
+    """,
+)
+def report_query(spark, sf):
+    """Runs of users as models: purchases stand for the preferred metric, clicks for the next; one model lacks the first."""
+    marked = F.when(F.col("model") == "m3", "m3-utronly").otherwise(F.col("model"))
+    metric = F.when(F.col("metric") == "purchase", "auprc").when(F.col("metric") == "click", "r").otherwise(F.col("metric"))
+    rows = results(spark, sf).where(~((F.col("model") == "m5") & (F.col("metric") == "purchase"))).withColumns({"model": marked, "metric": metric})
+    number = F.right("model", F.lit(1)).cast("int")
+    classes = results(spark, sf).select("model").distinct().where("model <> 'm9'").withColumn("model_class", F.concat(F.lit("class "), (number % 2).cast("string")))
+    out = report(rows, classes)
+    return out.select("dataset", "target", "model", F.round("mean", 8).alias("mean"), F.round("ci", 8).alias("ci"), "model_class")
+
+
 @query(
     "task_catalog",
     """
