@@ -29,6 +29,8 @@ _LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0x80 for b in range
 
 def codewords(n: int) -> np.ndarray:
     """n rows of -1 and +1: every split of the languages for up to 6, else the best of seeded random codes."""
+    if n < 2:
+        return np.ones((n, 0), dtype=np.int8)
     if n <= 6:
         splits = [(1, *rest) for rest in itertools.product((1, -1), repeat=n - 1) if -1 in rest]
         return np.array(splits, dtype=np.int8).reshape(-1, n).T

@@ -13,6 +13,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seqloom.session import cut_lineage
+
 CONTAINED = 0.8
 BLOCK, STEP = 32, 16  # words of a block, and from one block to the next; templates of up to STEP + 1 words lie within one
 
@@ -134,6 +136,7 @@ def find_licenses(documents: DataFrame, templates: dict[str, list[str]] | None =
     shared = F.size(F.array_intersect("tokens", "ranks"))
     found = met.where(shared >= F.col("need")).groupBy("key").agg(
         F.collect_set("label").alias("found"), F.max(shared / F.size("ranks")).alias("share"))
+    found = cut_lineage(found)  # then both sides of the join are plain, and a text with very many copies can be split
 
     joined = base.join(found, "key", "left")
     own = F.array_sort(F.array_distinct(F.transform(F.coalesce("places", F.array().cast("array<struct<at:int,label:string>>")), lambda p: p["label"])))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqloom.session import cut_lineage
 
+SPREAD = 32  # tasks over which a node's links are spread
+
 
 def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) of links a-b."""
@@ -29,8 +31,8 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, root) of links a-b, root being the smallest node of the component.
 
     Alternates two kinds of steps until nothing changes: larger neighbours are linked to a node's smallest neighbour, then
-    smaller ones. Every step aggregates before it joins, so a node with very many links is spread over tasks, and
-    every round is written to the checkpoint folder.
+    smaller ones. Minima are aggregated before they are joined, and a node with very many links is spread over tasks.
+    Every round is written to the checkpoint folder.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = cut_lineage(links)
@@ -38,7 +40,10 @@ def connected(links: DataFrame) -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        # the centre of a star has very many larger neighbours: they meet copies of its minimum in `SPREAD` places
+        least = least.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        larger = both.where("b > a").withColumn("place", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
+        large = larger.join(least, ["a", "place"]).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("least"))
         joined = large.join(low, "a")
         small = joined.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(low.select("a", F.col("least").alias("b")))

@@ -52,8 +52,8 @@ def test_one_of_each_class_stays(docs, rows):
     got = jaccard.drop_linked(docs)
     assert got.columns == docs.columns
     kept = [(r.doc_id, r.text, r.source) for r in got.collect()]
-    # 1, 15 and 16 are copies of 0, 2 nearly; 7 has the words of 6; 14 came twice; wordless rows stay
-    gone = {1, 2, 7, 15, 16}
+    # 1 is a copy of 0, 2 and 16 nearly; 15 differs, as only A-Z are lower-cased; 7 has the words of 6; 14 came twice; wordless rows stay
+    gone = {1, 2, 7, 16}
     want = [r for r in dict.fromkeys(rows) if r[0] not in gone]
     assert C.ordered(kept) == C.ordered(want)
 
