@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.llm import benchmark, boilerplate, jaccard, language, packing
 from seqloom.llm.queries import table
+from seqloom.llm.samples import small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; wordless and undecidable ones go."""
+    small_batches(spark)
     return language.drop_unidentified(docs, language.fit(docs))
 
 
@@ -27,6 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    small_batches(spark)
     return jaccard.drop_linked(docs)
 
 
@@ -37,6 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in training sequences."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -26,7 +26,7 @@ SIZE = 1024
 END = 2
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)  # of the fitted repeats that are tried
 RANK_GROUP = 512  # pieces of one length that one task numbers together
-CACHE = 1 << 22  # atoms of text whose ids a worker keeps, the first it meets
+CACHE = 1_500_000  # atoms of text whose ids a worker keeps, the first it meets
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 CHUNK = 4 << 20  # bytes of text that are cut into atoms together

@@ -6,6 +6,7 @@ import textwrap
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seqloom.llm.samples import small_batches
 from seqloom.registry import Entry
 
 ENTRIES: dict[str, Entry] = {}
@@ -20,6 +21,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,8 +1,18 @@
-"""Bounded samples of labelled rows, and the fold that keeps documents out of learning."""
+"""Bounded samples of labelled rows, the fold that keeps documents out of learning, and the size of Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are wide rows: fewer of them go to a Python worker at a time, unless the session asks for less yet."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def fold(doc_id: str = "doc_id") -> Column:

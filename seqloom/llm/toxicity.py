@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from seqloom.llm import spans as S
@@ -140,7 +141,7 @@ def _arrays(counts: DataFrame, order: int) -> dict[tuple[int, str], np.ndarray]:
     kind, at = np.asarray(found.column("kind")), np.asarray(found.column("bucket"))
     of = {}
     for name in found.column_names[2:]:
-        for k in (0, 1):
+        for k in (0, 1) if name.startswith("sum") else (1,):
             of[k, name] = np.zeros(1 << BITS[order], dtype=np.float32)
             of[k, name][at[kind == k]] = np.asarray(found.column(name))[kind == k]
     return of
@@ -164,6 +165,18 @@ class Model:
         self.tables = {**shared, ORDER: _arrays(counts, ORDER)}
         self.curve = None
 
+    def __getstate__(self):
+        """Tables travel compressed: most buckets are empty or small."""
+        packed = {order: {k: pa.compress(t.tobytes(), codec="zstd", asbytes=True) for k, t in of.items()} for order, of in self.tables.items()}
+        return {"packed": packed, "curve": self.curve}
+
+    def __setstate__(self, state):
+        self.curve = state["curve"]
+        self.tables = {
+            order: {k: np.frombuffer(pa.decompress(t, 4 << BITS[order], codec="zstd"), np.float32) for k, t in of.items()}
+            for order, of in state["packed"].items()
+        }
+
     def ratios(self, grams: np.ndarray) -> np.ndarray:
         """log P(last byte | the others, toxic) - log P(.. | ordinary)."""
         shared = np.full(len(grams), 1 / 256)
@@ -219,9 +232,7 @@ class Model:
 _NAMES = [f"f{i}" for i in range(FEATURES)]
 
 
-def _feature_rows(rows: DataFrame, model: Model, *kept: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
+def _feature_rows(rows: DataFrame, shared: Broadcast, *kept: str) -> DataFrame:
     def compute(batches):
         for batch in batches:
             found = shared.value.features(batch.column(0))
@@ -257,7 +268,9 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
     counts = cut_lineage(count_grams(rows))
     of = lambda *names: counts.select("gram", *[sum((F.col(n) for n in c[1:]), F.col(c[0])).alias(f"n{i}") for i, c in enumerate(names)])
     apart = Model(of(["a0"], ["a1"]), shared)
-    found = _feature_rows(rows.where(F.col("group") >= 2), apart, "toxic").toArrow()  # a part of the sample
+    sent = documents.sparkSession.sparkContext.broadcast(apart)
+    found = _feature_rows(rows.where(F.col("group") >= 2), sent, "toxic").toArrow()  # a part of the sample
+    sent.destroy()
     model = Model(of(["a0", "b0"], ["a1", "b1"]), shared)
     y = np.asarray(found.column("toxic")).astype(float)
     if len(set(y.tolist())) == 2:
@@ -274,7 +287,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     Returns doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
     """
     rows = documents.select("doc_id", (fold() == 0).alias("held_out"), "text")
-    found = _feature_rows(rows, model, "doc_id", "held_out")
+    found = _feature_rows(rows, documents.sparkSession.sparkContext.broadcast(model), "doc_id", "held_out")
     curve = model.curve
     if curve is None:
         value = F.lit(0.0)
