@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from seqloom.llm import spans as S
 
 WIDTH = 10
-#: Bytes of items in one automaton. More items are scanned for in blocks of this size, one pass each.
-BLOCK_BYTES = 8 << 20
+#: Bytes of items in one automaton, which takes some 400 times as much memory. More items are scanned for in blocks, one pass each.
+BLOCK_BYTES = 1 << 19
 
 FOUND = "n_words long, hit array<int>, items array<string>, spans array<struct<start:int,end:int>>"
 _TABLE = bytes(int(S.LOWER[b]) if S.ALNUM[b] else 0x20 for b in range(256))
