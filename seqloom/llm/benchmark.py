@@ -83,7 +83,7 @@ def _scan(texts: DataFrame, items, width: int) -> DataFrame:
             found = [pa.array(c, t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["row", "key", "n_words", "hit", "items", "spans"])
 
-    return texts.mapInArrow(search, f"row {texts.schema['row'].dataType.simpleString()}, key string, {FOUND}")
+    return texts.mapInArrow(S.tidy(search), f"row {texts.schema['row'].dataType.simpleString()}, key string, {FOUND}")
 
 
 def _found(documents: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> DataFrame:

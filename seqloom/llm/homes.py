@@ -18,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seqloom.llm.spans import release, tidy
+
 MESSAGE = "slot long, kind int, body binary"
 ARROW = pa.schema([("slot", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 HOME_BYTES = 16 << 20  # bytes of text per home
 SLOT_BYTES = 16 << 20  # bytes of hashes per slot
 PACK_BYTES = 4 << 20  # bytes of text in one message
-FLUSH = 1 << 22  # hashes that a task holds before it sends them
+FLUSH = 1 << 20  # hashes that a task holds before it sends them
 SHORT = np.uint64((1 << 48) - 1)  # bits of anchors, which only propose, and of the identity of texts beside them
 NEVER = np.iinfo(np.int64).max  # order of a row without doc_id
 
@@ -136,7 +138,7 @@ def to_homes(texts: DataFrame, homes: int) -> DataFrame:
             batch = pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(n, pa.int64()) for n in numbers)], ["key", "id", "first", "copies"])
             yield message([(home, 1, ipc(batch))])
 
-    return rows.mapInArrow(pack, MESSAGE)
+    return rows.mapInArrow(tidy(pack), MESSAGE)
 
 
 class Home:
@@ -172,7 +174,9 @@ def at_homes(packs: DataFrame, answers: DataFrame, homes: int, work: Callable, s
     """
 
     def step(key, texts, answered):
-        return work(Home(texts, answered) if len(texts) else None, key[0].as_py())
+        out = work(Home(texts, answered) if len(texts) else None, key[0].as_py())
+        release()
+        return out
 
     grouped = packs.repartition(2 * homes, "slot").groupBy("slot")
     return grouped.cogroup(answers.repartition(2 * homes, "slot").groupBy("slot")).applyInArrow(step, schema)
@@ -183,7 +187,9 @@ def at_slots(messages: DataFrame, slots: int, work: Callable) -> DataFrame:
 
     def step(table):
         kinds = np.asarray(table.column("kind"))
-        return pa.Table.from_batches([message(work(kinds, table.column("body")))])
+        out = pa.Table.from_batches([message(work(kinds, table.column("body")))])
+        release()
+        return out
 
     return messages.repartition(2 * slots, "slot").groupBy("slot").applyInArrow(step, MESSAGE)
 
@@ -220,7 +226,7 @@ def send_anchors(texts: DataFrame, slots: int, anchors: Callable) -> DataFrame:
                 yield from writer.add(number[first + row], key)
         yield from writer.send()
 
-    return rows.mapInArrow(emit, MESSAGE)
+    return rows.mapInArrow(tidy(emit), MESSAGE)
 
 
 class AnchorWriter:

@@ -122,7 +122,10 @@ def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFram
                 chosen = size > 0 and 100 * (size - (owned[bounds[i + 1]] - owned[bounds[i]])) >= percent * size
                 corners = _vectors([mine]).reshape(CORNERS, -1).sum(axis=1).tolist() if chosen else None
                 rows.append((home.ids[begin + i], int(home.first[begin + i]), size, corners, mine.tobytes() if chosen else None))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), facts_schema)], schema=facts_schema)
+        found = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), facts_schema)], schema=facts_schema)
+        del home, rows
+        S.release()
+        return found
 
     facts_schema = pa.schema([("id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("corners", pa.list_(pa.int32())), ("shingles", pa.binary())])
     shared = H.repeated_anchors(H.send_anchors(texts, slots, every_second), homes, slots)
@@ -150,7 +153,7 @@ def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFram
         node, root = components(owner[linked], star[linked])
         return pa.table({"a": pa.array(node[node != root]), "b": pa.array(root[node != root])})
 
-    sent = points.select("id", "shingles").mapInArrow(first_shingles, H.MESSAGE)
+    sent = points.select("id", "shingles").mapInArrow(S.tidy(first_shingles), H.MESSAGE)
     candidates = connected(sent.repartition(2 * slots, "slot").groupBy("slot").applyInArrow(meet, "a long, b long"))
     points = points.join(candidates, F.col("id") == F.col("node")).select("id", "n", "root", "corners", "shingles")
     links = _verified(points, percent)
@@ -234,4 +237,4 @@ def _verified(points: DataFrame, percent: int) -> DataFrame:
             yield from done()
 
     ordered = met.select("left", "right", "id", "side", "shingles").repartition("left", "right").sortWithinPartitions("left", "right", "side", "id")
-    return ordered.mapInArrow(verify, "a long, b long")
+    return ordered.mapInArrow(S.tidy(verify), "a long, b long")

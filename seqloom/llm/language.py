@@ -96,7 +96,7 @@ def _count_grams(rows: DataFrame) -> DataFrame:
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(seen[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    return rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").mapInArrow(S.tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -155,7 +155,7 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 for i in np.flatnonzero(n):
                     yield pa.RecordBatch.from_arrays([pa.array([i] * bits, pa.int32()), pa.array(range(bits), pa.int32()), pa.array(hit[of == i].sum(axis=0), pa.int64()), pa.array([int(n[i])] * bits, pa.int64())], names=["lang", "bit", "hit", "n"])
 
-        rates = sample.select("lang", "text").mapInArrow(right, "lang int, bit int, hit long, n long").groupBy("lang", "bit").agg(F.sum("hit"), F.sum("n"))
+        rates = sample.select("lang", "text").mapInArrow(S.tidy(right), "lang int, bit int, hit long, n long").groupBy("lang", "bit").agg(F.sum("hit"), F.sum("n"))
         for lang, bit, hit, n in rates.collect():
             model.trust[lang, bit] = hit / n
     return model
@@ -177,7 +177,7 @@ def _predicted(documents: DataFrame, model: Model) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(score < AMBIGUOUS)]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "held_out", "lang_pred", "score", "ambiguous"])
 
-    return rows.mapInArrow(predict, f"row {rows.schema['row'].dataType.simpleString()}, {SCORED}")
+    return rows.mapInArrow(S.tidy(predict), f"row {rows.schema['row'].dataType.simpleString()}, {SCORED}")
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

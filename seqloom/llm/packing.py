@@ -147,7 +147,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end: in
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return documents.select("doc_id", "text").mapInArrow(S.tidy(cut), PIECES)
 
 
 # -- the plan: numbers per length, never per document

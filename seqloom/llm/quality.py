@@ -95,7 +95,7 @@ def statistics(documents: DataFrame, *kept: str) -> DataFrame:
             found = _statistics(batch.column(0))
             yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(kept))), *(pa.array(c) for c in found.T)], names=[*kept, *COUNTS])
 
-    return documents.select("text", *kept).mapInArrow(count, ", ".join([f"{k} {types[k]}" for k in kept] + [f"{c} long" for c in COUNTS]))
+    return documents.select("text", *kept).mapInArrow(S.tidy(count), ", ".join([f"{k} {types[k]}" for k in kept] + [f"{c} long" for c in COUNTS]))
 
 
 #: Statistics that rules may use: a quotient of two counts, or one count (over 1).

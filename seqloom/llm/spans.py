@@ -6,6 +6,8 @@ longer row alone, so memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,26 @@ def powers(base: int, n: int) -> np.ndarray:
     return kept[:n]
 
 
+def release() -> None:
+    """Give memory back when a task is over: workers live on, and an executor has several."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(step):
+    """`step` over a task's batches, and `release` after it."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit of `h` over all 64."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -88,7 +88,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
         if held:
             yield send(*merged())
 
-    found = rows.select("group", "text").mapInArrow(count, "gram long, a0 long, a1 long, b0 long, b1 long")
+    found = rows.select("group", "text").mapInArrow(S.tidy(count), "gram long, a0 long, a1 long, b0 long, b1 long")
     return found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")])
 
 
@@ -107,7 +107,7 @@ def corpus_grams(documents: DataFrame) -> DataFrame:
                     kept = np.union1d(kept, new) if len(kept) < 1 << 22 else new
                     yield pa.RecordBatch.from_arrays([pa.array(new.astype(np.int64))], names=["gram"])
 
-    return documents.select("text").mapInArrow(distinct, "gram long").distinct()
+    return documents.select("text").mapInArrow(S.tidy(distinct), "gram long").distinct()
 
 
 def _bucket(keys: np.ndarray, order: int) -> np.ndarray:
@@ -239,7 +239,7 @@ def _feature_rows(rows: DataFrame, shared: Broadcast, *kept: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(kept))), *(pa.array(f) for f in found.T)], names=[*kept, *_NAMES])
 
     types = dict(rows.dtypes)
-    return rows.select("text", *kept).mapInArrow(compute, ", ".join(f"{k} {types[k]}" for k in kept) + "".join(f", {f} double" for f in _NAMES))
+    return rows.select("text", *kept).mapInArrow(S.tidy(compute), ", ".join(f"{k} {types[k]}" for k in kept) + "".join(f", {f} double" for f in _NAMES))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
