@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 import zlib
 
 import numpy as np
@@ -26,7 +24,7 @@ SIZE = 1024
 END = 2
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)  # of the fitted repeats that are tried
 RANK_GROUP = 512  # pieces of one length that one task numbers together
-CACHE = 1_500_000  # atoms of text whose ids a worker keeps, the first it meets
+CACHE = 1_500_000  # atoms of text whose ids a task keeps, the first it meets
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 CHUNK = 4 << 20  # bytes of text that are cut into atoms together
@@ -120,20 +118,11 @@ class _Encoder:
         return [np.array(next(whole), dtype=np.uint32) if odd else next(regular) for odd in irregular.tolist()]
 
 
-def _encoder(path: str) -> _Encoder:
-    """The encoder of a tokenizer, kept while its Python worker lives, as one worker runs many tasks."""
-    state = sys.modules.setdefault("_seqloom_worker", types.ModuleType("_seqloom_worker"))
-    kept = vars(state).setdefault("encoders", {})
-    if path not in kept:
-        kept[path] = _Encoder(path)
-    return kept[path]
-
-
 def token_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
     """Documents as pieces of at most `size` tokens; only the first piece of a longer document may be shorter."""
 
     def cut(batches):
-        encoder = _encoder(tokenizer)
+        encoder = _Encoder(tokenizer)
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1).fill_null("")
             for first, last, _, _ in S.chunks(texts, CHUNK):
