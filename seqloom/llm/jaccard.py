@@ -96,7 +96,7 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
 
 
 def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """`documents` as doc_id, text, key, id, and id, n_shingles, first (smallest doc_id of the text), component_id of every text."""
+    """`documents` as doc_id, text, key, id, and id, n_shingles, first (smallest doc_id of the text), root (names the class), component_id of every text."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), H.text_key().alias("key"), F.xxhash64(H.text_key()).alias("id"))
     size = H.text_bytes(documents)
     homes, slots = H.parts(size, H.HOME_BYTES), H.parts(0.6 * size, H.SLOT_BYTES)
@@ -160,7 +160,7 @@ def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFram
     classes = facts.select("id", "first", "n").join(connected(links), F.col("id") == F.col("node"), "left")
     classes = classes.select("id", "first", "n", F.coalesce("root", "id").alias("root"))
     firsts = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return texts, classes.join(firsts, "root").select("id", "first", F.col("n").alias("n_shingles"), "component_id")
+    return texts, classes.join(firsts, "root").select("id", "first", F.col("n").alias("n_shingles"), "root", "component_id")
 
 
 def link_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -185,8 +185,9 @@ def drop_linked(documents: DataFrame, shingle: int = SHINGLE, percent: int = PER
     Wordless texts all stay, as they link with nothing.
     """
     _, classes = _classes(documents, shingle, percent)
-    best = classes.groupBy("component_id").agg(F.min(F.struct("first", "id")).alias("best"))
-    chosen = classes.join(best, "component_id").where((F.col("n_shingles") == 0) | (F.struct("first", "id") == F.col("best")))
+    # by root: classes that do not link can have one smallest doc_id, as all those without ids do
+    best = classes.groupBy("root").agg(F.min(F.struct("first", "id")).alias("best"))
+    chosen = classes.join(best, "root").where((F.col("n_shingles") == 0) | (F.struct("first", "id") == F.col("best")))
     chosen = chosen.select(F.col("id").alias(_ID), F.col("first").alias(_FIRST), (F.col("n_shingles") == 0).alias(_EMPTY))
     rows = documents.withColumn(_ID, F.xxhash64(H.text_key())).join(chosen, _ID)
     rows = rows.where(F.col(_EMPTY) | (F.coalesce("doc_id", F.lit(H.NEVER)) == F.col(_FIRST)))

@@ -58,6 +58,17 @@ def test_one_of_each_class_stays(docs, rows):
     assert C.ordered(kept) == C.ordered(want)
 
 
+def test_unlinked_texts_with_null_and_repeated_ids_stay(spark):
+    near = C.prose(320, 100).split()
+    near[50] = "changed"
+    rows = [(None, C.prose(300 + i, 40), "a") for i in range(6)] + [(7, C.prose(310 + i, 40), "b") for i in range(3)]
+    rows += [(None, "", "a"), (None, None, "a"), (None, C.prose(320, 100), "a"), (None, " ".join(near), "b"), (None, C.prose(300, 40), "a")]
+    kept = [(r.doc_id, r.text, r.source) for r in jaccard.drop_linked(C.frame(spark, rows)).collect()]
+    linked = [r for r in kept if r in rows[11:13]]
+    assert len(linked) == 1
+    assert C.ordered(r for r in kept if r not in linked) == C.ordered(rows[:11])
+
+
 def test_large_group_of_near_copies_needs_several_leaves(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF", 4)
     base = C.prose(9, 200).split()
