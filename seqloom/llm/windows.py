@@ -122,7 +122,8 @@ def remove_repeated_windows(documents: DataFrame, width: int = WIDTH, period: in
                 # texts come by ascending id, so a window met before in this home stands earlier
                 order = np.argsort(key, kind="stable")
                 again = np.ones(len(key), dtype=bool)
-                again[order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]] = False if len(key) else True
+                if len(key):  # a chunk can have no window with a repeated anchor
+                    again[order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]] = False
                 again |= H.member(key, seen) | H.member(key, elsewhere)
                 seen = np.union1d(seen, key)
                 steps = np.zeros(len(starts) + 1, dtype=np.int64)

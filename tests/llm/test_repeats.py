@@ -42,6 +42,13 @@ def test_repeated_windows(docs, rows):
     assert C.ordered(got.collect()) == C.ordered(C.repeated_windows(rows))
 
 
+@pytest.mark.parametrize("texts", [[C.prose(400 + i, 60) for i in range(5)], [None, None], ["", " ", "few words"], ["".join(f"w{i} " for i in range(300_000))]])
+def test_nothing_repeats(spark, texts):
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = windows.remove_repeated_windows(C.frame(spark, rows)).collect()
+    assert C.ordered(got) == C.ordered(C.repeated_windows(rows)) and all(r.n_removed == 0 for r in got)
+
+
 def test_classes(docs, rows):
     got = jaccard.link_documents(docs)
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
