@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from seqloom.llm import homes as H
 from seqloom.llm import spans as S
 from seqloom.llm.homes import member
 from seqloom.llm.samples import fold, labelled_sample
@@ -22,7 +22,6 @@ ORDER = 6  # bytes; n-grams fit a 64-bit number as they are
 DISCOUNT = 0.75
 BACKOFF = 5.0  # occurrences' worth of shared evidence in every context of a class
 EXCESS = 2.0  # nats from which on a word counts
-BITS = {6: 20, 5: 19, 4: 19, 3: 18, 2: 16, 1: 8}  # of the count tables that tasks get, whatever the corpus has
 #: Labelled rows per class to learn from.
 PER_LABEL = 50_000
 PRIOR = 1e-4  # ridge of the curve
@@ -110,136 +109,125 @@ def corpus_grams(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(S.tidy(distinct), "gram long").distinct()
 
 
-def _bucket(keys: np.ndarray, order: int) -> np.ndarray:
-    return (S.mix(keys + np.uint64(order << 56)) & np.uint64((1 << BITS[order]) - 1)).astype(np.int64)
+def _last(order: int) -> Column:
+    """The last `order` bytes of n-grams."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))
 
 
-def _tables(counts: DataFrame, order: int) -> DataFrame:
-    """Sums per bucket of the n-grams (kind 0) and of their contexts (kind 1).
+def _contexts(counts: DataFrame, *names: str) -> DataFrame:
+    """Per context (all bytes but the last): sums of the counts, and how many n-grams have any."""
+    sums = [F.sum(n).alias(f"sum_{n}") for n in names]
+    return counts.groupBy(F.shiftright("gram", 8).alias("context")).agg(*sums, *[F.count_if(F.col(n) > 0).alias(f"types_{n}") for n in names])
 
-    `counts` has gram and n0, n1 for the longest n-grams, gram and n0 (continuations) for shorter ones.
-    """
-    names = ["n0", "n1"] if order == ORDER else ["n0"]
 
-    def gather(batches):
-        for batch in batches:
-            key = np.asarray(batch.column(0)).astype(np.uint64)
-            every = np.stack([np.asarray(batch.column(i + 1)).astype(float) for i in range(len(names))])
-            both = [every, every > 0]
-            for kind, of in ((0, _bucket(key, order)), (1, _bucket(key >> np.uint64(8), order))):
-                at, of = np.unique(of, return_inverse=True)
-                sums = [np.bincount(of, c, len(at)).astype(np.int64) for part in both for c in part]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()), *map(pa.array, sums)], names=["kind", "bucket", *out])
-
-    out = [c + n[1:] for c in ("sum", "types") for n in names]
-    schema = "kind int, bucket int, " + ", ".join(f"{c} long" for c in out)
-    return counts.select("gram", *names).mapInArrow(gather, schema).groupBy("kind", "bucket").agg(*[F.sum(c).alias(c) for c in out])
-
-
-def _arrays(counts: DataFrame, order: int) -> dict[tuple[int, str], np.ndarray]:
-    found = _tables(counts, order).toArrow()  # 2 * 2**BITS rows at most
-    kind, at = np.asarray(found.column("kind")), np.asarray(found.column("bucket"))
-    of = {}
-    for name in found.column_names[2:]:
-        for k in (0, 1) if name.startswith("sum") else (1,):
-            of[k, name] = np.zeros(1 << BITS[order], dtype=np.float32)
-            of[k, name][at[kind == k]] = np.asarray(found.column(name))[kind == k]
-    return of
-
-
-def shared_tables(grams: DataFrame) -> dict[int, dict]:
-    """Continuation counts of all shorter n-grams: how many different bytes stand before each in the corpus."""
+def shared_tables(grams: DataFrame) -> dict[int, DataFrame]:
+    """gram, n0 for all shorter n-grams: continuation counts, how many different bytes stand before each in the corpus."""
     tables = {}
     for order in range(ORDER - 1, 0, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
-        grams = cut_lineage(grams.groupBy(shorter).agg(F.count(F.lit(1)).alias("n0")))
-        tables[order] = _arrays(grams, order)
+        grams = tables[order] = cut_lineage(grams.groupBy(_last(order).alias("gram")).agg(F.count(F.lit(1)).alias("n0")))
     return tables
 
 
 class Model:
-    """Count tables of bounded size, and the curve from features to a score."""
+    """Counts by exact n-gram, in tables that grow with the corpus, and the curve from features to a score."""
 
-    def __init__(self, counts: DataFrame, shared: dict[int, dict]):
+    def __init__(self, counts: DataFrame, shared: dict[int, DataFrame]):
         """`counts`: gram, n0, n1 over labelled texts; `shared`: tables of the shorter n-grams."""
-        self.tables = {**shared, ORDER: _arrays(counts, ORDER)}
+        self.counts, self.shared = counts, shared
         self.curve = None
 
-    def __getstate__(self):
-        """Tables travel compressed: most buckets are empty or small."""
-        packed = {order: {k: pa.compress(t.tobytes(), codec="zstd", asbytes=True) for k, t in of.items()} for order, of in self.tables.items()}
-        return {"packed": packed, "curve": self.curve}
+    def ratio_table(self, grams: DataFrame) -> DataFrame:
+        """gram, ratio of each of the different `grams`: log P(last byte | the others, toxic) - log P(.. | ordinary).
 
-    def __setstate__(self, state):
-        self.curve = state["curve"]
-        self.tables = {
-            order: {k: np.frombuffer(pa.decompress(t, 4 << BITS[order], codec="zstd"), np.float32) for k, t in of.items()}
-            for order, of in state["packed"].items()
-        }
-
-    def ratios(self, grams: np.ndarray) -> np.ndarray:
-        """log P(last byte | the others, toxic) - log P(.. | ordinary)."""
-        shared = np.full(len(grams), 1 / 256)
+        A key has 256 rows at most in any join, as contexts and suffixes lack one byte.
+        """
+        context = F.shiftright("gram", 8).alias("context")
+        lower = None
         for order in range(1, ORDER):
-            key = grams & np.uint64((1 << 8 * order) - 1)
-            of = self.tables[order]
-            here, context = _bucket(key, order), _bucket(key >> np.uint64(8), order)
-            total, types = of[1, "sum0"][context], of[1, "types0"][context]
-            known = total > 0
-            share = np.maximum(of[0, "sum0"][here] - DISCOUNT, 0) + DISCOUNT * types * shared
-            shared = np.where(known, share / np.maximum(total, 1), shared)
-        of = self.tables[ORDER]
-        here, context = _bucket(grams, ORDER), _bucket(grams >> np.uint64(8), ORDER)
+            table = self.shared[order]
+            rows = grams.select(_last(order).alias("gram")).distinct().select("gram", context).join(table, "gram", "left").join(_contexts(table, "n0"), "context", "left")
+            if lower is None:
+                rows = rows.withColumn("below", F.lit(1 / 256))
+            else:
+                rows = rows.withColumn("suffix", _last(order - 1)).join(lower, "suffix")
+            share = F.greatest(F.coalesce("n0", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types_n0") * F.col("below")
+            share = F.when(F.col("sum_n0") > 0, share / F.col("sum_n0")).otherwise(F.col("below"))
+            lower = cut_lineage(rows.select(F.col("gram").alias("suffix"), share.alias("below")))
+        rows = grams.select("gram", context, _last(ORDER - 1).alias("suffix")).join(self.counts, "gram", "left")
+        rows = rows.join(_contexts(self.counts, "n0", "n1"), "context", "left").join(lower, "suffix")
         logs = []
-        for c in "01":
-            total, types = of[1, f"sum{c}"][context], of[1, f"types{c}"][context]
-            share = np.maximum(of[0, f"sum{c}"][here] - DISCOUNT, 0) + (DISCOUNT * types + BACKOFF) * shared
-            logs.append(np.log(np.maximum(share / (total + BACKOFF), 1e-12)))
-        return logs[1] - logs[0]
-
-    def features(self, column: pa.Array) -> np.ndarray:
-        """Per text: length-normalised ratio, and the ratios of the words that come 1st, 2nd, 4th and 8th
-        in speaking for toxicity, and what words have beyond `EXCESS`, by the root of the text's length and by its length."""
-        out = np.zeros((len(column), FEATURES))
-        for first, bounds, text, starts, ends, code in _distinct_words(column):
-            if not len(starts):
-                continue
-            word, gram = _grams(text, starts, ends)
-            gram, of = np.unique(gram, return_inverse=True)
-            per_word = np.bincount(word, self.ratios(gram)[of], len(starts))
-            n = len(bounds) - 1
-            row = np.repeat(np.arange(n), np.diff(bounds))
-            value = per_word[code]
-            size = np.bincount(row, (ends - starts + 1)[code], n)
-            out[first : first + n, 0] = 100 * np.bincount(row, value, n) / np.maximum(size, 1)
-            over = np.bincount(row, np.maximum(value - EXCESS, 0), n)
-            length = np.maximum(np.diff(bounds), 1)
-            out[first : first + n, -2:] = np.stack([over / np.sqrt(length), 100 * over / (length + 20)], axis=1)
-            at = np.flatnonzero(value > 0)
-            at = at[np.lexsort((-value[at], row[at]))]
-            begins = np.searchsorted(row[at], np.arange(n + 1))
-            for i, place in enumerate(PLACES):
-                has = np.flatnonzero(np.diff(begins) >= place)
-                out[first + has, i + 1] = value[at[begins[has] + place - 1]]
-        return out
+        for n in ("n0", "n1"):
+            of = [F.coalesce(c, F.lit(0)) for c in (n, f"sum_{n}", f"types_{n}")]
+            share = F.greatest(of[0] - DISCOUNT, F.lit(0.0)) + (DISCOUNT * of[2] + BACKOFF) * F.col("below")
+            logs.append(F.log(F.greatest(share / (of[1] + BACKOFF), F.lit(1e-12))))
+        return cut_lineage(rows.select("gram", (logs[1] - logs[0]).alias("ratio")))
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        if self.curve is None:
-            return np.zeros(len(features))
-        return 1 / (1 + np.exp(-np.clip(features @ self.curve[1:] + self.curve[0], -30, 30)))
+    def ratios(self, grams: np.ndarray) -> np.ndarray:
+        """`ratio_table` of a few n-grams."""
+        kinds, of = np.unique(grams, return_inverse=True)
+        rows = self.counts.sparkSession.createDataFrame([(int(g),) for g in kinds], "gram long")
+        found = dict(self.ratio_table(rows).collect())
+        return np.array([found[int(g)] for g in kinds])[of]
+
+
+def _features(column: pa.Array, known: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Per text: length-normalised ratio, and the ratios of the words that come 1st, 2nd, 4th and 8th
+    in speaking for toxicity, and what words have beyond `EXCESS`, by the root of the text's length and by its length.
+
+    `known`: all n-grams of the texts, ascending; `ratio`: of each."""
+    out = np.zeros((len(column), FEATURES))
+    for first, bounds, text, starts, ends, code in _distinct_words(column):
+        if not len(starts):
+            continue
+        word, gram = _grams(text, starts, ends)
+        per_word = np.bincount(word, ratio[np.searchsorted(known, gram)], len(starts))
+        n = len(bounds) - 1
+        row = np.repeat(np.arange(n), np.diff(bounds))
+        value = per_word[code]
+        size = np.bincount(row, (ends - starts + 1)[code], n)
+        out[first : first + n, 0] = 100 * np.bincount(row, value, n) / np.maximum(size, 1)
+        over = np.bincount(row, np.maximum(value - EXCESS, 0), n)
+        length = np.maximum(np.diff(bounds), 1)
+        out[first : first + n, -2:] = np.stack([over / np.sqrt(length), 100 * over / (length + 20)], axis=1)
+        at = np.flatnonzero(value > 0)
+        at = at[np.lexsort((-value[at], row[at]))]
+        begins = np.searchsorted(row[at], np.arange(n + 1))
+        for i, place in enumerate(PLACES):
+            has = np.flatnonzero(np.diff(begins) >= place)
+            out[first + has, i + 1] = value[at[begins[has] + place - 1]]
+    return out
 
 
 _NAMES = [f"f{i}" for i in range(FEATURES)]
 
 
-def _feature_rows(rows: DataFrame, shared: Broadcast, *kept: str) -> DataFrame:
-    def compute(batches):
-        for batch in batches:
-            found = shared.value.features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(kept))), *(pa.array(f) for f in found.T)], names=[*kept, *_NAMES])
+def _feature_rows(rows: DataFrame, model: Model, *kept: str) -> DataFrame:
+    """`kept` and the features of every row. Texts go to homes, which are answered the ratios of their different n-grams."""
+    ratios = model.ratio_table(cut_lineage(corpus_grams(rows)))
+    keyed = rows.select(F.lit(0).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), H.text_key().alias("key"))
+    homes = H.parts(H.text_bytes(rows), H.HOME_BYTES)
+    packs = H.to_homes(keyed, homes).repartition(2 * homes, "slot").groupBy("slot")
+
+    def ask(key, packs):
+        grams = np.zeros(0, np.uint64)
+        for _, _, text, starts, ends, _ in _distinct_words(H.Home(packs, None).texts):
+            if len(starts):
+                grams = np.union1d(grams, _grams(text, starts, ends)[1])
+        S.release()
+        return pa.table({"slot": pa.array([key[0].as_py()] * len(grams), pa.int64()), "gram": pa.array(grams.astype(np.int64))})
+
+    def compute(key, packs, answered):
+        home = H.Home(packs, None)
+        known, ratio = np.asarray(answered.column("gram")).astype(np.uint64), np.asarray(answered.column("ratio"))
+        order = np.argsort(known)
+        found = _features(home.texts, known[order], ratio[order])
+        out = pa.table([pa.array(home.keys, pa.string()), *(pa.array(f) for f in found.T)], names=["key", *_NAMES])
+        S.release()
+        return out
 
-    types = dict(rows.dtypes)
-    return rows.select("text", *kept).mapInArrow(S.tidy(compute), ", ".join(f"{k} {types[k]}" for k in kept) + "".join(f", {f} double" for f in _NAMES))
+    answers = packs.applyInArrow(ask, "slot long, gram long").join(ratios, "gram").select("slot", "gram", "ratio")
+    found = packs.cogroup(answers.repartition(2 * homes, "slot").groupBy("slot")).applyInArrow(compute, "key string" + "".join(f", {f} double" for f in _NAMES))
+    return rows.select(*kept, H.text_key().alias("key")).join(found, "key").select(*kept, *_NAMES)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -268,9 +256,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
     counts = cut_lineage(count_grams(rows))
     of = lambda *names: counts.select("gram", *[sum((F.col(n) for n in c[1:]), F.col(c[0])).alias(f"n{i}") for i, c in enumerate(names)])
     apart = Model(of(["a0"], ["a1"]), shared)
-    sent = documents.sparkSession.sparkContext.broadcast(apart)
-    found = _feature_rows(rows.where(F.col("group") >= 2), sent, "toxic").toArrow()  # a part of the sample
-    sent.destroy()
+    later = cut_lineage(rows.where(F.col("group") >= 2).select("text", "toxic"))  # a part of the sample
+    found = _feature_rows(later, apart, "toxic").toArrow()
     model = Model(of(["a0", "b0"], ["a1", "b1"]), shared)
     y = np.asarray(found.column("toxic")).astype(float)
     if len(set(y.tolist())) == 2:
@@ -287,7 +274,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     Returns doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
     """
     rows = documents.select("doc_id", (fold() == 0).alias("held_out"), "text")
-    found = _feature_rows(rows, documents.sparkSession.sparkContext.broadcast(model), "doc_id", "held_out")
+    found = _feature_rows(rows, model, "doc_id", "held_out")
     curve = model.curve
     if curve is None:
         value = F.lit(0.0)

@@ -176,6 +176,41 @@ def test_ratios_are_kneser_ney(spark):
     np.testing.assert_allclose(model.ratios(packed), want, rtol=1e-5)
 
 
+def test_counts_are_exact_for_many_ngrams(spark):
+    """Statistics of 200,000 different n-grams, beside counts in dictionaries."""
+    r = np.random.RandomState(5)
+    letters = r.randint(97, 123, (200_000, 6)).astype(np.uint64)
+    kinds = np.unique((letters << np.arange(40, -8, -8).astype(np.uint64)).sum(axis=1, dtype=np.uint64)).astype(np.int64)
+    table = spark.createDataFrame([(int(g), int(g % 3), int(g % 5)) for g in kinds[::20]], "gram long, n0 long, n1 long")
+    model = toxicity.Model(table, toxicity.shared_tables(spark.createDataFrame(kinds.reshape(-1, 1).tolist(), "gram long")))
+    cont, last = {}, kinds
+    for order in range(5, 0, -1):
+        cont[order] = Counter((last & ((1 << 8 * order) - 1)).tolist())
+        last = np.array(list(cont[order]))
+    sums = {order: Counter() for order in cont}
+    types = {order: Counter(g >> 8 for g in cont[order]) for order in cont}
+    for order, of in cont.items():
+        for g, n in of.items():
+            sums[order][g >> 8] += n
+    some = np.concatenate([kinds[::500], r.randint(0, 1 << 48, 50)])  # the last ones are not in the corpus
+
+    def ratio(gram):
+        p = 1 / 256
+        for order in range(1, 6):
+            g = gram & ((1 << 8 * order) - 1)
+            if total := sums[order][g >> 8]:
+                p = (max(cont[order][g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * types[order][g >> 8] * p) / total
+        logs = []
+        for modulo in (3, 5):
+            near = [int(g % modulo) for g in kinds[::20] if g >> 8 == gram >> 8]
+            own = sum(int(g % modulo) for g in kinds[::20] if g == gram)
+            share = max(own - toxicity.DISCOUNT, 0) + (toxicity.DISCOUNT * sum(n > 0 for n in near) + toxicity.BACKOFF) * p
+            logs.append(np.log(max(share / (sum(near) + toxicity.BACKOFF), 1e-12)))
+        return logs[1] - logs[0]
+
+    np.testing.assert_allclose(model.ratios(some.astype(np.uint64)), [ratio(int(g)) for g in some], rtol=1e-5, atol=1e-6)
+
+
 def test_sample_is_bounded(spark):
     rows = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS label")
     n = labelled_sample(rows, "label", 500).groupBy("label").count().collect()
