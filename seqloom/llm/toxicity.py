@@ -246,13 +246,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learn from documents outside the held-out fold that `labels` marks with toxic 0 or 1, `per_label` of either at most about.
 
-    Repeated marks count once, 1 before 0. The shared counts are those of all documents outside that fold.
+    Repeated marks count once, 1 before 0. The shared counts are those of all documents: they see texts, no labels.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(labelled_sample(marks, "toxic", per_label))  # twice `per_label` rows at most about
     texts = documents.where((fold() != 0) & F.col("text").isNotNull()).select("doc_id", "text", fold().alias("fold"))
     rows = texts.join(chosen, "doc_id").select("text", "toxic", (F.col("toxic") + 2 * (F.col("fold") == 4).cast("int")).alias("group"))
-    shared = shared_tables(corpus_grams(texts))
+    shared = shared_tables(corpus_grams(documents))
     counts = cut_lineage(count_grams(rows))
     of = lambda *names: counts.select("gram", *[sum((F.col(n) for n in c[1:]), F.col(c[0])).alias(f"n{i}") for i, c in enumerate(names)])
     apart = Model(of(["a0"], ["a1"]), shared)

@@ -176,6 +176,13 @@ def test_ratios_are_kneser_ney(spark):
     np.testing.assert_allclose(model.ratios(packed), want, rtol=1e-5)
 
 
+def test_shared_counts_see_all_documents(spark):
+    out = next(d for d in range(100) if held_out(d))
+    rows = [(out, "only here: quiz", "a"), *((d, "some text", "a") for d in range(out + 1, out + 9)), (None, None, "a")]
+    model = toxicity.fit(C.frame(spark, rows), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {chr(r.gram) for r in model.shared[1].collect()} == set("onlyherequizsometext") | {"\2"}
+
+
 def test_counts_are_exact_for_many_ngrams(spark):
     """Statistics of 200,000 different n-grams, beside counts in dictionaries."""
     r = np.random.RandomState(5)
