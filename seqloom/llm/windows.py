@@ -57,7 +57,7 @@ def remove_repeated_windows(documents: DataFrame, width: int = WIDTH, period: in
     """Remove every word covered by a window of `width` words that also starts earlier.
 
     `documents` needs `doc_id` and `text`; other columns are ignored, whatever their names. Earlier is a smaller doc_id, or the same row
-    and an earlier word; a null doc_id comes last. Rows that repeat a doc_id and its text are one document and get the same result.
+    and an earlier word; a null doc_id comes last, and of different texts under one doc_id, or none, the one of smaller md5 is earlier. Rows that repeat a doc_id and its text are one document and get the same result.
     Null text has no words; texts of fewer than `width` words are kept. An empty table gives no rows.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
@@ -83,33 +83,36 @@ def remove_repeated_windows(documents: DataFrame, width: int = WIDTH, period: in
             yield begin, text, starts, ends, first, *_candidates(hashes, first, home.answered(2), width, window, in_cover)
 
     def firsts(home):
-        """The distinct windows of a home, ascending, with the id of the text that has each first."""
-        keys, ids = [], []
+        """The distinct windows of a home, ascending, with the id and the number of the text that has each first."""
+        keys, texts = [], []
         for begin, _, _, _, _, _, owner, key in passages(home):
             keys.append(key)
-            ids.append(home.first[begin + owner])
-        key, first = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((first, key))
-        key, first = key[order], first[order]
+            texts.append(begin + owner)
+        key, text = np.concatenate(keys), np.concatenate(texts)
+        order = np.lexsort((text, key))
+        key, text = key[order], text[order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        return key[new], first[new]
+        # numbers order texts of one id as their keys do, in which a home has them
+        number = np.array([int(k[:16], 16) - (1 << 63) for k in home.keys], dtype=np.int64)
+        return key[new], home.first[text[new]], number[text[new]]
 
     def send(home, number):
-        key, first = firsts(home) if home else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        rows = [(slot, 3, number.to_bytes(8, "little") + H.pack_sorted(key[a:b], first[a:b])) for slot, a, b in H.by_slot(key, slots)]
+        key, first, text = firsts(home) if home else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+        rows = [(slot, 3, number.to_bytes(8, "little") + H.pack_sorted(key[a:b], first[a:b], text[a:b])) for slot, a, b in H.by_slot(key, slots)]
         return pa.Table.from_batches([H.message(rows)])
 
     def elect(kinds, bodies):
         """Answer (kind 3) a home with its windows that another home has earlier."""
-        lists = [H.unpack_sorted(memoryview(b.as_py())[8:], 1) for b in bodies]
-        key, first = (np.concatenate([x[i] for x in lists]) for i in (0, 1))
-        order = np.lexsort((first, key))
-        key, first = key[order], first[order]
+        lists = [H.unpack_sorted(memoryview(b.as_py())[8:], 2) for b in bodies]
+        key, first, text = (np.concatenate([x[i] for x in lists]) for i in (0, 1, 2))
+        order = np.lexsort((text, first, key))
+        key, first, text = key[order], first[order], text[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        key, first = key[new], first[new]
+        key, first, text = key[new], first[new], text[new]
         out = []
-        for (mine, at), body in zip(lists, bodies):
-            later = mine[first[np.searchsorted(key, mine)] < at]
+        for (mine, at, by), body in zip(lists, bodies):
+            best = np.searchsorted(key, mine)
+            later = mine[(first[best] < at) | ((first[best] == at) & (text[best] < by))]
             if len(later):
                 out.append((int.from_bytes(body.as_py()[:8], "little"), 3, H.pack_sorted(later)))
         return out

@@ -49,6 +49,22 @@ def test_nothing_repeats(spark, texts):
     assert C.ordered(got) == C.ordered(C.repeated_windows(rows)) and all(r.n_removed == 0 for r in got)
 
 
+def test_texts_of_one_id_in_several_homes(spark, monkeypatch):
+    """The result does not depend on which homes texts of one id lie in."""
+    passage = C.prose(450, 50)
+    rows = [(d, f"{C.prose(460 + i, 30)} {passage} {C.prose(480 + i, 30)}", "a") for i, d in enumerate([None] * 6)]
+    rows += [(3, f"{C.prose(500 + i, 30)} {C.prose(451, 50)}", "b") for i in range(6)]
+
+    def removed():
+        return C.ordered(windows.remove_repeated_windows(C.frame(spark, rows)).collect())
+
+    one = removed()
+    monkeypatch.setattr(windows.H, "HOME_BYTES", 500)
+    assert removed() == one
+    removals = sorted(int(r[2]) for r in one)  # a word beside the passage can be the same, too
+    assert removals[:2] == [0, 0] and len(removals) == 12 and min(removals[2:]) >= 50
+
+
 def test_classes(docs, rows):
     got = jaccard.link_documents(docs)
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
