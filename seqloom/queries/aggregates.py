@@ -137,6 +137,20 @@ def nonzero_columns(spark, sf):
     return A.nonzero_columns(counts, "idx", "n")
 
 
+@query(
+    "nonzero_columns_whole",
+    ctes("seqs")
+    + """
+    SELECT DISTINCT CASE k WHEN 3 THEN 0 WHEN 4 THEN 64 WHEN 5 THEN 320 WHEN 6 THEN 1344 ELSE 5440 END
+      + list_reduce([0] || [(instr('ACGT', b) - 1)::INT FOR b IN string_split(kmer, '')], lambda a, b: a * 4 + b) AS idx
+    FROM (SELECT DISTINCT k, substr(sequence, i::INT, k::INT) AS kmer
+          FROM (SELECT sequence, k, unnest(range(1, length(sequence) - k + 2)) AS i FROM seqs, range(3, 8) t(k)))
+    """,
+)
+def nonzero_columns_whole(spark, sf):
+    return A.nonzero_columns(K.kmer_counts(D.sequences(spark, sf)), "idx", "n")
+
+
 @query(
     "standard_scale",
     """

@@ -99,6 +99,12 @@ def skip_empty_seq(spark, sf):
     return P.skip_empty_seq(rows)
 
 
+@query("skip_empty_seq_whole", ctes("seqs") + "SELECT row_id, sequence FROM seqs WHERE row_id % 3 <> 0 AND sequence <> ''")
+def skip_empty_seq_whole(spark, sf):
+    rows = D.sequences(spark, sf).select("row_id", F.when(F.col("row_id") % 3 == 0, "").otherwise(F.lower("sequence")).alias("sequence"))
+    return P.skip_empty_seq(rows)
+
+
 @query(
     "prefix_targets",
     ctes("utrs") + "SELECT utr AS sequence, length(utr)::INT AS cds, 0 AS splice, row_id AS target_mrl_row_id FROM utrs",

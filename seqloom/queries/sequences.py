@@ -470,6 +470,22 @@ def kmer_vocab(spark, sf):
     return seen.select("kmer", S.kmer_index(F.col("kmer")).alias("idx"))
 
 
+@query(
+    "kmer_vocab_whole",
+    ctes("seqs")
+    + """
+    SELECT kmer, CASE k WHEN 3 THEN 0 WHEN 4 THEN 64 WHEN 5 THEN 320 WHEN 6 THEN 1344 ELSE 5440 END
+      + list_reduce([0::BIGINT] || [(ascii(b) // 2 % 4)::BIGINT FOR b IN string_split(translate(kmer, 'ACGT', '0246'), '')], lambda a, b: a * 4 + b) AS idx
+    FROM (SELECT DISTINCT k, substr(sequence, i::INT, k::INT) AS kmer
+          FROM (SELECT sequence, k, unnest(range(1, length(sequence) - k + 2)) AS i FROM seqs, range(3, 8) t(k)))
+    """,
+)
+def kmer_vocab_whole(spark, sf):
+    pieces = [F.regexp_extract_all("sequence", F.lit(f"(?=([ACGT]{{{k}}}))"), 1) for k in E.BASELINE_KMERS]
+    seen = D.sequences(spark, sf).select(F.explode(F.concat(*pieces)).alias("kmer")).distinct()
+    return seen.select("kmer", S.kmer_index(F.col("kmer")).alias("idx"))
+
+
 def kmer_sql(ks: str) -> str:
     return f"""pos AS (
       SELECT row_id, k, substr(sequence, i::INT, k::INT) AS kmer
