@@ -81,3 +81,37 @@ def embed_kmer_dataset(spark, sf):
     stored = E.sparse_long(features).filter("value <> 0").join(stats.select("idx", place.alias("dim")), "idx")
     shown = dense.join(stored.select("row_id", "dim"), ["row_id", "dim"]).filter("dim % 16 = 0")
     return shown.select("row_id", "dim", F.round(F.col("x").cast("double"), 3).alias("x"))
+
+
+@query(
+    "embed_kmer_dataset_whole",
+    ctes("seqs")
+    + f"""
+    , u AS (SELECT row_id, sequence FROM seqs WHERE sequence <> '')
+    , f AS (
+      SELECT row_id, {INDEX} AS idx, v
+      FROM (SELECT row_id, k, kmer, count(*)::DOUBLE AS v
+            FROM (SELECT row_id, k, substr(sequence, i::INT, k::INT) AS kmer FROM (SELECT row_id, sequence, k, unnest(range(1, length(sequence) - k + 2)) AS i FROM u, range(3, 8) t(k)))
+            GROUP BY ALL)
+      UNION ALL SELECT row_id, 21824, length(regexp_replace(sequence, '[^GC]', '', 'g')) / length(sequence) FROM u)
+    , n AS (SELECT count(*) AS n FROM u)
+    , m AS (SELECT idx, sum(v) / n AS mean, sum(v * v) / n AS sq FROM f, n WHERE v <> 0 GROUP BY idx, n)
+    , z AS (SELECT idx, mean, CASE WHEN sq - mean * mean > 1e-12 THEN sqrt(sq - mean * mean) ELSE 1 END AS sd, row_number() OVER (ORDER BY idx) - 1 AS dim FROM m)
+    , x AS (SELECT u.row_id, dim, ((coalesce(v, 0) - mean) / sd)::FLOAT::DOUBLE AS x FROM u CROSS JOIN z LEFT JOIN f ON f.row_id = u.row_id AND f.idx = z.idx)
+    SELECT 'row' AS kind, row_id AS id, count(*) AS n, round(sum(x * (dim % 7 + 1)), 1) AS weighted, round(sum(x * x), 1) AS squares FROM x GROUP BY row_id
+    UNION ALL
+    SELECT 'dim', dim, count(*), round(sum(x * (row_id % 7 + 1)), 1), round(sum(x * x), 1) FROM x GROUP BY dim
+    """,
+)
+def embed_kmer_dataset_whole(spark, sf):
+    """Scaled baseline vectors of whole documents: sums over all dimensions of each row, and over all rows of each dimension."""
+    rows = D.sequences(spark, sf).filter("sequence <> ''").select("row_id", "sequence")
+    x = E.embed_kmer_dataset(rows).select("row_id", F.posexplode("embedding").alias("dim", "x"))
+    x = x.select("row_id", F.col("dim").cast("bigint").alias("dim"), F.col("x").cast("double").alias("x"))
+
+    def sums(kind, key, other):
+        weighted, squares = F.sum(F.col("x") * (F.col(other) % 7 + 1)), F.sum(F.col("x") * F.col("x"))
+        out = x.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.round(weighted, 1).alias("weighted"), F.round(squares, 1).alias("squares"))
+        return out.select(F.lit(kind).alias("kind"), "id", "n", "weighted", "squares")
+
+    return sums("row", "row_id", "dim").unionByName(sums("dim", "dim", "row_id"))
