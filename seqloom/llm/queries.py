@@ -139,3 +139,25 @@ def line_dedup(spark, sf_dir):
     found = spread_lines(table(spark, sf_dir, "documents"))
     removed = F.size("line_numbers_removed").cast("long").alias("n_removed")
     return found.select("doc_id", "n_lines", removed, F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+
+@query("op13_ranked_search", f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+    s AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+    c AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+    w AS (SELECT term, floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM c, s GROUP BY term),
+    m AS (SELECT r, doc_id, 100 - 25 + ((25 * len(terms) * docs) // total) AS m FROM d, s WHERE len(terms) > 0),
+    i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark),
+    q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(terms) AS term FROM i) GROUP BY i, item_id, term),
+    h AS (SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM q JOIN w USING (term) JOIN c USING (term) JOIN m USING (r) GROUP BY i, item_id, r, doc_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM h WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 20
+""")
+def ranked_search(spark, sf_dir):
+    from seqloom.llm.search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
