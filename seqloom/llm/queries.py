@@ -161,3 +161,10 @@ def ranked_search(spark, sf_dir):
     from seqloom.llm.search import search
 
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_fingerprints")
+def fingerprints(spark, sf_dir):
+    from seqloom.llm.fingerprints import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
