@@ -168,3 +168,10 @@ def fingerprints(spark, sf_dir):
     from seqloom.llm.fingerprints import compare_with_edits
 
     return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def whitening(spark, sf_dir):
+    from seqloom.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
