@@ -165,8 +165,8 @@ def _compared(docs: list, texts: list[str], own: list[bytes], following: list[st
     edited = fingerprints(changed)
     return [
         pa.array(docs, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(own, pa.binary()), pa.array(edited, pa.binary()),
-        pa.array(likeness(own, edited)), pa.array(likeness(own, other)),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()), pa.array(own, pa.binary()), pa.array(edited, pa.binary()),
+        pa.array(likeness(own, edited), pa.float64()), pa.array(likeness(own, other), pa.float64()),
     ]
 
 
