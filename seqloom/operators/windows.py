@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from seqloom.operators.prefix import fill_cuts, running_totals, up_to_cut
+from seqloom.operators.prefix import fill_cuts, least_from_here, running_totals, up_to_cut
 
 BLOCK = 1024
 
@@ -108,13 +108,18 @@ def cumulative_pr(df: DataFrame, score: str, label: str, by=()) -> DataFrame:
 def bh_adjust(tests: DataFrame, p: str, by=(), alpha: float | None = None) -> DataFrame:
     """False-discovery adjusted p-values; with `alpha`, only significant rows, smallest first.
 
-    The tests are pairs of already aggregated groups, so a family is small.
+    Different p-values are counted and scanned in order: p times the family's size over the rows up to p, then the
+    least of that from p on. Equal values get the same result, so neither a family nor a tie is one task's work.
+    A row without a p-value is no test: it does not count and gets none.
     """
-    family = W.partitionBy(*by)
-    ordered = tests.withColumn("_rank", F.row_number().over(family.orderBy(p))).withColumn(
-        "_m", F.count(F.lit(1)).over(family)
-    )
-    from_here = family.orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, 0)
-    adjusted = F.least(F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(from_here), F.lit(1.0))
-    out = ordered.withColumn("adj_p", adjusted).drop("_rank", "_m")
+    by = list(by)
+    counts = tests.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(counts, p, ["_n"], by, keep_parts=True)
+    raw = F.col(p) * F.col("_n_total") / (F.col("_n_before") + F.col("_n"))
+    least = least_from_here(ranked.withColumn("_raw", raw.cast("double")), "_raw", "adj_p", by)
+    adjusted = least.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(p).alias("_p"), F.least("adj_p", F.lit(1.0)).alias("adj_p"))
+    same = F.col(p) == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = tests.join(adjusted, same, "left").drop("_p", *[f"_{c}" for c in by])
     return out if alpha is None else out.filter(F.col("adj_p") <= alpha).orderBy("adj_p")

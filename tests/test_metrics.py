@@ -143,3 +143,53 @@ def test_welch_of_constant_groups_is_null(spark):
     pairs = spark.createDataFrame([(1.0, 0.0, 5, 2.0, 0.0, 5)], "mean_a double, var_a double, n_a long, mean_b double, var_b double, n_b long")
     row = M.welch_t(pairs).first()
     assert row.t is None and row.df is None and (row.p_value is None or row.p_value != row.p_value)
+
+
+def adjusted(p):
+    p = np.asarray(p, float)
+    order = np.argsort(p, kind="stable")
+    q = p[order] * len(p) / np.arange(1, len(p) + 1)
+    out = np.empty(len(p))
+    out[order] = np.minimum(np.minimum.accumulate(q[::-1])[::-1], 1)
+    return out
+
+
+@pytest.mark.parametrize("rows_in_part", [1, 7, 1 << 18])
+def test_adjusting_families_over_many_parts(spark, monkeypatch, rows_in_part):
+    from seqloom.operators import prefix
+
+    monkeypatch.setattr(prefix, "PART_ROWS", rows_in_part)
+    rng = np.random.default_rng(4)
+    sizes = {"a": 90, "b": 1, None: 25, "c": 4}
+    rows = [(f, i, float(v)) for f, n in sizes.items() for i, v in enumerate(np.round(rng.random(n) ** 3, 2))]
+    rows += [("a", 1000 + i, 1.0) for i in range(40)] + [("a", 2000, None)]
+    got = W.bh_adjust(spark.createDataFrame(rows, "family string, id int, p double"), "p", ["family"]).collect()
+    assert len(got) == len(rows) and [r.adj_p for r in got if r.p is None] == [None]
+    for f in sizes:
+        mine = [(i, p) for g, i, p in rows if g == f and p is not None]
+        want = dict(zip((i for i, _ in mine), adjusted([p for _, p in mine])))
+        assert {r.id: r.adj_p for r in got if r.family == f and r.p is not None} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_running_totals_of_nulls_and_doubles(spark, parts):
+    rows = [(g, h, float(v), v + 0.5, v) for g in (None, "x", "y") for h in (1, None) for v in range(7)] + [("z", 1, None, 2.0, 3)]
+    df = spark.createDataFrame(rows, "g string, h int, v double, a double, n int")
+    got = running_totals(df, "v", ["a", "n"], ["g", "h"], parts).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        mine = [x for x in rows if x[:2] == (r.g, r.h)]
+        earlier = [x for x in mine if r.v is not None and x[2] < r.v]
+        assert (r.a_before, r.n_before) == (sum(x[3] for x in earlier), sum(x[4] for x in earlier))
+        assert (r.a_total, r.n_total) == (sum(x[3] for x in mine), sum(x[4] for x in mine))
+    assert running_totals(df.limit(0), "v", ["n"], ["g"]).collect() == []
+
+
+def test_one_group_is_spread_evenly(spark):
+    from seqloom.operators import prefix
+
+    laid = prefix.lay_out(spark.range(1_000_000).select(F.rand(3).alias("v"), F.lit(1).alias("n")), "v")
+    sizes = [r["count"] for r in laid.groupBy("_part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+    plan = running_totals(spark.range(100).withColumn("n", F.lit(1)), "id", ["n"])._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Exchange" not in plan
