@@ -158,22 +158,20 @@ def kmer_vectors(
     return source.mapInArrow(run, f"{row_id} bigint{kept}, idx array<int>, val array<double>")
 
 
-def kmer_dense(df: DataFrame, k: int, alphabet: str, row_id: str = "row_id", sequence: str = "sequence") -> DataFrame:
-    """`row_id, val array<double>`: all counts of a small vocabulary, zeros included."""
+def kmer_bytes(df: DataFrame, k: int, alphabet: str, row_id: str = "row_id", sequence: str = "sequence") -> DataFrame:
+    """`row_id, vec binary`: all counts of a small vocabulary, zeros included, as single-precision numbers."""
     width = len(alphabet) ** k
 
     def run(batches):
         for batch in batches:
             for first, rows, row, idx, n in _batch_counts(batch.column(1), (k,), alphabet):
-                dense = np.zeros((rows, width))
+                dense = np.zeros((rows, width), np.float32)
                 dense[row, idx] = n
-                ends = np.arange(rows + 1, dtype=np.int32) * width
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, rows), pa.ListArray.from_arrays(pa.array(ends), pa.array(dense.ravel()))],
-                    names=[row_id, "val"],
+                    [batch.column(0).slice(first, rows), pa.array([v.tobytes() for v in dense], pa.binary())], names=[row_id, "vec"]
                 )
 
-    return df.select(row_id, sequence).mapInArrow(run, f"{row_id} bigint, val array<double>")
+    return df.select(row_id, sequence).mapInArrow(run, f"{row_id} bigint, vec binary")
 
 
 def kmer_counts_fit(df: DataFrame, k: int = 3, alphabet: str = "acgtn", row_id: str = "row_id", sequence: str = "sequence") -> DataFrame:

@@ -11,12 +11,11 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from seqloom.constants import DEFAULT_RATIOS
-from seqloom.functions.kmers import kmer_dense
+from seqloom.functions.kmers import kmer_bytes
+from seqloom.operators.clusters import tree_clusters
 from seqloom.operators.joins import homology_lookup
 from seqloom.operators.prefix import fill_cuts, shuffle_order, up_to_cut
 from seqloom.session import cut_lineage, spread
@@ -100,8 +99,9 @@ def split_chromosome(df: DataFrame, test_size: float, seed: int) -> DataFrame:
 def kmeans_clusters(df: DataFrame, k: int, n_clusters: int, seed: int) -> DataFrame:
     """`row_id, cluster` from k-means over the counts of all observed k-mers of the lower-cased sequence.
 
-    Counts are dense vectors over the small vocabulary; columns no sequence has are zero
-    everywhere and change no distance.
+    Clusters are the leaves of a tree of centres (`tree_clusters`): none is empty, and the work of a row grows with the
+    depth of the tree and not with `n_clusters`. Counts are dense vectors over the small vocabulary; columns no sequence has
+    are zero everywhere and change no distance.
     """
     low = spread(df.select("row_id", "sequence"), "row_id").withColumn("sequence", F.lower("sequence"))
     seen = low.select(F.explode(F.array_distinct(F.split("sequence", ""))).alias("letter")).distinct()
@@ -109,33 +109,35 @@ def kmeans_clusters(df: DataFrame, k: int, n_clusters: int, seed: int) -> DataFr
     if len(letters) > 90:
         raise ValueError(f"sequences of {len(letters)} different letters")
     code = "".join(chr(33 + i) for i in range(len(letters)))  # a byte each
-    counts = kmer_dense(low.withColumn("sequence", F.translate("sequence", letters, code)), k, code)
-    vectors = counts.select("row_id", array_to_vector("val").alias("features"))
-    vectors = cut_lineage(vectors)  # k-means reads its input once per iteration
-    model = KMeans(k=n_clusters, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).select("row_id", "cluster")
+    vectors = kmer_bytes(low.withColumn("sequence", F.translate("sequence", letters, code)), k, code)
+    return tree_clusters(vectors, n_clusters, seed)
 
 
 def split_clusters(df: DataFrame, clusters: DataFrame, test_size: float, seed: int) -> DataFrame:
-    """Whole clusters go to test, in shuffled order, until test reaches floor(test_size * rows)."""
+    """Whole clusters go to test, in shuffled order, until test reaches floor(test_size * rows). Keeps `cluster`."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_order", shuffle_order("cluster", seed))
     cuts = fill_cuts(sizes, "_order", "_n", lambda n: F.floor(n * test_size))
     joined = df.join(clusters, "row_id")
-    return _sides(up_to_cut(joined, shuffle_order("cluster", seed), cuts), "test", "train").drop("cluster")
+    return _sides(up_to_cut(joined, shuffle_order("cluster", seed), cuts), "test", "train")
 
 
 def split_kmer(
-    df: DataFrame, test_size: float, seed: int, k: int = 3, n_clusters: int | None = None, rows_per_cluster: int = 100
+    df: DataFrame, test_size: float, seed: int, k: int = 3, n_clusters: int | None = None, rows_per_cluster: int = 100,
+    keep_cluster: bool = False,
 ) -> DataFrame:
-    """Clusters of similar k-mer counts stay together."""
+    """Clusters of similar k-mer counts stay together, one cluster per `rows_per_cluster` rows, two at least."""
     n_clusters = n_clusters or max(2, df.count() // rows_per_cluster)
-    return split_clusters(df, kmeans_clusters(df, k, n_clusters, seed), test_size, seed)
+    clusters = cut_lineage(kmeans_clusters(df, k, n_clusters, seed))  # they are counted, cut and joined
+    out = split_clusters(df, clusters, test_size, seed)
+    return out if keep_cluster else out.drop("cluster")
 
 
-def split_hard_kmer(df: DataFrame, test_size: float, seed: int, k: int = 3, n_clusters: int | None = None) -> DataFrame:
+def split_hard_kmer(
+    df: DataFrame, test_size: float, seed: int, k: int = 3, n_clusters: int | None = None, keep_cluster: bool = False
+) -> DataFrame:
     """As `split_kmer` with a tenth of the clusters."""
-    return split_kmer(df, test_size, seed, k, n_clusters, rows_per_cluster=1000)
+    return split_kmer(df, test_size, seed, k, n_clusters, 1000, keep_cluster)
 
 
 CATALOGUE: dict[str, Splitter] = {

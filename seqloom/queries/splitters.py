@@ -107,6 +107,59 @@ def kmeans_clusters(spark, sf):
     )
 
 
+# The operators' own numbers of clusters. Whole clusters, a share reached but not without the last cluster, and no train cluster
+# before a test cluster: together they leave one way to fill the test side.
+BY_RULE = """
+    SELECT count(*) AS rows, greatest(2, count(*) // {per})::BIGINT AS clusters, 0::BIGINT AS straddling,
+      true AS reached, true AS needed, true AS in_order FROM documents
+    """
+
+
+def filled_by_rule(spark, sf, splitter):
+    sides = splitter(_with_sequence(spark, sf), SIZE, SEED, keep_cluster=True).select("row_id", "cluster", "side")
+    each = sides.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("side").alias("sides"), F.max("side").alias("side"), shuffle_order("cluster", SEED).alias("k")
+    )
+    test, share = F.col("side") == "test", F.floor(F.sum("n") * SIZE)
+    held = F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    last = F.coalesce(F.max_by(F.when(test, F.col("n")), F.when(test, F.col("k"))), F.lit(0))
+    return each.agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters"), F.count(F.when(F.col("sides") > 1, 1)).alias("straddling"),
+        (held >= share).alias("reached"), (held - last < share).alias("needed"),
+        (F.max(F.when(test, F.col("k"))) < F.min(F.when(~test, F.col("k")))).alias("in_order"),
+    )
+
+
+@query("split_kmer_by_rule", BY_RULE.format(per=100))
+def split_kmer_by_rule(spark, sf):
+    return filled_by_rule(spark, sf, X.split_kmer)
+
+
+@query("split_hard_kmer_by_rule", BY_RULE.format(per=1000))
+def split_hard_kmer_by_rule(spark, sf):
+    return filled_by_rule(spark, sf, X.split_hard_kmer)
+
+
+@query(
+    "kmeans_clusters_by_rule",
+    """
+    SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, greatest(2, count(*) // 100)::BIGINT AS clusters,
+      0::BIGINT AS least, greatest(2, count(*) // 100)::INT - 1 AS most, 0::BIGINT AS parted FROM documents
+    """,
+)
+def kmeans_clusters_by_rule(spark, sf):
+    """One cluster per hundred rows, numbered without a gap; equal sequences are never in two clusters."""
+    rows = _with_sequence(spark, sf)
+    out = X.kmeans_clusters(rows, 3, max(2, rows.count() // 100), SEED)
+    same = rows.select("row_id", F.sha2(F.lower("sequence"), 256).alias("text")).join(out, "row_id")
+    each = same.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("ids"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+    numbers = F.countDistinct("low").alias("clusters")
+    return each.agg(
+        F.sum("n").alias("rows"), F.sum("ids").alias("ids"), numbers, F.min("low").cast("bigint").alias("least"), F.max("high").alias("most"),
+        F.count(F.when(F.col("low") < F.col("high"), 1)).alias("parted"),
+    )
+
+
 THREE = f"""
     WITH {KEYS},
     a AS (SELECT *, row_number() OVER (ORDER BY h, row_id) <= ceil(count(*) OVER () * 0.3::DOUBLE) AS held FROM keyed),

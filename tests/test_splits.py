@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import splits as X
+from seqloom.operators import clusters as K, splits as X
 from seqloom.operators.prefix import fill_cuts, shuffle_order, up_to_cut
 from seqloom.operators.sets import expected_chunks, merge_chunks, row_chunk, with_row_id
 
@@ -154,3 +155,61 @@ def test_row_ids_and_chunks(spark):
     parts = row_chunk(rows, 4)
     assert merge_chunks(parts, expected_chunks(rows, 4)).count() == 101
     assert merge_chunks(parts.filter("chunk <> 2"), expected_chunks(rows, 4)).count() == 0
+
+
+def clustered_points(n=3000, hot=900):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 12)) * 5
+    x = (centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 12))).astype(np.float32)
+    x[:hot] = x[0]
+    return x
+
+
+def scatter(x, clusters):
+    return sum(np.square(x[clusters == c] - x[clusters == c].mean(axis=0)).sum() for c in np.unique(clusters))
+
+
+def clusters_of(spark, x, *args, **options):
+    df = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "row_id long, vec binary").repartition(6)
+    rows = K.tree_clusters(df, *args, **options).collect()
+    assert sorted(r.row_id for r in rows) == list(range(len(x)))
+    return np.array([r.cluster for r in sorted(rows)])
+
+
+@pytest.mark.parametrize("wanted,cell_points,fan", [(60, 150, 8), (300, 64, 4), (40, None, 32), (2, 100, 32)])
+def test_tree_of_centres(spark, wanted, cell_points, fan):
+    x = clustered_points()
+    got = clusters_of(spark, x, wanted, 5, cell_points=cell_points, fan=fan)
+    assert sorted(set(got)) == list(range(wanted)) and len(set(got[:900])) == 1
+    different, at, weight = np.unique(x.astype(float), axis=0, return_inverse=True, return_counts=True)
+    flat = K.weighted_kmeans(different, weight.astype(float), wanted, 5)[at.ravel()]
+    assert scatter(x, got) < min(1.5 * scatter(x, flat), scatter(x, np.zeros(len(x))))
+    again = clusters_of(spark, x, wanted, 5, cell_points=cell_points, fan=fan)
+    assert (got == again).all()
+
+
+def test_cells_that_centres_cannot_divide(spark):
+    x = np.zeros((600, 3), np.float32)
+    x[:, 0] = 1 + np.arange(600) * 1e-6  # different numbers, all but equal
+    x[0] = 1e6
+    assert len(set(clusters_of(spark, x, 50, 1, cell_points=40, fan=2))) == min(50, len(np.unique(x, axis=0)))
+
+
+def test_fewer_vectors_than_clusters(spark):
+    x = np.repeat(np.eye(4, dtype=np.float32), 5, axis=0)
+    assert sorted(set(clusters_of(spark, x, 9, 1))) == [0, 1, 2, 3]
+    assert K.tree_clusters(spark.createDataFrame([], "row_id long, vec binary"), 3, 1).collect() == []
+
+
+@pytest.mark.parametrize("k,spread,points", [(10, [5.0, 1.0, 0.0], [100, 2, 9]), (100, [1.0, 1.0], [3, 5]), (3, [9.0, 0.0, 0.0], [50, 1, 1]), (7, [0.0, 0.0], [5, 9])])
+def test_dealing_clusters(k, spread, points):
+    out = K.deal(k, np.array(spread), np.array(points))
+    assert out.sum() == min(k, sum(points)) and (out >= 1).all() and (out <= points).all()
+
+
+def test_kmer_rule(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, "".join(rng.choice(list("ACGTN"), 60))) for i in range(450)], "row_id long, sequence string")
+    out = X.split_kmer(df, 0.2, 3, keep_cluster=True).collect()
+    assert len(out) == 450 and {r.cluster for r in out} == {0, 1, 2, 3}
+    assert {r.cluster for r in X.split_hard_kmer(df, 0.2, 3, keep_cluster=True).collect()} == {0, 1}
