@@ -11,6 +11,7 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seqloom.constants import DEFAULT_RATIOS
@@ -96,6 +97,15 @@ def split_chromosome(df: DataFrame, test_size: float, seed: int) -> DataFrame:
     return df.withColumn("side", F.when(held_out, "test").otherwise("train"))
 
 
+def _letters(batches):
+    """The different letters of a task's sequences."""
+    seen: set[str] = set()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            seen.update(text or "")
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["letter"])
+
+
 def kmeans_clusters(df: DataFrame, k: int, n_clusters: int, seed: int) -> DataFrame:
     """`row_id, cluster` from k-means over the counts of all observed k-mers of the lower-cased sequence.
 
@@ -104,7 +114,7 @@ def kmeans_clusters(df: DataFrame, k: int, n_clusters: int, seed: int) -> DataFr
     are zero everywhere and change no distance.
     """
     low = spread(df.select("row_id", "sequence"), "row_id").withColumn("sequence", F.lower("sequence"))
-    seen = low.select(F.explode(F.array_distinct(F.split("sequence", ""))).alias("letter")).distinct()
+    seen = low.select("sequence").mapInArrow(_letters, "letter string").distinct()
     letters = "".join(sorted({r[0] for r in seen.collect()} | set("acgtn")))  # the letters of an alphabet
     if len(letters) > 90:
         raise ValueError(f"sequences of {len(letters)} different letters")
