@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -21,6 +19,7 @@ from seqloom.constants import DEFAULT_RATIOS, RIDGE_ALPHAS, RIDGE_FALLBACK_ALPHA
 from seqloom.operators import metrics as M
 from seqloom.operators.projections import drop_null, validate_splits
 from seqloom.operators.splits import get_splits, split_three_way
+from seqloom.plans import batched as B
 from seqloom.session import cut_lineage
 
 REGRESSIONS = ("regression", "reg_ridge", "reg_lin")
@@ -111,41 +110,6 @@ def _numbered(train: DataFrame, features: str, y: str) -> DataFrame:
     return cut_lineage(table)
 
 
-def centred_gram(table: DataFrame, mean: np.ndarray, y_mean: float, rows: int) -> np.ndarray:
-    """Columns of X'X and X'y of the centred data, width x (width + 1).
-
-    A task's partial sum is as large as `width` rows, so tasks are merged until each has eight times as many: what
-    is shuffled is an eighth of the data at most.
-    """
-    width = len(mean)
-
-    def partial(batches):
-        gram = np.zeros((width, width + 1))
-        for batch in batches:
-            if len(batch):
-                x = _stack(batch.column(1)) - mean
-                y = batch.column(2).to_numpy(zero_copy_only=False) - y_mean
-                gram[:, :width] += x.T @ x
-                gram[:, width] += x.T @ y
-        if gram.any():
-            for start in range(0, width, 256):
-                block = gram[start : start + 256]
-                ends = np.arange(len(block) + 1, dtype=np.int32) * (width + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(start, start + len(block), dtype=np.int32)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(block.ravel()))],
-                    names=["i", "part"],
-                )
-
-    few = table.coalesce(max(1, rows // (8 * width)))
-    parts = few.mapInArrow(partial, "i int, part array<double>")
-    total = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
-    out = np.zeros((width, width + 1))
-    for row in total.collect():  # width rows
-        out[row["i"]] = row["part"]
-    return out
-
-
 def centred_products(table: DataFrame, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, y, X X') of the centred rows, where rows are fewer than columns.
 
@@ -182,18 +146,38 @@ def probe_ridge_cv(
 ) -> FittedProbe:
     """Ridge with the penalty of the smallest leave-one-out error, exact for every penalty at once and at any width.
 
-    The smaller of rows and columns decides the form; the driver holds its square. With fewer columns, the Gram
-    matrix is summed over the rows, and a second pass gets every row's left-out error from the eigenvectors. With
-    fewer rows, the products of rows have all that is needed, and a second pass turns their weights into coefficients.
+    The smaller of rows and columns decides the form; the driver holds its square. With fewer columns, the products of columns are
+    summed over the rows, and a second pass gets every row's left-out error from the eigenvectors; tasks hold strips of
+    bounded size of both (`batched`). With fewer rows, the products of rows have all that is needed, and a second pass turns their
+    weights into coefficients.
     """
+    grid = np.array(alphas, dtype=np.float64)
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("width")).first()
+    if not size["n"]:
+        raise ValueError("no training rows")
+    if size["width"] <= size["n"]:
+        blocks = B.pack_blocks(_one_seed(train, features, F.array(F.col(y).cast("double"))), 1, 1)
+        try:
+            ((coef, intercept, best),) = B.ridge_fits(blocks, grid)
+        finally:
+            blocks.release()
+        return FittedProbe("reg_ridge", coef[None, :], np.array([intercept]), best)
     table = _numbered(train, features, y)
     mean, y_mean, _, n = _moments(_vectors(table, "x", "y"))
-    grid = np.array(alphas, dtype=np.float64)
-    fit = _ridge_by_columns if len(mean) <= n else _ridge_by_rows
-    coef, best = fit(table, mean, y_mean, n, grid)
+    coef, best = _ridge_by_rows(table, mean, y_mean, n, grid)
     return FittedProbe("reg_ridge", coef[None, :], np.array([y_mean - coef @ mean]), float(grid[best]))
 
 
+def _one_seed(train: DataFrame, features: str, labels) -> DataFrame:
+    """Training rows as `batched` takes them."""
+    return train.select(_numbers(train, features).alias("x"), labels.alias("y"), F.array(F.lit(B.TRAIN).cast("tinyint")).alias("marks"))
+
+
+def _numbers(df: DataFrame, features: str):
+    single = df.schema[features].dataType.simpleString() == "array<float>"
+    return F.col(features) if single else F.col(features).cast("array<double>")
+
+
 def _ridge_by_rows(table: DataFrame, mean: np.ndarray, y_mean: float, n: int, grid: np.ndarray) -> tuple[np.ndarray, int]:
     ids, y, products = centred_products(table, mean)
     values, basis = np.linalg.eigh(products)
@@ -224,36 +208,6 @@ def _ridge_by_rows(table: DataFrame, mean: np.ndarray, y_mean: float, n: int, gr
     return coef, best
 
 
-def _ridge_by_columns(table: DataFrame, mean: np.ndarray, y_mean: float, n: int, grid: np.ndarray) -> tuple[np.ndarray, int]:
-    width = len(mean)
-    gram = centred_gram(table, mean, y_mean, n)
-    values, basis = np.linalg.eigh(gram[:, :width])
-    values = np.maximum(values, 0.0)
-    turned = basis.T @ gram[:, width]
-    shrink = 1.0 / (values[None, :] + grid[:, None])  # penalties x width
-
-    shared = table.sparkSession.sparkContext.broadcast((basis, shrink, shrink * turned, mean))
-
-    def left_out(batches):
-        basis, shrink, weights, mean = shared.value
-        total = np.zeros(len(shrink))
-        for batch in batches:
-            if len(batch):
-                z = (_stack(batch.column(1)) - mean) @ basis
-                y = batch.column(2).to_numpy(zero_copy_only=False) - y_mean
-                error = y[:, None] - z @ weights.T
-                total += np.square(error / np.maximum(1.0 - 1.0 / n - np.square(z) @ shrink.T, 1e-12)).sum(axis=0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "error"]
-        )
-
-    errors = table.mapInArrow(left_out, "i int, error double").groupBy("i").agg(F.sum("error").alias("error"))
-    by_alpha = {r["i"]: r["error"] for r in errors.collect()}  # one row per penalty
-    shared.unpersist()
-    best = min(range(len(grid)), key=lambda i: (by_alpha[i], i))
-    return basis @ (shrink[best] * turned), best
-
-
 def _from_spark(model, task: str, penalty: float | None = None) -> FittedProbe:
     return FittedProbe(task, np.array([model.coefficients.toArray()]), np.array([model.intercept]), penalty)
 
@@ -311,46 +265,19 @@ def probe_logistic(train: DataFrame, features: str = "embedding", y: str = "targ
         vectors.unpersist()
 
 
-def probe_multilabel(
-    train: DataFrame, features: str = "embedding", y: str = "target", parallel: int = 4
-) -> FittedProbe:
-    """One logistic regression per label over the same cached rows; labels with one class are skipped."""
-    size = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("width")).first()
-    if not size["n"]:
+def probe_multilabel(train: DataFrame, features: str = "embedding", y: str = "target") -> FittedProbe:
+    """One logistic regression per label, all of them fitted by the same passes; labels with one class are skipped."""
+    labels = train.agg(F.max(F.size(y)).alias("labels")).first()["labels"]
+    if labels is None:
         raise ValueError("no training rows")
-    rows = train.select(
-        array_to_vector(F.col(features).cast("array<double>")).alias("x"),
-        F.col(y).cast("array<double>").alias("labels"),
-    )
-    vectors = _packed(rows, size["n"], size["width"]).persist()
+    blocks = B.pack_blocks(_one_seed(train, features, F.col(y).cast("array<double>")), labels, 1)
     try:
-        sums = vectors.agg(
-            vector_to_array(Summarizer.sum(array_to_vector("labels"))).alias("pos"), F.count(F.lit(1)).alias("n")
-        ).first()
-        n, pos = sums["n"], sums["pos"]
-        skipped = tuple(i for i, s in enumerate(pos) if s in (0.0, float(n)))
-
-        def fit(i: int):
-            one = vectors.select("x", F.element_at("labels", i + 1).alias("y"))
-            model = _logistic(one, n)
-            return model.coefficients.toArray(), model.intercept
-
-        wanted = [i for i in range(len(pos)) if i not in skipped]
-        with ThreadPoolExecutor(parallel) as pool:
-            jobs = [pool.submit(inheritable_thread_target(train.sparkSession)(fit), i) for i in wanted]
-            fitted = dict(zip(wanted, [j.result() for j in jobs]))
+        fit = B.logistic_fits(blocks)
     finally:
-        vectors.unpersist()
-    if not fitted:
+        blocks.release()
+    if fit.skipped.all():
         raise ValueError("no label has both classes in the training rows")
-    width = len(next(iter(fitted.values()))[0])
-    blank = (np.zeros(width), 0.0)
-    return FittedProbe(
-        "multilabel",
-        np.array([fitted.get(i, blank)[0] for i in range(len(pos))]),
-        np.array([fitted.get(i, blank)[1] for i in range(len(pos))]),
-        skipped=skipped,
-    )
+    return FittedProbe("multilabel", fit.coef[0], fit.intercept[0], skipped=tuple(np.flatnonzero(fit.skipped[0]).tolist()))
 
 
 def fit_probe(train: DataFrame, task: str, features: str = "embedding", y: str = "target") -> FittedProbe:
@@ -390,6 +317,17 @@ def evaluate_probe(predicted: DataFrame, task: str, y: str = "target", skipped:
     return M.long_metrics(wide, by)
 
 
+# What a splitter reads beside `row_id`.
+KEYS = {"default": (), "homology": ("gene",), "chromosome": ("chromosome",), "kmer": ("sequence",), "hard-kmer": ("sequence",)}
+
+
+def split_keys(data: DataFrame, split_type: str, splitter: Callable | None, but: Sequence[str]) -> DataFrame:
+    """The columns that a splitter declares; all columns but `but` for one that was passed in."""
+    if splitter is None and split_type in KEYS:
+        return data.select("row_id", *KEYS[split_type])
+    return data.drop(*but)
+
+
 def run_probe(
     data: DataFrame,
     task: str,
@@ -415,7 +353,7 @@ def run_probe(
         raise ValueError(f"target column not found: {target}")
     kept = drop_null(data, target) if dropna else data
     # the splitters pass over these few columns several times, the vectors are read once
-    keys = kept.drop(features, target).persist()
+    keys = split_keys(kept, split_type, splitter, (features, target)).persist()
     if splitter is None:
         placed = get_splits(keys, split_type, ratios, seed, **split_options)
     else:
@@ -440,10 +378,98 @@ def run_probe(
     return probe, spark.createDataFrame(records, "seed int, split string, metric string, value double")
 
 
-def run_multi_seed(data: DataFrame, task: str, seeds: Sequence[int] = SEEDS, **options) -> DataFrame:
-    """Metric rows of one probe per seed."""
-    out = None
-    for seed in seeds:
-        _, rows = run_probe(data, task, seed=seed, **options)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def run_multi_seed(
+    data: DataFrame,
+    task: str,
+    seeds: Sequence[int] = SEEDS,
+    target: str = "target",
+    features: str = "embedding",
+    split_type: str = "default",
+    ratios: Sequence[float] = DEFAULT_RATIOS,
+    eval_all_splits: bool = True,
+    dropna: bool = True,
+    splitter: Callable[..., DataFrame] | None = None,
+    save_to: str | None = None,
+    **split_options,
+) -> DataFrame:
+    """Metric rows of one probe per seed, as `run_probe` gives them, from vectors that are read once.
+
+    Each row gets its split under every seed beside its vector. The passes of a fit serve all seeds; where ridge has fewer
+    training rows than columns, its products of rows are made seed by seed from the rows kept.
+    """
+    if task not in TASKS:
+        raise ValueError(f"invalid task: {task}")
+    if target not in data.columns:
+        raise ValueError(f"target column not found: {target}")
+    seeds = list(seeds)
+    kept = drop_null(data, target) if dropna else data
+    keys = split_keys(kept, split_type, splitter, (features, target)).persist()
+    try:
+        marks = seed_marks(keys, seeds, split_type, ratios, splitter, **split_options)
+        labels = kept.agg(F.max(F.size(target))).first()[0] if task == "multilabel" else 1
+        if labels is None:
+            raise ValueError("no splits provided")
+        y = F.col(target).cast("array<double>") if task == "multilabel" else F.array(F.col(target).cast("double"))
+        rows = kept.select("row_id", _numbers(kept, features).alias("x"), y.alias("y")).join(marks, "row_id")
+        blocks = B.pack_blocks(rows, labels, len(seeds))
+    finally:
+        keys.unpersist()
+    try:
+        counts = B.rows_per_split(blocks)
+        for name in ("train",) if eval_all_splits else ("train", "val"):
+            if not counts[:, B.SPLITS.index(name)].all():
+                raise ValueError(f"split {name} is empty")
+        probes = _fit_seeds(blocks, task, int(counts[:, B.TRAIN].min()))
+        used = np.array([[i not in p.skipped for i in range(labels)] for p in probes])
+        coef, intercept = np.array([p.coef for p in probes]), np.array([p.intercept for p in probes])
+        splits = B.SPLITS if eval_all_splits else ("val",)
+        scored = cut_lineage(B.predictions(blocks, coef, intercept, task not in REGRESSIONS, used, splits))  # read once per metric
+    finally:
+        blocks.release()
+    by = ["seed", "split"]
+    if task in REGRESSIONS:
+        wide = M.eval_regression(scored, "p", "y", by)
+    else:
+        wide = M.eval_classification(scored.withColumn("y", F.col("y").cast("int")), "p", "y", by)
+    found = M.long_metrics(wide, by).collect()  # seeds x splits x metrics
+    spark = data.sparkSession
+    if save_to:
+        for seed, probe in zip(seeds, probes):
+            probe.save(spark, save_to, seed)
+    records = [(seeds[r["seed"]], r["split"], r["metric"], r["value"]) for r in found]
+    return spark.createDataFrame(records, "seed int, split string, metric string, value double")
+
+
+def seed_marks(keys: DataFrame, seeds: Sequence[int], split_type: str, ratios, splitter, **options) -> DataFrame:
+    """`row_id, marks`: for every seed the number of the split that a row is in, -1 for none."""
+    every = None
+    for i, seed in enumerate(seeds):
+        if splitter is None:
+            placed = get_splits(keys, split_type, ratios, seed, **options)
+        else:
+            placed = split_three_way(splitter, keys, ratios, seed, **options)
+        number = F.array_position(F.array(*[F.lit(s) for s in B.SPLITS]), F.col("split")) - 1
+        one = placed.select("row_id", F.lit(i).alias("i"), number.cast("tinyint").alias("mark"))
+        every = one if every is None else every.unionByName(one)
+    mark = lambda i: F.coalesce(F.max(F.when(F.col("i") == i, F.col("mark"))), F.lit(-1).cast("tinyint"))
+    return every.groupBy("row_id").agg(F.array(*[mark(i) for i in range(len(seeds))]).alias("marks"))
+
+
+def _fit_seeds(blocks: B.Blocks, task: str, least_rows: int) -> list[FittedProbe]:
+    if task == "reg_lin":
+        return [FittedProbe(task, coef[None, :], np.array([b])) for coef, b in B.linear_fits(blocks)]
+    if task in REGRESSIONS and blocks.width <= least_rows:
+        try:
+            return [FittedProbe("reg_ridge", coef[None, :], np.array([b]), a) for coef, b, a in B.ridge_fits(blocks, np.array(RIDGE_ALPHAS, dtype=np.float64))]
+        except np.linalg.LinAlgError as e:
+            warnings.warn(f"ridge seed by seed instead: {e}")
+    if task in REGRESSIONS:
+        return [fit_probe(B.train_rows(blocks, s), task) for s in range(blocks.seeds)]
+    fit = B.logistic_fits(blocks)
+    if task == "classification":
+        if fit.skipped.any():
+            raise ValueError("classification needs both classes in the training rows")
+        return [FittedProbe(task, fit.coef[s], fit.intercept[s]) for s in range(blocks.seeds)]
+    if fit.skipped.all(axis=1).any():
+        raise ValueError("no label has both classes in the training rows")
+    return [FittedProbe(task, fit.coef[s], fit.intercept[s], skipped=tuple(np.flatnonzero(fit.skipped[s]).tolist())) for s in range(blocks.seeds)]

@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.plans import probe as P
+from seqloom.plans import batched as B, probe as P
 
 
 def frame(spark, x, y, kind="double"):
@@ -140,3 +141,94 @@ def test_homology_probe_and_val_only(spark, data):
         P.run_probe(df, "clustering")
     with pytest.raises(ValueError, match="target column"):
         P.run_probe(df, "reg_lin", target="nope")
+
+
+def with_marks(df, seeds):
+    return df.select(F.col("embedding").alias("x"), F.array(F.col("target").cast("double")).alias("y"), F.array(*[((F.col("row_id") * (7 + s)) % 3 % 2).cast("tinyint") for s in range(seeds)]).alias("marks"))
+
+
+@pytest.mark.parametrize("held", [B.HELD_BYTES, 700])
+def test_ridge_in_strips(spark, monkeypatch, held):
+    """Several seeds at once, whole or in strips of a few columns, beside single fits on their rows."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(120, 11)) + 2).astype(np.float32).astype(float)
+    y = x @ rng.normal(size=11) + rng.normal(size=120) * 3
+    monkeypatch.setattr(B, "HELD_BYTES", held)
+    blocks = B.pack_blocks(with_marks(frame(spark, x, y), 3), 1, 3)
+    assert len(B.strips(11, 3 * 12)) == (1 if held > 700 else 6)
+    alphas = np.array([0.01, 1.0, 30.0, 300.0])
+    fits = B.ridge_fits(blocks, alphas)
+    linear = B.linear_fits(blocks)
+    blocks.release()
+    for s in range(3):
+        train = np.flatnonzero((np.arange(120) * (7 + s)) % 3 % 2 == 0)
+        errors = left_out(x[train], y[train], alphas)
+        w, b = ridge(x[train], y[train], alphas[int(np.argmin(errors))])
+        np.testing.assert_allclose(fits[s][0], w, rtol=1e-8)
+        assert fits[s][1:] == (pytest.approx(b), alphas[int(np.argmin(errors))])
+        np.testing.assert_allclose(linear[s][0], ridge(x[train], y[train], 0.0)[0], rtol=1e-7)
+
+
+def test_logistic_models_share_their_passes(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(200, 4)) * [1, 10, 0.1, 3] + [0, 50, 0, 0]
+    labels = (x[:, [i % 4 for i in range(9)]] + rng.normal(size=(200, 9)) > np.median(x, axis=0)[[i % 4 for i in range(9)]]).astype(int)
+    labels[:, 4] = 1
+    x = x.astype(np.float32).astype(float)
+    fits = {}
+    for n in (2, 9):
+        df = frame(spark, x, labels[:, :n], "array<int>").select(
+            F.col("embedding").alias("x"), F.col("target").cast("array<double>").alias("y"), F.array(F.lit(0).cast("tinyint"), (F.col("row_id") % 2).cast("tinyint")).alias("marks"))
+        blocks = B.pack_blocks(df, n, 2)
+        fits[n] = B.logistic_fits(blocks)
+        blocks.release()
+    assert fits[9].passes < 1.5 * fits[2].passes
+    assert fits[9].skipped.tolist() == [[i == 4 for i in range(9)]] * 2
+    for s, rows in ((0, slice(None)), (1, slice(0, None, 2))):
+        for i in set(range(9)) - {4}:
+            want = newton(x[rows], labels[rows, i])
+            np.testing.assert_allclose([fits[9].intercept[s, i], *fits[9].coef[s, i]], want, atol=1e-5)
+
+
+@pytest.mark.parametrize("task", ["reg_ridge", "reg_lin", "classification", "multilabel"])
+def test_seeds_together_and_one_by_one(spark, data, task):
+    x, y = data
+    labels, kind = {"classification": ((y > np.median(y)).astype(int), "int"),
+                    "multilabel": (np.column_stack([y > np.median(y), np.zeros(80), x[:, 0] > 3]).astype(int), "array<int>")}.get(task, (y, "double"))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def counted(v: pd.Series) -> pd.Series:
+        read.add(len(v))
+        return v
+
+    df = frame(spark, x, labels, kind)
+    seen = df.withColumn("embedding", counted("embedding"))
+    got = {(r.seed, r.split, r.metric): r.value for r in P.run_multi_seed(seen, task, (2541, 413, 5), ratios=(0.6, 0.2, 0.2)).collect()}
+    assert read.value == 80
+    one = {}
+    for seed in (2541, 413, 5):
+        one |= {(r.seed, r.split, r.metric): r.value for r in P.run_probe(df, task, seed=seed, ratios=(0.6, 0.2, 0.2))[1].collect()}
+    assert got == pytest.approx(one, abs=1e-4 if task == "classification" else 1e-7) and len(got) == 3 * 3 * (3 if task.startswith("reg") else 2)
+
+
+def test_seeds_with_fewer_rows_than_columns_and_bad_rows(spark):
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(30, 50)), rng.normal(size=30)
+    df = frame(spark, x, y)
+    got = {(r.seed, r.split, r.metric): r.value for r in P.run_multi_seed(df, "reg_ridge", (1, 2)).collect()}
+    one = {(r.seed, r.split, r.metric): r.value for s in (1, 2) for r in P.run_probe(df, "reg_ridge", seed=s)[1].collect()}
+    assert got == pytest.approx(one)
+    with pytest.raises(ValueError, match="lacks features"):
+        P.run_multi_seed(df.withColumn("embedding", F.when(F.col("row_id") > 2, F.col("embedding"))), "reg_lin", (1,))
+    with pytest.raises(ValueError, match="different widths"):
+        P.run_multi_seed(df.withColumn("embedding", F.when(F.col("row_id") > 2, F.col("embedding")).otherwise(F.slice("embedding", 1, 3))), "reg_lin", (1,))
+    with pytest.raises(ValueError, match="val is empty"):
+        P.run_multi_seed(df, "reg_lin", (1,), ratios=(0.8, 0, 0.2), eval_all_splits=False)
+
+
+def test_a_split_reads_what_its_splitter_declares(spark, data):
+    df = keyed(frame(spark, *data)).withColumn("sequence", F.lit("ACGT"))
+    assert P.split_keys(df, "homology", None, ()).columns == ["row_id", "gene"]
+    assert P.split_keys(df, "kmer", None, ()).columns == ["row_id", "sequence"]
+    assert P.split_keys(df, "default", lambda *a: None, ("embedding", "target")).columns == ["row_id", "gene", "chromosome", "sequence"]
