@@ -125,6 +125,44 @@ def probe_ridge_cv(spark, sf):
     return spark.createDataFrame([(round(float(probe.coef[0, 0]), 9), probe.penalty)], "weight double, penalty double")
 
 
+# Gauss-Jordan elimination of [X'X + a, 1] for every penalty at once, a column a step.
+WIDE_RIDGE = """
+    WITH RECURSIVE l AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    c AS (SELECT vec_id, j, x - avg(x) OVER (PARTITION BY j) AS x FROM l),
+    t AS (SELECT vec_id, label - avg(label) OVER () AS y, count(*) OVER () AS n FROM embeddings),
+    g AS (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) AS v FROM c a JOIN c b USING (vec_id) GROUP BY a.j, b.j),
+    xy AS (SELECT j, sum(x * y) AS v FROM c JOIN t USING (vec_id) GROUP BY j),
+    penalties(a) AS (VALUES (0.001::DOUBLE), (0.01), (0.1), (1.0), (10.0)),
+    m(a, k, i, j, v) AS (
+      SELECT a, 0, i, j, CASE WHEN i = j THEN v + a ELSE v END FROM g, penalties
+      UNION ALL SELECT a, 0, x.i, 1000 + y.i, (x.i = y.i)::INT::DOUBLE FROM (SELECT DISTINCT i FROM g) x, (SELECT DISTINCT i FROM g) y, penalties
+    ),
+    e(a, k, i, j, v) AS (
+      SELECT * FROM m
+      UNION ALL
+      SELECT a, k + 1, i, j, CASE WHEN i = k + 1 THEN v / d ELSE v - f * r / d END
+      FROM (SELECT *, max(v) FILTER (WHERE i = k + 1) OVER (PARTITION BY a, j) AS r, max(v) FILTER (WHERE j = k + 1) OVER (PARTITION BY a, i) AS f,
+                   max(v) FILTER (WHERE i = k + 1 AND j = k + 1) OVER (PARTITION BY a) AS d FROM e) WHERE k < (SELECT max(i) FROM g)
+    ),
+    inv AS (SELECT a, i, j - 1000 AS j, v FROM e WHERE k = (SELECT max(i) FROM g) AND j > 1000),
+    w AS (SELECT a, i AS j, sum(inv.v * xy.v) AS w FROM inv JOIN xy USING (j) GROUP BY a, i),
+    z AS (SELECT a, vec_id, i AS j, sum(v * x) AS z FROM inv JOIN c USING (j) GROUP BY a, vec_id, i),
+    fit AS (SELECT a, vec_id, sum(x * w) AS p, sum(x * z) AS h FROM c JOIN z USING (vec_id, j) JOIN w USING (a, j) GROUP BY a, vec_id),
+    loo AS (SELECT a, sum(((y - p) / (1 - 1 / n - h)) ** 2) AS err FROM fit JOIN t USING (vec_id) GROUP BY a),
+    best AS (SELECT a FROM loo ORDER BY err, a LIMIT 1)
+    SELECT j::INT AS term, round(w, 7) AS weight, a AS penalty FROM w JOIN best USING (a)
+    """
+
+
+@query("probe_ridge_wide", WIDE_RIDGE)
+def probe_ridge_wide(spark, sf):
+    """The label of an embedding from all its coordinates: the best of five penalties and every weight."""
+    rows = D.table(spark, sf, "embeddings").select("embedding", F.col("label").alias("target"))
+    probe = P.probe_ridge_cv(rows)
+    found = [(j + 1, round(float(w), 7), probe.penalty) for j, w in enumerate(probe.coef[0])]
+    return spark.createDataFrame(found, "term int, weight double, penalty double")
+
+
 @query(
     "probe_ridge_fallback",
     """
