@@ -90,8 +90,9 @@ def lay_out(df: DataFrame, order: str, by: Sequence[str] = (), parts: int | None
     df = cut_lineage(df)
     parts = parts or max(1, -(-df.count() // PART_ROWS))
     keys = [*by, order]
-    ranged = df.repartitionByRange(parts, *keys) if parts > 1 else df.coalesce(1)
-    return cut_lineage(ranged.sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    if parts == 1:  # one sorted range comes out the same however often it is read
+        return df.coalesce(1).sortWithinPartitions(*keys).withColumn("_part", F.lit(0))
+    return cut_lineage(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
 
 
 def _whole(batches) -> pa.Table | None:

@@ -9,8 +9,10 @@ on any cluster.
 from __future__ import annotations
 
 import inspect
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,11 +20,13 @@ from seqloom.constants import DEFAULT_RATIOS
 from seqloom.functions.kmers import kmer_bytes
 from seqloom.operators.clusters import tree_clusters
 from seqloom.operators.joins import homology_lookup
-from seqloom.operators.prefix import fill_cuts, shuffle_order, up_to_cut
+from seqloom.operators.prefix import fill_cuts, lay_out, shuffle_order, up_to_cut
 from seqloom.session import cut_lineage, spread
 
 Splitter = Callable[..., DataFrame]
 
+FOLD_ROWS = 1 << 16  # items that one task walks one by one, and names that are broadcast
+
 
 def _sides(df: DataFrame, if_filled: str, otherwise: str) -> DataFrame:
     return df.withColumn("side", F.when(F.col("filled"), if_filled).otherwise(otherwise)).drop("filled")
@@ -61,40 +65,105 @@ def split_homology(
     return _sides(up_to_cut(ordered, "_first", cuts), "train", "test").drop("_first")
 
 
-def first_fit(counts: DataFrame, name: str, order: str, size: str, test_size: float) -> DataFrame:
-    """One row with `test`, the names that go to test: each in turn if it still fits, else the smallest.
+def first_fit(counts: DataFrame, order: str, size: str, limit: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """`counts` with `taken`: in `order`, an item is taken if it still fits into `limit` beside those taken before.
 
-    First fit is sequential by nature; it folds over one entry per name, never over rows.
+    Done in rounds over ranges of the order. What is larger than the room left can never fit and is out; of the rest, all up to the
+    first that overflows are taken, which leaves less room for the next round after that one. A round adds up sizes per range and
+    walks the one range with the overflow. Once no more than `fold_rows` items are left, one task walks them.
     """
-    entry = F.struct(order, F.col(size).cast("bigint").alias("n"), F.col(name).alias("name"))
-    folded = counts.agg(F.array_sort(F.collect_list(entry)).alias("all"), F.sum(size).alias("total"))
-    target = F.floor(F.col("total") * test_size)
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<string>").alias("names"))
-
-    def step(acc, x):
-        fits = acc["n"] + x["n"] <= target
-        return F.when(
-            fits,
-            F.struct((acc["n"] + x["n"]).alias("n"), F.array_append(acc["names"], x["name"]).alias("names")),
-        ).otherwise(acc)
-
-    fitted = F.aggregate("all", start, step)["names"]
-    by_size = F.array_sort(F.transform("all", lambda x: F.struct(x["n"], x[order], x["name"])))
-    smallest = F.array(F.element_at(by_size, 1)["name"])
-    few = F.when(F.size("all") == 0, F.raise_error(F.lit("cannot split an empty table")).cast("array<string>")).when(
-        F.size("all") == 1,
-        F.raise_error(F.lit("cannot split by chromosome with only one chromosome")).cast("array<string>"),
-    )
-    return folded.select(few.when(F.size(fitted) > 0, fitted).otherwise(smallest).alias("test"))
+    rounds: list[tuple] = []  # after this item, before that one, at most this size
+    room, after, walked = int(limit), None, None
+    few = counts.limit(fold_rows + 1).count() <= fold_rows
+    laid = counts if few else lay_out(counts, order)
+    if few:
+        walked = counts.select(order, size).coalesce(1).sortWithinPartitions(order).mapInArrow(_walk(room), _field(counts, order))
+    while room > 0 and not few:
+        left = laid.where(F.col(size) <= room)
+        left = left if after is None else left.where(F.col(order) > F.lit(after))
+        parts = sorted((r["_part"], r["s"], r["n"]) for r in left.groupBy("_part").agg(F.sum(size).alias("s"), F.count(F.lit(1)).alias("n")).collect())
+        if sum(n for _, _, n in parts) <= fold_rows:
+            walked = left.select(order, size).coalesce(1).sortWithinPartitions(order).mapInArrow(_walk(room), _field(laid, order))
+            break
+        used, over = 0, None
+        for part, s, _ in parts:
+            if used + s > room:
+                over = part
+                break
+            used += s
+        if over is None:
+            rounds.append((after, None, room))
+            break
+        inside = left.where(F.col("_part") == over).select(order, size).coalesce(1).sortWithinPartitions(order)
+        found = inside.mapInArrow(_overflow(room - used), f"{_field(laid, order)}, used long").first()
+        rounds.append((after, found[0], room))
+        room, after = room - used - found[1], found[0]
+    taken = F.lit(False)
+    for low, high, most in rounds:
+        here = F.col(size) <= most
+        here = here if low is None else here & (F.col(order) > F.lit(low))
+        here = here if high is None else here & (F.col(order) < F.lit(high))
+        taken = taken | here
+    out = laid.drop("_part").withColumn("taken", taken)
+    if walked is None:
+        return out
+    late = walked.withColumn("_late", F.lit(True))
+    return out.join(late, order, "left").withColumn("taken", F.col("taken") | F.coalesce("_late", F.lit(False))).drop("_late")
+
+
+def _field(df: DataFrame, name: str) -> str:
+    return f"`{name}` {df.schema[name].dataType.simpleString()}"
+
+
+def _walk(room: int):
+    """The items that a first fit into `room` takes."""
+
+    def walk(batches):
+        left = room
+        for batch in batches:
+            kept = []
+            for i, n in enumerate(batch.column(1).to_pylist()):
+                if n <= left:
+                    left -= n
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64()))], names=batch.schema.names[:1])
+
+    return walk
+
+
+def _overflow(room: int):
+    """The first item beyond `room`, and the sum before it."""
+
+    def find(batches):
+        used = 0
+        for batch in batches:
+            sizes = np.asarray(batch.column(1)).astype(np.int64)
+            up_to = used + np.cumsum(sizes)
+            at = int(np.searchsorted(up_to, room, side="right"))
+            if at < len(sizes):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([int(up_to[at] - sizes[at])], pa.int64())], names=[batch.schema.names[0], "used"])
+                return
+            used = int(up_to[-1]) if len(sizes) else used
+
+    return find
 
 
 def split_chromosome(df: DataFrame, test_size: float, seed: int) -> DataFrame:
-    """Whole chromosomes go to test while they fit in floor(test_size * rows) rows."""
+    """Whole chromosomes go to test while they fit in floor(test_size * rows) rows; if none does, the smallest goes."""
     counts = df.groupBy(F.col("chromosome").cast("string").alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_order", shuffle_order("_name", seed))
-    test = first_fit(counts, "_name", "_order", "_n", test_size).scalar()
-    held_out = F.array_contains(test, F.col("chromosome").cast("string"))
-    return df.withColumn("side", F.when(held_out, "test").otherwise("train"))
+    counts = cut_lineage(counts.withColumn("_order", F.coalesce(shuffle_order("_name", seed), F.lit(""))))
+    whole = counts.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("names")).first()
+    if not whole["names"]:
+        raise ValueError("cannot split an empty table")
+    if whole["names"] == 1:
+        raise ValueError("cannot split by chromosome with only one chromosome")
+    fitted = first_fit(counts, "_order", "_n", math.floor(whole["rows"] * test_size)).where("taken")
+    if not fitted.limit(1).count():
+        fitted = counts.orderBy("_n", "_order", "_name").limit(1)
+    fitted = cut_lineage(fitted.select("_name", F.lit(True).alias("_test")))
+    few = fitted.count() <= FOLD_ROWS
+    joined = df.join(F.broadcast(fitted) if few else fitted, F.col("chromosome").cast("string").eqNullSafe(F.col("_name")), "left")
+    return joined.withColumn("side", F.when(F.col("_test"), "test").otherwise("train")).drop("_name", "_test")
 
 
 def _letters(batches):

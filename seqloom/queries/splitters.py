@@ -74,9 +74,7 @@ WHOLE = "SELECT count(*) AS rows, {clusters} AS clusters, 0::BIGINT AS straddlin
 
 def kept_whole(spark, sf, splitter, n_clusters):
     """Rows, clusters, clusters on both sides; whether test reached its share, and needed its last cluster."""
-    seqs = _with_sequence(spark, sf)
-    clusters = X.kmeans_clusters(seqs, 3, n_clusters, SEED)
-    sides = splitter(seqs, SIZE, SEED, n_clusters=n_clusters).select("row_id", "side").join(clusters, "row_id")
+    sides = splitter(_with_sequence(spark, sf), SIZE, SEED, n_clusters=n_clusters, keep_cluster=True).select("row_id", "cluster", "side")
     each = sides.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("side").alias("sides"), F.max("side").alias("side"), shuffle_order("cluster", SEED).alias("k")
     )

@@ -213,3 +213,40 @@ def test_kmer_rule(spark):
     out = X.split_kmer(df, 0.2, 3, keep_cluster=True).collect()
     assert len(out) == 450 and {r.cluster for r in out} == {0, 1, 2, 3}
     assert {r.cluster for r in X.split_hard_kmer(df, 0.2, 3, keep_cluster=True).collect()} == {0, 1}
+
+
+def fold(sizes, limit):
+    used, taken = 0, []
+    for n in sizes:
+        fits = used + n <= limit
+        taken.append(fits)
+        used += n * fits
+    return taken
+
+
+@pytest.mark.parametrize("fold_rows,rows_in_part", [(1 << 16, 1 << 18), (0, 40), (25, 7)])
+@pytest.mark.parametrize("limit", [0, 3, 700, 5000, 10**9])
+def test_first_fit_is_the_fold(spark, monkeypatch, fold_rows, rows_in_part, limit):
+    from seqloom.operators import prefix
+
+    monkeypatch.setattr(prefix, "PART_ROWS", rows_in_part)
+    rng = np.random.default_rng(limit)
+    sizes = [int(v) for v in np.where(rng.random(300) < 0.1, rng.integers(200, 900, 300), rng.integers(1, 40, 300))]
+    df = spark.createDataFrame([(f"{i:05d}", n) for i, n in enumerate(sizes)], "o string, n long").repartition(5)
+    got = X.first_fit(df, "o", "n", limit, fold_rows).orderBy("o").collect()
+    assert [r.taken for r in got] == fold(sizes, limit)
+
+
+def test_a_million_scaffolds(spark):
+    df = spark.range(1_000_000).select(F.format_string("%07d", "id").alias("o"), (F.pmod(F.xxhash64("id"), F.lit(1000)) + 1).alias("n"))
+    for share in (0.3, 0.9999):
+        limit = int(500_500_000 * share)
+        out = X.first_fit(df, "o", "n", limit).select("o", "n", "taken").toPandas().sort_values("o")
+        assert out.taken.tolist() == fold(out.n.tolist(), limit)
+
+
+def test_null_and_hot_chromosomes(spark):
+    df = chromosomes(spark, [None] * 2 + ["1"] * 30 + ["2"] * 3 + ["3"] * 5)
+    out = X.split_chromosome(df, 0.3, 5).collect()
+    assert len(out) == 40 and all(len({r.side for r in out if r.chromosome == c}) == 1 for c in (None, "1", "2", "3"))
+    assert 0 < sum(r.side == "test" for r in out) <= 12
