@@ -75,6 +75,11 @@ def attach_embeddings(df: DataFrame, embeddings: DataFrame, key: str = "row_id",
     return df.join(embeddings, key)
 
 
+# Widths of the bins of intervals: `width` times a power of `FINER`; the widest are longer than any chromosome.
+FINER = 8
+LEVELS = 12
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -85,19 +90,26 @@ def interval_join(
     width: int = BIN,
     also: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs with start <= at < end on one chromosome, as an equi-join on (chrom, bin).
+    """Pairs with start <= at < end on one chromosome, as an equi-join on (chrom, level, bin).
 
-    A plain range condition would compare every point with every interval. Intervals are listed
-    under each bin they touch, a point lies in one bin, so no pair comes out twice.
+    A plain range condition would compare every point with every interval. Bins of a level are `FINER` times as wide as those of the
+    level below; an interval is listed at the lowest level whose bins are no shorter than itself, so under two bins at most
+    however long it is. A point asks one bin of each level that intervals are on, so no pair comes out twice.
     """
-    binned_points = points.withColumn("_bin", F.floor(F.col(at) / width))
-    binned = intervals.filter(F.col(end) > F.col(start)).withColumn(
-        "_bin",
-        F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))),
+    length = F.col(end) - F.col(start)
+    widths = [width * FINER**i for i in range(LEVELS)]
+    level = F.lit(LEVELS - 1)
+    for i in reversed(range(LEVELS - 1)):
+        level = F.when(length <= widths[i], i).otherwise(level)
+    wide = lambda of: F.element_at(F.array(*[F.lit(w) for w in widths]), of + 1)
+    filled = intervals.filter(length > 0).withColumn("_level", level)
+    binned = filled.withColumn(
+        "_bin", F.explode(F.sequence(F.floor(F.col(start) / wide(F.col("_level"))), F.floor((F.col(end) - 1) / wide(F.col("_level")))))
     )
-    keys = [chrom, "_bin", *also]
-    joined = binned_points.join(binned, keys)
-    return joined.filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_bin")
+    levels = filled.agg(F.array_sort(F.collect_set("_level")).alias("levels")).scalar()
+    asked = points.withColumn("_level", F.explode(levels)).withColumn("_bin", F.floor(F.col(at) / wide(F.col("_level"))))
+    joined = asked.join(binned, [chrom, "_level", "_bin", *also])
+    return joined.filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_bin", "_level")
 
 
 def variant_overlap(variants: DataFrame, transcripts: DataFrame, width: int = BIN) -> DataFrame:

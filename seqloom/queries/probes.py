@@ -90,6 +90,27 @@ def welch_t(spark, sf):
     return tests.filter("p_value BETWEEN 0 AND 1").select("lang_a", "lang_b", F.round("t", 8).alias("t"), F.round("df", 6).alias("df"))
 
 
+SIMPSON = "list_sum([CASE WHEN k IN (0, 4096) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(c * ln(sin({low} + ({top} - {low}) * k / 4096) / sin({top}))) FOR k IN range(4097)]) * ({top} - {low})"
+
+
+@query(
+    "welch_p",
+    f"""
+    WITH g AS (SELECT lang, count(*) AS n, avg(n_chars) AS m, var_samp(n_chars) AS v FROM documents GROUP BY lang),
+    t AS (SELECT a.lang AS lang_a, b.lang AS lang_b, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t,
+      (a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)) AS df FROM g a JOIN g b ON a.lang < b.lang),
+    u AS (SELECT *, df - 1 AS c, asin(sqrt(df / (df + t * t))) AS top FROM t),
+    w AS (SELECT *, asin(sin(top) * exp(-45 / c)) AS low, asin(exp(-45 / c)) AS least FROM u)
+    SELECT lang_a, lang_b, round(exp(c * ln(sin(top))) * {SIMPSON.format(low="low", top="top")} / ({SIMPSON.format(low="least", top="(pi() / 2)")}), 9) AS p_value FROM w
+    """,
+)
+def welch_p(spark, sf):
+    """Do documents of two languages differ in length? The probability itself, beside Simpson's rule."""
+    groups = M.group_moments(D.table(spark, sf, "documents"), "lang", "n_chars")
+    tests = M.welch_t(J.group_pairs(groups, "lang", ["n", "mean", "var"]))
+    return tests.select("lang_a", "lang_b", F.round("p_value", 9).alias("p_value"))
+
+
 # ---- probes ------------------------------------------------------------------------------
 
 

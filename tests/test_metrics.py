@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,8 +109,22 @@ def test_one_class_has_no_auroc(spark):
         (1.959963985, 1e7, 0.05), (3.290526731, 1e9, 0.001), (31.59905458, 2, 0.001),
     ],
 )
-def test_student(t, df, p):
-    assert M.student_two_sided(np.array([t]), np.array([df]))[0] == pytest.approx(p, rel=2e-6)
+def test_student(one, t, df, p):
+    assert one("t double, df double", (float(t), float(df)), M.student_two_sided(F.col("t"), F.col("df")))[0] == pytest.approx(p, rel=2e-6)
+
+
+def test_student_in_closed_form(spark):
+    rows = [(float(t), float(df)) for t in (1e-9, 1e-3, 0.1, 0.7, 1.0, 2.5, 8.0, 1e3, 1e9) for df in (1, 2, 4)] + [(-2.5, 4.0)]
+    known = {
+        1: lambda t: 2 / math.pi * math.atan2(1, t), 2: lambda t: 2 / (math.sqrt(2 + t * t) * (math.sqrt(2 + t * t) + t)),
+        4: lambda t: 1 - (s := t / math.sqrt(4 + t * t)) * (1.5 - 0.5 * s * s),
+    }
+    got = spark.createDataFrame(rows, "t double, df double").withColumn("p", M.student_two_sided(F.col("t"), F.col("df"))).collect()
+    for r in got:
+        assert r.p == pytest.approx(known[int(r.df)](abs(r.t)), rel=1e-11, abs=1e-15)
+    odd = [(float("nan"), 3.0), (None, 3.0), (2.0, None), (2.0, float("inf")), (2.0, 0.5), (1e200, 3.0)]
+    got = spark.createDataFrame(odd, "t double, df double").select(M.student_two_sided(F.col("t"), F.col("df")).alias("p")).collect()
+    assert [r.p for r in got] == [None] * 5 + [0.0]
 
 
 def test_welch_and_adjustment(spark):
