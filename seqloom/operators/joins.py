@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.constants import NO_PRINCIPALITY, SPLIT_TYPES
 from seqloom.functions.sequence import versionless
+from seqloom.session import cut_lineage
 
 BIN = 16_384
 
@@ -76,8 +77,8 @@ def attach_embeddings(df: DataFrame, embeddings: DataFrame, key: str = "row_id",
 
 
 # Widths of the bins of intervals: `width` times a power of `FINER`; the widest are longer than any chromosome.
-FINER = 8
-LEVELS = 12
+FINER = 2
+LEVELS = 32
 
 
 def interval_join(
@@ -106,8 +107,9 @@ def interval_join(
     binned = filled.withColumn(
         "_bin", F.explode(F.sequence(F.floor(F.col(start) / wide(F.col("_level"))), F.floor((F.col(end) - 1) / wide(F.col("_level")))))
     )
-    levels = filled.agg(F.array_sort(F.collect_set("_level")).alias("levels")).scalar()
-    asked = points.withColumn("_level", F.explode(levels)).withColumn("_bin", F.floor(F.col(at) / wide(F.col("_level"))))
+    binned = cut_lineage(binned)  # often derived, and read for its levels before it is joined
+    levels = sorted(r["_level"] for r in binned.select("_level").distinct().collect())  # of `LEVELS`
+    asked = points.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in levels]).cast("array<int>"))).withColumn("_bin", F.floor(F.col(at) / wide(F.col("_level"))))
     joined = asked.join(binned, [chrom, "_level", "_bin", *also])
     return joined.filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_bin", "_level")
 

@@ -81,8 +81,8 @@ def up_to_cut(df: DataFrame, order: str | Column, cuts: DataFrame, by: Sequence[
 # ---- scans over rows in order ------------------------------------------------------------
 
 
-def lay_out(df: DataFrame, order: str, by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
-    """`df` in ranges of (`by`, `order`), sorted, written once, with the number of the range in `_part`.
+def lay_out(df: DataFrame, order: str, by: Sequence[str] = (), parts: int | None = None) -> tuple[DataFrame, int]:
+    """`df` in ranges of (`by`, `order`), sorted, written once, with the number of the range in `_part`; and how many ranges.
 
     There are as many ranges as hold `PART_ROWS` rows each, whatever the groups: a group with all the rows fills all ranges,
     and many small groups share one. Rows of one (`by`, `order`) should have been merged before.
@@ -91,8 +91,8 @@ def lay_out(df: DataFrame, order: str, by: Sequence[str] = (), parts: int | None
     parts = parts or max(1, -(-df.count() // PART_ROWS))
     keys = [*by, order]
     if parts == 1:  # one sorted range comes out the same however often it is read
-        return df.coalesce(1).sortWithinPartitions(*keys).withColumn("_part", F.lit(0))
-    return cut_lineage(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+        return df.coalesce(1).sortWithinPartitions(*keys).withColumn("_part", F.lit(0)), 1
+    return cut_lineage(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())), parts
 
 
 def _whole(batches) -> pa.Table | None:
@@ -123,7 +123,7 @@ class _Carried:
 
     def __init__(self, edges: list[tuple], merge: Callable, nothing):
         # edges: part, key of the first group, its values, key of the last group, its values, one group only
-        self.before, self.after = {}, {}
+        self.before, self.after, self.nothing = {}, {}, nothing
         for step, into in ((1, self.before), (-1, self.after)):
             key, held = None, nothing
             for part, *ends, only in edges[::step]:
@@ -133,8 +133,10 @@ class _Carried:
                 key, held = far, (merge(into[part], values) if only else far_values)
 
 
-def _edges(laid: DataFrame, by: Sequence[str], values: Sequence[str], fold: Callable) -> list[tuple]:
-    """A row per range: its first and its last group, and `fold` of their values."""
+def _edges(laid: DataFrame, parts: int, by: Sequence[str], values: Sequence[str], fold: Callable) -> list[tuple]:
+    """A row per range: its first and its last group, and `fold` of their values. The only range has no neighbours."""
+    if parts == 1:
+        return []
     keys = [f for f in laid.schema.fields if f.name in by]
     key_type = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in keys) or "`_`: int"
     names = [f.name for f in keys]
@@ -168,16 +170,17 @@ def running_totals(
     by: Sequence[str] = (),
     parts: int | None = None,
     keep_parts: bool = False,
-) -> DataFrame:
+) -> DataFrame | tuple[DataFrame, int]:
     """Exclusive running sums and group totals along `order`, one row per (`by`, `order`) going in.
 
     Adds `<name>_before` and `<name>_total` per entry of `sums`. Two passes over ranges of rows: the first adds up the first and
     the last group of each range, the only ones that other ranges can share; the second adds running sums within the range
-    to what the earlier ranges hold. No group is ever one task's work. With `keep_parts`, the rows keep `_part` and their order.
+    to what the earlier ranges hold. No group is ever one task's work. With `keep_parts`, the rows keep `_part` and their order, and the number of
+    ranges is returned too.
     """
     by, sums = list(by), list(sums)
-    laid = lay_out(df.withColumns({c: F.coalesce(c, F.lit(0).cast(df.schema[c].dataType)) for c in sums}), order, by, parts)
-    carried = _Carried(_edges(laid, by, sums, np.sum), lambda a, b: tuple(x + y for x, y in zip(a, b)), (0,) * len(sums))
+    laid, parts = lay_out(df.withColumns({c: F.coalesce(c, F.lit(0).cast(df.schema[c].dataType)) for c in sums}), order, by, parts)
+    carried = _Carried(_edges(laid, parts, by, sums, np.sum), lambda a, b: tuple(x + y for x, y in zip(a, b)), (0,) * len(sums))
     kinds = {c: "bigint" if laid.schema[c].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "double" for c in sums}
 
     def scan(batches):
@@ -185,6 +188,7 @@ def running_totals(
         if rows is None:
             return
         part = rows.column("_part")[0].as_py()
+        earlier, later = carried.before.get(part, carried.nothing), carried.after.get(part, carried.nothing)
         starts = _group_starts(rows, by)
         lengths = np.diff(np.append(starts, len(rows)))
         out = list(rows.columns)
@@ -192,9 +196,9 @@ def running_totals(
             v = np.asarray(rows.column(c)).astype(np.int64 if kinds[c] == "bigint" else np.float64)
             total = np.add.reduceat(v, starts)
             base = np.zeros(len(starts), v.dtype)
-            base[0] = carried.before[part][i]
-            total[0] += carried.before[part][i]
-            total[-1] += carried.after[part][i]
+            base[0] = earlier[i]
+            total[0] += earlier[i]
+            total[-1] += later[i]
             if kinds[c] == "bigint":
                 run = np.cumsum(v) - v
                 before = run - np.repeat(run[starts] - base, lengths)
@@ -206,16 +210,16 @@ def running_totals(
     names = laid.columns + [f"{c}_{end}" for c in sums for end in ("before", "total")]
     added = ", ".join(f"`{c}_{end}` {kinds[c]}" for c in sums for end in ("before", "total"))
     totals = laid.mapInArrow(scan, T.StructType.fromDDL(f"{_ddl(laid)}, {added}"))
-    return totals if keep_parts else totals.drop("_part")
+    return (totals, parts) if keep_parts else totals.drop("_part")
 
 
-def least_from_here(laid: DataFrame, value: str, output: str, by: Sequence[str] = ()) -> DataFrame:
+def least_from_here(laid: DataFrame, parts: int, value: str, output: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds the least `value` (double) of a row and all later rows of its group, over ranges laid out in order.
 
     As `running_totals`, in the other direction: a range needs the least value that later ranges hold of its last group.
     """
     by = list(by)
-    carried = _Carried(_edges(laid, by, [value], np.min), lambda a, b: (min(a[0], b[0]),), (float("inf"),))
+    carried = _Carried(_edges(laid, parts, by, [value], np.min), lambda a, b: (min(a[0], b[0]),), (float("inf"),))
 
     def scan(batches):
         rows = _whole(batches)
@@ -223,7 +227,7 @@ def least_from_here(laid: DataFrame, value: str, output: str, by: Sequence[str]
             return
         part = rows.column("_part")[0].as_py()
         v = np.asarray(rows.column(value)).astype(np.float64)
-        v[-1] = min(v[-1], carried.after[part][0])
+        v[-1] = min(v[-1], carried.after.get(part, carried.nothing)[0])
         groups = np.split(v, _group_starts(rows, by)[1:])
         least = np.concatenate([np.minimum.accumulate(g[::-1])[::-1] for g in groups])
         yield from pa.table([*rows.columns, pa.array(least)], names=[*rows.column_names, output]).to_batches(max_chunksize=OUT_ROWS)

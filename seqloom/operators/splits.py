@@ -75,7 +75,7 @@ def first_fit(counts: DataFrame, order: str, size: str, limit: int, fold_rows: i
     rounds: list[tuple] = []  # after this item, before that one, at most this size
     room, after, walked = int(limit), None, None
     few = counts.limit(fold_rows + 1).count() <= fold_rows
-    laid = counts if few else lay_out(counts, order)
+    laid = counts if few else lay_out(counts, order)[0]
     if few:
         walked = counts.select(order, size).coalesce(1).sortWithinPartitions(order).mapInArrow(_walk(room), _field(counts, order))
     while room > 0 and not few:

@@ -114,9 +114,9 @@ def bh_adjust(tests: DataFrame, p: str, by=(), alpha: float | None = None) -> Da
     """
     by = list(by)
     counts = tests.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(counts, p, ["_n"], by, keep_parts=True)
+    ranked, parts = running_totals(counts, p, ["_n"], by, keep_parts=True)
     raw = F.col(p) * F.col("_n_total") / (F.col("_n_before") + F.col("_n"))
-    least = least_from_here(ranked.withColumn("_raw", raw.cast("double")), "_raw", "adj_p", by)
+    least = least_from_here(ranked.withColumn("_raw", raw.cast("double")), parts, "_raw", "adj_p", by)
     adjusted = least.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(p).alias("_p"), F.least("adj_p", F.lit(1.0)).alias("adj_p"))
     same = F.col(p) == F.col("_p")
     for c in by:

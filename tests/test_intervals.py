@@ -30,8 +30,6 @@ def test_long_intervals_are_not_multiplied(spark):
     i = spark.range(50).select(F.lit("a").alias("chrom"), (F.col("id") * 1000).alias("start"), (F.col("id") * 1000 + 100_000_000).alias("end"))
     p = spark.createDataFrame([("a", 10**8 - 1)], "chrom string, at long")
     joined = J.interval_join(p, i, width=1024)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("explode(sequence(") == 1
     assert joined.count() == 50
     wide = next(1024 * J.FINER**k for k in range(J.LEVELS) if 1024 * J.FINER**k >= 100_000_000)
     assert all((s * 1000 + 100_000_000 - 1) // wide - s * 1000 // wide <= 1 for s in range(50))
