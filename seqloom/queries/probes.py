@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import joins as J, metrics as M
 from seqloom.plans import probe as P
+from seqloom.plans.report import report
+from seqloom.plans.work import run_pending
 from seqloom.registry import query
 from seqloom.session import scratch
-from seqloom.sources import standins as D
+from seqloom.sources import readers as R, standins as D
 from seqloom.sources.standins import ctes
 
 BY = ["run"]
@@ -244,9 +246,9 @@ def probe_multilabel(spark, sf):
     return weights(P.probe_multilabel(rows), spark).withColumn("weight", F.round("weight", 3))
 
 
-def runs_sql(seeds: str) -> str:
+def runs_sql(seeds: str, x: str = "p_size::DOUBLE") -> str:
     return f"""
-    WITH d AS (SELECT p_partkey AS row_id, p_size::DOUBLE AS x, p_retailprice + p_size * 10 AS y, seed, md5(p_partkey || ':' || seed) AS h FROM part, (VALUES {seeds}) t(seed)),
+    WITH d AS (SELECT p_partkey AS row_id, {x} AS x, p_retailprice + p_size * 10 AS y, seed, md5(p_partkey || ':' || seed) AS h FROM part, (VALUES {seeds}) t(seed)),
     a AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY h, row_id) <= ceil(count(*) OVER (PARTITION BY seed) * 0.3::DOUBLE) AS held FROM d),
     b AS (SELECT row_id, seed, row_number() OVER (PARTITION BY seed ORDER BY h, row_id) <= ceil(count(*) OVER (PARTITION BY seed) * 0.5::DOUBLE) AS test FROM a WHERE held),
     s AS (SELECT row_id, seed, x, y, CASE WHEN NOT held THEN 'train' WHEN test THEN 'test' ELSE 'val' END AS split FROM a LEFT JOIN b USING (row_id, seed)),
@@ -290,3 +292,36 @@ def fitted_model(spark, sf):
     for seed in (411, 413):
         P.run_probe(priced(spark, sf), "reg_lin", seed=seed, save_to=path)
     return weights(P.fitted_model(spark, path, 413), spark).withColumn("weight", F.round("weight", 5))
+
+
+MODELS = {"size": "p_size::DOUBLE", "batch": "(p_partkey % 97)::DOUBLE"}
+
+
+@query(
+    "probe_to_report",
+    " UNION ALL ".join(
+        f"""SELECT * FROM ({runs_sql("(2541), (413)", x)}
+    SELECT 'part' AS dataset, 'target' AS target, '{name}' AS model, round(avg(r), 6) AS mean, round(1.96 * stddev_pop(r) / sqrt(count(*)), 6) AS ci, '{name[0]}' AS model_class
+    FROM m WHERE split = 'test')"""
+        for name, x in MODELS.items()
+    ),
+)
+def probe_to_report(spark, sf):
+    """Two feature sets probed under two seeds, stopped after the first, taken up from what is stored, and reported."""
+    parts = D.table(spark, sf, "part")
+    features = {"size": F.col("p_size"), "batch": F.col("p_partkey") % 97}
+
+    def load(cell):
+        return parts.select(
+            F.col("p_partkey").alias("row_id"), F.array(features[cell["model"]].cast("double")).alias("embedding"), (F.col("p_retailprice") + F.col("p_size") * 10).alias("target")
+        )
+
+    catalogue = spark.createDataFrame([("part", "reg_lin", "target", "default")], "dataset string, task string, target string, split_type string")
+    work = J.work_grid(catalogue, list(MODELS), (2541, 413), canonical=True)
+    path = scratch(spark, "probed")
+    run_pending(work, load, path, most=1)
+    run_pending(work, load, path)
+    left = J.resume_pending(work, R.scan_results(spark, path))
+    classes = spark.createDataFrame([(m, m[0]) for m in MODELS], "model string, model_class string")
+    out = report(R.scan_results(spark, path).join(left, list(J.CELL), "left_anti"), classes)
+    return out.select("dataset", "target", "model", F.round("mean", 6).alias("mean"), F.round("ci", 6).alias("ci"), "model_class")

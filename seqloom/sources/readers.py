@@ -6,13 +6,14 @@ dataset, model or seed reads only the folders it needs.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from seqloom.functions import sequence as S
-from seqloom.session import cut_lineage
 
 TRACK = T.ArrayType(T.ByteType())
 DATASET = T.StructType(
@@ -143,29 +144,34 @@ def scan_embeddings(spark: SparkSession, path: str, dataset: str, model: str) ->
 # ---- results -----------------------------------------------------------------------------
 
 
-def sink_results(df: DataFrame, path: str) -> None:
-    """Write metric rows; a run that is there already is replaced, other runs stay.
+def sink_results(df: DataFrame, path: str) -> str:
+    """Add metric rows as a run of their own; returns its name. Of rows with the same keys, those of the last run count.
 
-    A folder per dataset and model, not per run. What the folders to be written hold of other runs is read first.
+    Nothing that is there is read or written again: a run has its own folder, and a commit that is written after its last file.
+    Two writers never meet, and a run that fails is never seen. Runs are ordered by the time they are begun.
     """
-    rows = df.select(*RESULTS.names)
-    if exists(df.sparkSession, path):
-        stored = df.sparkSession.read.schema(RESULTS).parquet(path)
-        others = stored.join(rows.select(*RESULT_FOLDERS).distinct(), [*RESULT_FOLDERS], "left_semi")
-        others = others.join(rows.select(*RESULT_KEYS).distinct(), [*RESULT_KEYS], "left_anti")
-        rows = cut_lineage(rows.unionByName(others.select(*RESULTS.names)))
-    (
-        rows.repartition(*RESULT_FOLDERS)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*RESULT_FOLDERS)
-        .parquet(path)
-    )
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    rows = df.select(*RESULTS.names).repartition(*RESULT_FOLDERS)
+    rows.write.partitionBy(*RESULT_FOLDERS).parquet(f"{path}/runs/run={run}")
+    df.sparkSession.createDataFrame([(run,)], "run string").coalesce(1).write.parquet(f"{path}/commits/{run}")
+    return run
 
 
 def scan_results(spark: SparkSession, path: str, seeds: Sequence[int] | None = None, **keys: str) -> DataFrame:
-    """Metric rows of the given seeds and keys; dataset and model prune folders, the rest is pushed to the files."""
-    return filter_results(spark.read.schema(RESULTS).parquet(path), seeds, **keys)
+    """Committed metric rows of the given seeds and keys, a later run's in place of an earlier one's.
+
+    Dataset and model prune folders, the rest is pushed to the files. The keys of a run decide which rows it replaces.
+    """
+    stored = spark.read.schema(T.StructType([*RESULTS.fields, T.StructField("run", T.StringType())])).parquet(f"{path}/runs")
+    committed = spark.read.schema("run string").parquet(f"{path}/commits/*")
+    rows = filter_results(stored, seeds, **keys).join(committed, "run", "left_semi")
+    last = F.max("run").over(W.partitionBy(*RESULT_KEYS))  # the runs of one key: a few metrics each
+    return rows.withColumn("_last", last).where("run = _last").select(*RESULTS.names)
+
+
+def results_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """As `scan_results`, without rows before the first commit."""
+    return scan_results(spark, path) if exists(spark, f"{path}/commits/*") else spark.createDataFrame([], RESULTS)
 
 
 def filter_results(table: DataFrame, seeds: Sequence[int] | None = None, **keys: str) -> DataFrame:
