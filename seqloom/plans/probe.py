@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.constants import DEFAULT_RATIOS, RIDGE_ALPHAS, RIDGE_FALLBACK_ALPHA, SEEDS
 from seqloom.operators import metrics as M
+from seqloom.operators.prefix import fill_cuts, shuffle_order
 from seqloom.operators.projections import drop_null, validate_splits
 from seqloom.operators.splits import get_splits, split_three_way
 from seqloom.plans import batched as B
@@ -442,6 +443,8 @@ def run_multi_seed(
 
 def seed_marks(keys: DataFrame, seeds: Sequence[int], split_type: str, ratios, splitter, **options) -> DataFrame:
     """`row_id, marks`: for every seed the number of the split that a row is in, -1 for none."""
+    if splitter is None and split_type == "default" and not options:
+        return keys.select("row_id", random_marks(keys, seeds, ratios).alias("marks"))
     every = None
     for i, seed in enumerate(seeds):
         if splitter is None:
@@ -455,6 +458,47 @@ def seed_marks(keys: DataFrame, seeds: Sequence[int], split_type: str, ratios, s
     return every.groupBy("row_id").agg(F.array(*[mark(i) for i in range(len(seeds))]).alias("marks"))
 
 
+def random_marks(keys: DataFrame, seeds: Sequence[int], ratios):
+    """The marks of `split_three_way(split_random, ..)` under every seed, as a column.
+
+    Both splits of a seed cut one order of the rows, so a row's marks follow from two cuts per seed, and these are found for all seeds at once.
+    """
+    train, val, test = ratios = tuple(ratios or DEFAULT_RATIOS)
+    if abs(sum(ratios) - 1) > 1e-9:
+        raise ValueError("split ratios must sum to 1")
+    held = val + test
+    each = keys.select(F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"), "row_id")
+    ordered = each.select("seed", shuffle_order("row_id", F.col("seed")).alias("order"), F.lit(1).alias("one"))
+
+    def cuts(rows: DataFrame, share: float) -> dict[int, str]:
+        found = fill_cuts(rows, "order", "one", lambda n: F.ceil(n * share), ["seed"])
+        return {r["seed"]: r["cut"] for r in found.collect()}  # a row per seed
+
+    first = cuts(ordered, held) if train and held else {}
+    second = {}
+    if val and test:
+        below = ordered if not train else ordered.where(_at_most(F.col("order"), F.col("seed"), first))
+        second = cuts(below, test / held)
+
+    def mark(seed: int):
+        order = shuffle_order("row_id", seed)
+        rest = F.lit(1 if test == 0 else 2)
+        if val and test:
+            rest = F.when(order <= second[seed], 2).otherwise(1) if seed in second else F.lit(1)
+        if train == 0:
+            return rest
+        return F.when(order <= first[seed], rest).otherwise(B.TRAIN) if seed in first else F.lit(B.TRAIN)
+
+    return F.array(*[mark(s).cast("tinyint") for s in seeds])
+
+
+def _at_most(order, seed, cuts: dict[int, str]):
+    inside = F.lit(False)
+    for s, cut in cuts.items():
+        inside = inside | ((seed == s) & (order <= cut))
+    return inside
+
+
 def _fit_seeds(blocks: B.Blocks, task: str, least_rows: int) -> list[FittedProbe]:
     if task == "reg_lin":
         return [FittedProbe(task, coef[None, :], np.array([b])) for coef, b in B.linear_fits(blocks)]

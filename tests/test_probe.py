@@ -232,3 +232,15 @@ def test_a_split_reads_what_its_splitter_declares(spark, data):
     assert P.split_keys(df, "homology", None, ()).columns == ["row_id", "gene"]
     assert P.split_keys(df, "kmer", None, ()).columns == ["row_id", "sequence"]
     assert P.split_keys(df, "default", lambda *a: None, ("embedding", "target")).columns == ["row_id", "gene", "chromosome", "sequence"]
+
+
+@pytest.mark.parametrize("ratios", [(0.7, 0.15, 0.15), (0.8, 0, 0.2), (0.8, 0.2, 0), (0, 0.5, 0.5), (1, 0, 0), (0.99, 0.005, 0.005)])
+def test_marks_of_all_seeds_are_the_splits_of_each(spark, ratios):
+    from seqloom.operators import splits as X
+
+    keys = spark.range(97).withColumnRenamed("id", "row_id")
+    seeds = (2541, 3, 411)
+    got = {r.row_id: r.marks for r in P.seed_marks(keys, seeds, "default", ratios, None).collect()}
+    for i, seed in enumerate(seeds):
+        want = {r.row_id: B.SPLITS.index(r.split) for r in X.split_three_way(X.split_random, keys, ratios, seed).collect()}
+        assert {k: v[i] for k, v in got.items()} == want
