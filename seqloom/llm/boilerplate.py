@@ -1,7 +1,7 @@
 """Lines that many sites repeat (operator 7), with DataFrame functions alone.
 
-Method: distinct-site spread. Sites of every line are counted by HyperLogLog sketches that merge by aggregation; lines whose
-estimate is near the threshold get an exact distinct count. Of a line at or above it the earliest occurrence stays,
+Method: distinct-site spread. Sites of every line that stands in enough places are counted by HyperLogLog sketches that merge by
+aggregation; lines whose estimate is near the threshold get an exact distinct count. Of a line at or above it the earliest occurrence stays,
 so that an article which many sites copied is not lost with its copies.
 """
 
@@ -15,6 +15,7 @@ from seqloom.session import cut_lineage
 MIN_SITES = 8
 LOG_REGISTERS = 12  # standard error of an estimate 1.04 / sqrt(2**12), 1.6 %
 NEAR = 0.1  # estimates this close to the threshold, over six standard errors, are counted exactly
+FEW_HASHES = 1 << 20  # hashes of lines that are broadcast at most: 8 MB
 
 _LAST = (1 << 63) - 1
 _DOC, _KEY = "seqloom doc", "seqloom key"
@@ -30,7 +31,11 @@ def spread_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     documents = documents.drop("line_numbers_removed", "n_lines", "kept_text")
     order, key = F.coalesce("doc_id", F.lit(_LAST)), F.md5(F.coalesce("text", F.lit("")))
     rows = documents.select(order.alias("doc"), key.alias("key"), "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc", "key", "source", "at", F.md5("line").alias("line"))
+    rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("hash", F.xxhash64("line"))
+    # a line that stands in fewer places than that has no more sites; most lines stand in one and need no sketch
+    often = cut_lineage(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("hash"))
+    often = F.broadcast(often) if often.count() <= FEW_HASHES else often
+    lines = cut_lineage(rows.join(often, "hash", "left_semi").select("doc", "key", "source", "at", F.md5("line").alias("line")))
 
     place = F.struct("doc", "key", "at")
     low, high = (1 - NEAR) * min_sites, (1 + NEAR) * min_sites
