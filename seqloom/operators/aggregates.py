@@ -79,25 +79,6 @@ def nonzero_columns(sparse: DataFrame, idx: str = "idx", value: str = "value") -
     return sparse.filter(F.col(value) != 0).select(idx).distinct()
 
 
-def sparse_stats(sparse: DataFrame, rows: int | Column, idx: str = "idx", value: str = "value") -> DataFrame:
-    """Mean and population deviation per feature of a sparse table with `rows` rows in all.
-
-    Stored entries are summarised in one stable pass, the absent zeros are added in closed form.
-    A deviation of zero is reported as one, so constant features scale to zero.
-    """
-    rows = F.lit(rows).cast("double") if isinstance(rows, int) else rows.cast("double")
-    entry = sparse.groupBy(idx).agg(
-        F.count(F.lit(1)).cast("double").alias("_n"),
-        F.avg(value).alias("_mean"),
-        F.var_pop(value).alias("_var"),
-    )
-    mean = F.col("_mean") * F.col("_n") / rows
-    var = F.col("_var") * F.col("_n") / rows + F.pow("_mean", F.lit(2)) * F.col("_n") * (rows - F.col("_n")) / (rows * rows)
-    return entry.select(idx, mean.alias("mean"), F.sqrt(var).alias("sd")).withColumn(
-        "sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
-    )
-
-
 def standard_scale(df: DataFrame, vector: str) -> DataFrame:
     """Dense vectors centred and divided by the population deviation per position."""
     v = array_to_vector(F.col(vector))

@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions import sequence as S
 from seqloom.functions.kmers import kmer_vectors
-from seqloom.operators.aggregates import sparse_stats
-from seqloom.session import spread
+from seqloom.session import cut_lineage, spread
 
 POOLS = {
     "mean": lambda tokens: np.mean(tokens, axis=0),
@@ -66,6 +65,7 @@ BASELINE_KMERS = (3, 4, 5, 6, 7)
 GC_INDEX = S.kmer_offset(8)
 BASELINE_WIDTH = GC_INDEX + 1
 SIXTRACK_WIDTH = GC_INDEX + 3
+ROWS = -1  # in place of a feature: the number of rows
 
 
 def baseline_features(df: DataFrame, sixtrack: bool = False, ks=BASELINE_KMERS) -> DataFrame:
@@ -130,10 +130,41 @@ def densify(features: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def baseline_stats(features: DataFrame) -> DataFrame:
-    """Mean and deviation of every feature that is non-zero somewhere, over all rows."""
-    rows = features.agg(F.count(F.lit(1)).alias("n")).scalar()
-    entries = sparse_long(features).filter("value <> 0")
-    return sparse_stats(entries, rows)
+    """Mean and deviation of every feature that is non-zero somewhere, over all rows.
+
+    A task keeps count, mean and sum of squared deviations of the entries of each feature and sends a row for each it met: what
+    is shuffled is a vocabulary per task, not an entry per sequence and k-mer. Zeros are added in closed form.
+    """
+
+    def run(batches):
+        n, mean, m2 = np.zeros((3, SIXTRACK_WIDTH))
+        rows = 0
+        for batch in batches:
+            rows += len(batch)
+            idx, value = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            idx, value = idx[value != 0], value[value != 0]
+            count = np.bincount(idx, minlength=SIXTRACK_WIDTH)
+            own = np.bincount(idx, value, minlength=SIXTRACK_WIDTH) / np.maximum(count, 1)
+            spread_ = np.bincount(idx, np.square(value - own[idx]), minlength=SIXTRACK_WIDTH)
+            total = np.maximum(n + count, 1)
+            apart = own - mean
+            m2 += spread_ + np.where(count > 0, np.square(apart) * n * count / total, 0.0)
+            mean += np.where(count > 0, apart * count / total, 0.0)
+            n += count
+        met = np.flatnonzero(n)
+        columns = [np.append(met, ROWS).astype(np.int32), np.append(n[met], rows), np.append(mean[met], 0.0), np.append(m2[met], 0.0)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["idx", "n", "mean", "m2"])
+
+    parts = features.select("idx", "val").mapInArrow(run, "idx int, n double, mean double, m2 double")
+    weighted = F.sum(F.col("n") * F.col("mean"))
+    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - F.try_divide(weighted * weighted, F.sum("n"))
+    merged = parts.groupBy("idx").agg(F.sum("n").alias("n"), F.try_divide(weighted, F.sum("n")).alias("mean"), (F.sum("m2") + F.greatest(between, F.lit(0.0))).alias("m2"))
+    merged = cut_lineage(merged)  # a row per feature of the vocabulary
+    rows = merged.where(F.col("idx") == ROWS).select("n").scalar()
+    mean = F.col("mean") * F.col("n") / rows
+    variance = F.col("m2") / rows + F.col("mean") * F.col("mean") * F.col("n") * (rows - F.col("n")) / (rows * rows)
+    found = merged.where(F.col("idx") != ROWS).select("idx", mean.alias("mean"), F.sqrt(variance).alias("sd"))
+    return found.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
 
 
 def embed_kmer_dataset(df: DataFrame, sixtrack: bool = False, ks=BASELINE_KMERS) -> DataFrame:
