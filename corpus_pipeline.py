@@ -20,11 +20,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their later occurrences of lines that many sites repeat."""
-    found = boilerplate.spread_lines(docs)
+    """All documents, without their later occurrences of lines that many sites repeat.
+
+    Columns with the names that the operator adds keep their values; null text stays null.
+    """
+    held = {c: f"seqloom held {c}" for c in ("line_numbers_removed", "n_lines", "kept_text") if c in docs.columns}
+    found = boilerplate.spread_lines(docs.withColumnsRenamed(held))
     changed = F.size("line_numbers_removed") > 0
     length = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns({"n_chars": length, "text": F.col("kept_text")}).select(*docs.columns)
+    out = found.withColumns({"n_chars": length, "text": F.col("kept_text")})
+    return out.select(*[F.col(held[c]).alias(c) if c in held else F.col(c) for c in docs.columns])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import sys
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline as P
 from tests.llm import cases as C
@@ -59,3 +61,13 @@ def test_stages_take_empty_documents(spark):
     for _, stage in P.STAGES:
         out = stage(spark, docs, SF)
         assert out.collect() == []
+
+
+def test_line_dedup_keeps_columns_of_its_own_names(spark):
+    docs = C.frame(spark, C.documents()).withColumn("n_lines", F.lit(77)).withColumn("kept_text", F.lit("mine")).withColumn("Line", F.lit(1))
+    out = P.line_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) == len(C.documents()) and {(r.n_lines, r.kept_text) for r in rows} == {(77, "mine")}
+    want = [(d, kept) for d, _, _, kept in C.spread(C.documents())]
+    assert C.ordered((r.doc_id, r.text) for r in rows) == C.ordered(want)
