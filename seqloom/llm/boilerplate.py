@@ -16,6 +16,7 @@ MIN_SITES = 8
 LOG_REGISTERS = 12  # standard error of an estimate 1.04 / sqrt(2**12), 1.6 %
 NEAR = 0.1  # estimates this close to the threshold, over six standard errors, are counted exactly
 FEW_HASHES = 1 << 20  # hashes of lines that are broadcast at most: 8 MB
+FEW_LINES = 1 << 17  # lines with their first places that are broadcast at most: some 15 MB
 
 _LAST = (1 << 63) - 1
 _DOC, _KEY = "seqloom doc", "seqloom key"
@@ -48,6 +49,8 @@ def spread_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     enough = sites.groupBy("line").agg(F.count(F.lit(1)).alias("exact")).where(F.col("exact") >= min_sites)
     wide = spread.where(F.col("sites") > high).unionByName(near.join(enough.select("line"), "line")).select("line", "first")
 
+    # with few of them, a line in very many texts need not meet its first place in one task; with more, skewed joins are split
+    wide = F.broadcast(wide) if spread.count() <= FEW_LINES else wide
     later = lines.join(wide, "line").where(place != F.col("first"))
     removed = later.groupBy("doc", "key").agg(F.collect_set("at").alias("line_numbers_removed"))
     joined = documents.withColumns({_DOC: order, _KEY: key}).join(
