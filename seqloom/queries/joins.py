@@ -115,6 +115,7 @@ def attach_embeddings(spark, sf):
     return out.select("row_id", "gene", "label", total.alias("x"))
 
 
+# The ten seeds.
 GRID_SQL = """
     cat AS (SELECT DISTINCT source || CASE WHEN source LIKE '%1' THEN '-mrl-sample' WHEN source LIKE '%2' THEN '-mrl-hl-lbkwk' WHEN source LIKE '%3' THEN '-vep' ELSE '' END AS dataset,
         t.task, t.target FROM documents, (VALUES ('classification', 'quality'), ('reg_ridge', 'n_chars')) t(task, target)),

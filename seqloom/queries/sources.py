@@ -144,6 +144,7 @@ def results(spark, sf):
     )
 
 
+# The ten seeds.
 RESULTS_SQL = """
     res AS (SELECT 'm' || right(user_id::VARCHAR, 1) AS model,
         [2541, 413, 411, 412, 2547, 321, 421, 311, 2516, 2515][json_extract_string(props, '$.k')::INT % 10 + 1]::INT AS seed,

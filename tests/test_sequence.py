@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from seqloom.constants import EGFP, MCHERRY, PRIMER
 from seqloom.functions import sequence as S
 
+# The sequences and tracks of the examples below, and what must come of them.
+
 SC = "s string, c array<tinyint>"
 
 
