@@ -62,12 +62,10 @@ def scan_csv_multi(spark, sf):
 def scan_tensor(spark, sf):
     """Six-track tensors padded with zero rows, written as Parquet and read back to text and tracks."""
     path = scratch(spark, "tensor")
-    pad = F.array_repeat(F.array_repeat(F.lit(0).cast("tinyint"), 6), 5)
-    six = S.six_track(F.col("sequence"), F.col("cds"), F.col("splice"))
-    R.sink_parquet(D.tracks(spark, sf).select("row_id", F.concat(six, pad).alias("X")), path)
+    R.sink_tensors(D.tracks(spark, sf).select("row_id", "sequence", "cds", "splice"), path, pad=5)
     rows = R.tensor_rows(R.scan_parquet(spark, path))
     return rows.select(
-        "row_id", "sequence", *[F.array_join(F.col(c).cast("array<string>"), "").alias(c) for c in ("cds", "splice")]
+        "row_id", "sequence", *[S.digits(F.col(c)).alias(c) for c in ("cds", "splice")]
     )
 
 

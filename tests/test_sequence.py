@@ -139,3 +139,26 @@ def test_kmer_numbers(spark):
     assert [r.k for r in got] == names
     ids = spark.range(21824).select("id", S.kmer_index(S.kmer_name(F.col("id"))).alias("back"))
     assert ids.filter("id <> back").count() == 0
+
+
+def test_tensors_and_tracks_by_batch(one, spark, tmp_path):
+    """Tracks that differ in length, nulls, numbers of several digits; tensors come back from files in small row groups."""
+    import pyarrow.parquet as pq
+
+    from seqloom.sources import readers as R
+
+    six = S.six_track(F.col("s"), F.col("c"), F.col("p"))
+    assert one(SC + ", p array<tinyint>", ("AN", [1], [0, 1]), six) == ([[1, 0, 0, 0, 1, 0], [0, 0, 0, 0, None, 1]],)
+    assert one(SC + ", p array<tinyint>", ("A", [1, 1], [0]), six) == ([[1, 0, 0, 0, 1, 0], None],)
+    assert one(SC + ", p array<tinyint>", (None, [1], [0]), six) == (None,)
+    assert one("x array<array<tinyint>>", ([[0, 1, 0, 0], None, [1, 0, 0, 0], [0, 0, 0, 0]],), S.ohe_to_str(F.col("x"))) == ("CA",)
+    assert one("c array<tinyint>", ([1, 0, None, 12, -1],), S.digits(F.col("c"))) == ("1012-1",)
+    assert one("x array<array<tinyint>>", ([[1, 0], [], [7]],), S.digits(F.col("x"))) == ("107",)
+    rows = [(i, "ACGTN"[i % 3 :] * i + "A", [1] * (i * (5 - i % 3) + 1), [0] * (i * (5 - i % 3) + 1)) for i in range(200)]
+    table = spark.createDataFrame(rows, "row_id long, sequence string, cds array<tinyint>, splice array<tinyint>").coalesce(1)
+    path = str(tmp_path / "tensors")
+    R.sink_tensors(table, path, pad=3)
+    files = [pq.ParquetFile(f) for f in (tmp_path / "tensors").glob("*.parquet")]
+    assert max(f.metadata.row_group(i).num_rows for f in files for i in range(f.metadata.num_row_groups)) <= R.TENSOR_ROWS
+    got = {r.row_id: (r.sequence, r.cds, r.splice) for r in R.tensor_rows(spark.read.parquet(path)).collect()}
+    assert got == {i: (s, c, p) for i, s, c, p in rows}
