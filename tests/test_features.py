@@ -159,3 +159,43 @@ def test_observed_kmers_of_other_letters(spark):
     df = spark.createDataFrame([(1, "ACGRYACG"), (2, "acgacg"), (3, "AR"), (4, ""), (5, None)], "row_id long, sequence string")
     got = {(r.row_id, r.kmer): r.n for r in K.kmer_counts_fit(df, 3).collect()}
     assert got == {(1, "acg"): 2, (1, "cgr"): 1, (1, "gry"): 1, (1, "rya"): 1, (1, "yac"): 1, (2, "acg"): 2, (2, "cga"): 1, (2, "gac"): 1}
+
+
+def test_vocabulary_across_slices(spark):
+    """k-mers over the cut between two slices are met, k-mers over two rows are not; one row for a task and k-mer is sent at most."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ACGTN"), n, p=[0.24, 0.24, 0.24, 0.24, 0.04])) for n in (5, 0, 300, 2, 1000, 127, 3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "row_id long, sequence string").coalesce(1)
+    want = {idx for t in texts for idx in brute(t, (3, 5))}
+    old, K.SLICE = K.SLICE, 64
+    try:
+        got = K.kmer_vocab(df, (3, 5)).collect()
+        codes = list(K._batch_codes(__import__("pyarrow").array(texts), "ACGT", 5))
+    finally:
+        K.SLICE = old
+    assert {r.idx for r in got} == want and len(got) == len(want) and len(codes) > 20
+    met = {K.kmer_offset(k, (3, 5)) + int(v) for c, o in codes for k, _, values in K._windows(c, o, (3, 5), 4) for v in values}
+    assert met == want
+
+
+def test_entries_of_scaled_vectors(spark):
+    df = spark.createDataFrame([(1, "ACGTAC"), (2, "GGGG"), (3, "ATATAT")], "row_id long, sequence string")
+    stats = {r.idx: i for i, r in enumerate(E.baseline_stats(E.baseline_features(df)).orderBy("idx").collect())}
+    stored = {r.row_id: {stats[i] for i, v in zip(r.idx, r.val) if v} for r in E.baseline_features(df).collect()}
+    got = E.embed_kmer_dataset(df, entries=True).collect()
+    assert {r.row_id: set(r.dims) for r in got} == stored and all(len(r.embedding) == len(stats) for r in got)
+
+
+def test_vector_sums(spark):
+    from seqloom.queries.embedding import vector_sums
+
+    df = spark.createDataFrame([(i, [float(i), -1.0, 2.0]) for i in range(150)], "row_id long, embedding array<float>").coalesce(1)
+    got = {(r.kind, r.id): (r.n, r.weighted, r.squares) for r in vector_sums(df).collect()}
+    assert got["row", 5] == (3, 5 - 2 + 6, 30.0) and len(got) == 153
+    assert got["dim", 1] == (150, -float(sum(i % 7 + 1 for i in range(150))), 150.0)
+
+
+def test_windows_of_uneven_tracks(spark):
+    df = spark.createDataFrame([(1, "ACGTACGT", [1, 0, 0]), (2, "ACG", [0] * 9), (3, "", [])], "row_id long, sequence string, cds array<tinyint>")
+    got = [(r.row_id, r.chunk, r.piece, r.cds) for r in E.chunk_cds_aware(df, 4).orderBy("row_id", "chunk").collect()]
+    assert got == [(1, 0, "ACGT", [1, 0, 0]), (1, 1, "ACGT", []), (2, 0, "ACG", [0, 0, 0])]
