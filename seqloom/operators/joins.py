@@ -76,9 +76,31 @@ def attach_embeddings(df: DataFrame, embeddings: DataFrame, key: str = "row_id",
     return df.join(embeddings, key)
 
 
-# Widths of the bins of intervals: `width` times a power of `FINER`; the widest are longer than any chromosome.
+# Widths of the bins of intervals: two finer ones than `width`, and `width` times a power of `FINER`; the widest are longer than any chromosome.
 FINER = 2
 LEVELS = 32
+TASK_PAIRS = 1 << 27  # of a point and an interval of its bin, that a task of the join compares
+
+
+def _shares(points: DataFrame, intervals: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the keys to join them by, dealt so that tasks grow in number with the pairs.
+
+    Pairs are counted by key before. A key with more than `most` is dealt in pieces of its points, each of which meets all its intervals.
+    """
+    both = points.groupBy(keys).agg(F.count(F.lit(1)).alias("_n")).join(intervals.groupBy(keys).agg(F.count(F.lit(1)).alias("_m")), keys)
+    counts = cut_lineage(both.select(*keys, (F.col("_n") * F.col("_m")).alias("_pairs")))
+    found = counts.agg(F.sum("_pairs").alias("all"), F.count(F.when(F.col("_pairs") > most, 1)).alias("heavy")).first()
+    tasks = -(-(found["all"] or 0) // most)
+    if found["heavy"]:
+        heavy = counts.where(F.col("_pairs") > most).select(*keys, F.ceil(F.col("_pairs") / most).cast("int").alias("_pieces"))
+        row = F.xxhash64(*[c for c, kind in points.dtypes if "map" not in kind])
+        piece = F.coalesce(F.pmod(row, F.col("_pieces")).cast("int"), F.lit(0))
+        points = points.join(heavy, keys, "left").withColumn("_piece", piece).drop("_pieces")
+        intervals = intervals.join(heavy, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+        keys = [*keys, "_piece"]
+    if tasks > int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        points, intervals = points.repartition(tasks, *keys), intervals.repartition(tasks, *keys)
+    return points, intervals, keys
 
 
 def interval_join(
@@ -93,14 +115,14 @@ def interval_join(
 ) -> DataFrame:
     """Pairs with start <= at < end on one chromosome, as an equi-join on (chrom, level, bin).
 
-    A plain range condition would compare every point with every interval. Bins of a level are `FINER` times as wide as those of the
+    A plain range condition would compare every point with every interval. Bins of a level are twice or four times as wide as those of the
     level below; an interval is listed at the lowest level whose bins are no shorter than itself, so under two bins at most
     however long it is. A point asks one bin of each level that intervals are on, so no pair comes out twice.
     """
     length = F.col(end) - F.col(start)
-    widths = [width * FINER**i for i in range(LEVELS)]
-    level = F.lit(LEVELS - 1)
-    for i in reversed(range(LEVELS - 1)):
+    widths = sorted({max(1, width // 16), max(1, width // 4), *(width * FINER**i for i in range(LEVELS))})
+    level = F.lit(len(widths) - 1)
+    for i in reversed(range(len(widths) - 1)):
         level = F.when(length <= widths[i], i).otherwise(level)
     wide = lambda of: F.element_at(F.array(*[F.lit(w) for w in widths]), of + 1)
     filled = intervals.filter(length > 0).withColumn("_level", level)
@@ -108,10 +130,11 @@ def interval_join(
         "_bin", F.explode(F.sequence(F.floor(F.col(start) / wide(F.col("_level"))), F.floor((F.col(end) - 1) / wide(F.col("_level")))))
     )
     binned = cut_lineage(binned)  # often derived, and read for its levels before it is joined
-    levels = sorted(r["_level"] for r in binned.select("_level").distinct().collect())  # of `LEVELS`
+    levels = sorted(r["_level"] for r in binned.select("_level").distinct().collect())  # of `widths`
     asked = points.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in levels]).cast("array<int>"))).withColumn("_bin", F.floor(F.col(at) / wide(F.col("_level"))))
-    joined = asked.join(binned, [chrom, "_level", "_bin", *also])
-    return joined.filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_bin", "_level")
+    asked, binned, keys = _shares(asked, binned, [chrom, "_level", "_bin", *also], TASK_PAIRS)
+    joined = asked.join(binned, keys)
+    return joined.filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_bin", "_level", "_piece")
 
 
 def variant_overlap(variants: DataFrame, transcripts: DataFrame, width: int = BIN) -> DataFrame:
@@ -127,22 +150,17 @@ def variant_utr_match(variants: DataFrame, segments: DataFrame, width: int = BIN
     """The best transcript with an untranslated region of the wanted kind over the variant.
 
     Best is the lowest principality level (none counts as 100), then the + strand, then the id.
-    A minimum per variant is combined before the shuffle, unlike a rank over all candidates.
+    Minima of ids, which hash aggregation can hold, are combined before the shuffle, one per variant, level and side; a minimum
+    of structs at once would sort every candidate.
     """
-    utrs = segments.filter(F.col("kind").isin("utr5", "utr3")).withColumnRenamed("kind", "region")
-    hits = interval_join(
-        variants.filter("region IS NOT NULL").withColumn("at", F.col("pos") - 1),
-        utrs,
-        width=width,
-        also=["region"],
-    )
-    best = F.struct(
-        F.coalesce("appris", F.lit(NO_PRINCIPALITY)).alias("level"),
-        F.when(F.col("strand") == "+", 0).otherwise(1).alias("side"),
-        F.col("tx_id"),
-        F.col("ordinal"),
+    utrs = segments.filter(F.col("kind").isin("utr5", "utr3")).select(
+        "chrom", "start", "end", "tx_id", F.col("kind").alias("region"),
+        F.coalesce("appris", F.lit(NO_PRINCIPALITY)).alias("level"), F.when(F.col("strand") == "+", 0).otherwise(1).alias("side"),
     )
-    found = hits.groupBy("variant_id").agg(F.min(best).alias("best"))
+    wanted = variants.filter("region IS NOT NULL").select("variant_id", "chrom", "region", (F.col("pos") - 1).alias("at"))
+    hits = interval_join(wanted, utrs, width=width, also=["region"])
+    least = hits.groupBy("variant_id", "level", "side").agg(F.min("tx_id").alias("tx_id"))
+    found = least.groupBy("variant_id").agg(F.min(F.struct("level", "side", "tx_id")).alias("best"))
     return variants.join(found, "variant_id", "left").select(*variants.columns, "best.tx_id")
 
 
