@@ -79,7 +79,7 @@ def attach_embeddings(df: DataFrame, embeddings: DataFrame, key: str = "row_id",
 # Widths of the bins of intervals: two finer ones than `width`, and `width` times a power of `FINER`; the widest are longer than any chromosome.
 FINER = 2
 LEVELS = 32
-TASK_PAIRS = 1 << 27  # of a point and an interval of its bin, that a task of the join compares
+TASK_PAIRS = 1 << 24  # of a point and an interval of its bin, that a task of the join compares
 
 
 def _shares(points: DataFrame, intervals: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -98,7 +98,8 @@ def _shares(points: DataFrame, intervals: DataFrame, keys: list[str], most: int)
         points = points.join(heavy, keys, "left").withColumn("_piece", piece).drop("_pieces")
         intervals = intervals.join(heavy, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
         keys = [*keys, "_piece"]
-    if tasks > int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+    if tasks > 1:  # also where one side is then broadcast: the other is not left in the few tasks that read it
+        tasks = max(tasks, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         points, intervals = points.repartition(tasks, *keys), intervals.repartition(tasks, *keys)
     return points, intervals, keys
 
