@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqloom.constants import DEFAULT_RATIOS
 from seqloom.functions.kmers import kmer_bytes
+from seqloom.functions.sequence import bytes_of
 from seqloom.operators.clusters import tree_clusters
 from seqloom.operators.joins import homology_lookup
 from seqloom.operators.prefix import fill_cuts, lay_out, shuffle_order, up_to_cut
@@ -169,9 +170,15 @@ def split_chromosome(df: DataFrame, test_size: float, seed: int) -> DataFrame:
 def _letters(batches):
     """The different letters of a task's sequences."""
     seen: set[str] = set()
+    met = np.zeros(256, bool)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(text or "")
+        raw, ends = bytes_of(batch.column(0))
+        high = raw >= 128
+        met[raw[~high]] = True
+        if high.any():  # letters of several bytes, in the rows that have them
+            for i in np.unique(np.searchsorted(ends, np.flatnonzero(high), side="right") - 1):
+                seen.update(bytes(raw[ends[i] : ends[i + 1]]).decode())
+    seen.update(map(chr, np.flatnonzero(met[:128])))
     yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["letter"])
 
 
