@@ -35,6 +35,27 @@ JOINED = 512  # atoms that the tokenizer gets in one string, a line each
 _IRREGULAR = r" (?:[\s\v\x{1c}-\x{1f}\x{85}\pZ]|$)"
 _PLAIN = re.compile(r" ?[^\s\x1c-\x1f\x85]+(?:\n[^\s\x1c-\x1f\x85]+)*").fullmatch
 
+# Visible ASCII bytes: letters 1, digits 2, the others 3. Everything else, 0, may be of any kind and is not parted from its neighbours.
+_KINDS = np.array([0 if not 0x21 <= b <= 0x7E else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], dtype=np.uint8)
+
+
+def _atom_starts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where atoms begin: at their text or a blank, where the kind of visible ASCII changes, and around a line feed between two of it.
+
+    The tokenizer has a word begin at each of these places. Only what follows an apostrophe may belong to it, as in 's.
+    """
+    kinds = _KINDS[text]
+    begins = text == 0x20
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    left, right = kinds[:-1], kinds[1:]
+    begins[1:] |= (left != right) & (left > 0) & (right > 0) & ((text[:-1] != 0x27) | (right != 1))
+    feeds = np.flatnonzero(text[1:] == 0x0A) + 1
+    feeds = feeds[kinds[feeds - 1] > 0]
+    begins[feeds] = True
+    after = feeds[feeds + 1 < len(text)] + 1
+    begins[after[kinds[after] > 0]] = True
+    return np.flatnonzero(begins)
+
 
 class _Encoder:
     """Ids of whole texts; atoms between blanks are encoded once and then found by their 64-bit hash."""
@@ -104,8 +125,7 @@ class _Encoder:
         whole = iter(self._encode(texts.filter(pa.array(irregular)).to_pylist()))
         found: list[np.ndarray] = []
         for _, _, text, offsets in S.chunks(texts.filter(pa.array(~irregular)), CHUNK):
-            # an atom begins with its text or with the blank before it
-            starts = np.union1d(np.flatnonzero(text == 0x20), offsets[:-1][np.diff(offsets) > 0])
+            starts = _atom_starts(text, offsets)
             ends = np.append(starts[1:], len(text))[: len(starts)]
             keys, at, code = np.unique(S.span_hashes(S.prefix_sums(text), starts, ends), return_index=True, return_inverse=True)
             slots, lengths, ids = self._look_up(keys, text, starts[at], ends[at])

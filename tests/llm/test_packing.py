@@ -23,6 +23,25 @@ def test_encoder_gives_the_tokenizers_ids():
         assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [w.ids for w in want]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_encoder_on_mixed_kinds(seed):
+    r = np.random.RandomState(seed)
+    parts = ["a", "B", "cde", "'", "'s", "'ll", "'Re", "12", "7", "\u00b2", "\u00e9", "_", "...", "\u2026", "\n", " ", " x", "\xa0", "\t", "\x1c", "\x85", "\x7f", "\u65e5", "!", "\u2028", "\r", "\x00", "e\u0301"]
+    plain = parts[:9] + ["_", "...", "\n", " x", "!"]
+    texts = ["".join(r.choice(plain if i % 2 else parts, r.randint(1, 12))) for i in range(3000)]
+    want = Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in K._Encoder(PATH).encode(pa.array(texts))] == [w.ids for w in want]
+
+
+def test_a_word_is_encoded_once_whatever_stands_beside_it():
+    words, marks = ["alpha", "beta", "gamma", "delta"], [",", ".", ";", ")", "\n", "42", "'s"]
+    texts = [f" {a}{m}{b}" for a in words for m in marks for b in words]
+    encoder = K._Encoder(PATH)
+    encoder.encode(pa.array(texts))
+    # words with and without a blank, marks, and what may belong to an apostrophe
+    assert len(encoder.keys) <= 2 * len(words) + len(marks) + len(words)
+
+
 @pytest.mark.parametrize("kept", [K.CACHE, 3])
 def test_pack(spark, monkeypatch, kept):
     monkeypatch.setattr(K, "CACHE", kept)
