@@ -274,10 +274,11 @@ def read_anchors(bodies) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def repeated_anchors(messages: DataFrame, homes: int, slots: int) -> DataFrame:
+def repeated_anchors(messages: DataFrame, homes: int, slots: int, ranked: bool = False) -> DataFrame:
     """Answer (kind 2) every home with its anchors that stand in two texts, or twice in one.
 
     A text that several tasks sent counts once: of each anchor, the largest count any task saw in the text.
+    If `ranked`, the 16 bits above an anchor say in how many texts it stands, 65,535 for more.
     """
 
     def work(kinds, bodies):
@@ -296,8 +297,11 @@ def repeated_anchors(messages: DataFrame, homes: int, slots: int) -> DataFrame:
         new = np.concatenate([[True], key[1:] != key[:-1]])
         group = np.cumsum(new) - 1
         texts = np.concatenate([[True], new[1:] | (owner[1:] != owner[:-1])])
-        hit = (np.bincount(group, texts) > 1) | (np.bincount(group, twice) > 0)
+        among = np.bincount(group, texts)
+        hit = (among > 1) | (np.bincount(group, twice) > 0)
         keep = hit[group] & texts
+        if ranked:
+            key = key | np.minimum(among, 65535).astype(np.uint64)[group] << np.uint64(48)
         key, home = key[keep], owner[keep] % homes
         out = []
         order = np.lexsort((key, home))

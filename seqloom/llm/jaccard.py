@@ -7,7 +7,8 @@ points that this bound leaves are verified on the sets themselves.
 Points of unrelated texts of one size lie close, so the tree holds only texts that can have a partner. Of every second shingle it is
 found out whether another text has it; a text with more shingles of its own than a link may leave out has no partner.
 The root splits by connected candidates: texts that share a shingle among those that a text must share with any partner
-(all but the last `PERCENT` of its shingles in one global order). Below it, leaves hold texts of like size. A pair whose
+(all but the last `PERCENT` of its shingles in one global order, which begins with those that few texts have, so that
+what is common to many unrelated texts connects none). Below it, leaves hold texts of like size. A pair whose
 texts are already connected by verified links of its leaves needs no check of its own.
 """
 
@@ -28,6 +29,7 @@ GROUPS = 128  # coordinates of a point
 CORNERS = 16  # coordinates of the boxes of leaves, each the sum of neighbouring groups
 LEAF = 1024  # texts in a leaf at most about
 LEAF_SHINGLES = 1 << 20  # shingles of the texts of a leaf at most about
+UNKNOWN = 1 << 16  # rank of a shingle that was not asked about: behind all that were
 _ID, _FIRST, _EMPTY, _AGAIN = (f"seqloom {x}" for x in ("id", "first", "empty", "again"))  # names that no input has
 
 
@@ -56,6 +58,12 @@ def _must_share(sizes: np.ndarray, percent: int) -> np.ndarray:
     return sizes - -(-percent * sizes // 100) + (sizes > 0)
 
 
+def _rarest(keys: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
+    """Of the shingles that a text must share with any partner, by rank and then by hash, those another text may have; rank -1: none has."""
+    order = np.lexsort((keys, ranks))[: int(_must_share(np.array([len(keys)]), percent)[0])]
+    return keys[order[ranks[order] >= 0]]
+
+
 def _vectors(sets: list[np.ndarray]) -> np.ndarray:
     """Shingles per group of hash values, one row for each ascending set."""
     out = np.zeros((len(sets), GROUPS), dtype=np.int32)
@@ -111,26 +119,33 @@ def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFram
         if not len(packs):
             return facts_schema.empty_table()
         home = H.Home(packs, answered)
+        ranked = home.answered(2)
+        ranked = ranked[np.argsort(ranked & H.SHORT)]
+        answers, times = ranked & H.SHORT, (ranked >> np.uint64(48)).astype(np.int64)
         rows = []
         for begin, n, of, keys in _sets(home.texts, shingle):
             bounds = np.searchsorted(of, np.arange(n + 1))
-            own = ((keys & np.uint64(1)) == 0) & ~H.member(keys & H.SHORT, home.answered(2))
+            asked, known = (keys & np.uint64(1)) == 0, H.member(keys & H.SHORT, answers)
+            own = asked & ~known
+            ranks = np.where(own, -1, UNKNOWN)
+            ranks[asked & known] = times[np.searchsorted(answers, keys[asked & known] & H.SHORT)]
             owned = np.concatenate([[0], np.cumsum(own)])
             for i in range(n):
                 mine = keys[bounds[i] : bounds[i + 1]]
                 size = len(mine)
                 chosen = size > 0 and 100 * (size - (owned[bounds[i + 1]] - owned[bounds[i]])) >= percent * size
                 corners = _vectors([mine]).reshape(CORNERS, -1).sum(axis=1).tolist() if chosen else None
-                rows.append((home.ids[begin + i], int(home.first[begin + i]), size, corners, mine.tobytes() if chosen else None))
+                rarest = _rarest(mine, ranks[bounds[i] : bounds[i + 1]], percent).tobytes() if chosen else None
+                rows.append((home.ids[begin + i], int(home.first[begin + i]), size, corners, mine.tobytes() if chosen else None, rarest))
         found = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), facts_schema)], schema=facts_schema)
         del home, rows
         S.release()
         return found
 
-    facts_schema = pa.schema([("id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("corners", pa.list_(pa.int32())), ("shingles", pa.binary())])
-    shared = H.repeated_anchors(H.send_anchors(texts, slots, every_second), homes, slots)
+    facts_schema = pa.schema([("id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("corners", pa.list_(pa.int32())), ("shingles", pa.binary()), ("rarest", pa.binary())])
+    shared = H.repeated_anchors(H.send_anchors(texts, slots, every_second), homes, slots, ranked=True)
     dealt = H.to_homes(texts, homes).repartition(2 * homes, "slot").groupBy("slot")
-    facts = dealt.cogroup(shared.repartition(2 * homes, "slot").groupBy("slot")).applyInArrow(measure, "id long, first long, n long, corners array<int>, shingles binary")
+    facts = dealt.cogroup(shared.repartition(2 * homes, "slot").groupBy("slot")).applyInArrow(measure, "id long, first long, n long, corners array<int>, shingles binary, rarest binary")
     facts = cut_lineage(facts)
     points = facts.where("shingles is not null")
 
@@ -139,7 +154,6 @@ def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFram
         for batch in batches:
             for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 mine = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
-                mine = mine[: int(_must_share(np.array([len(mine)]), percent)[0])]
                 yield from writer.add(np.full(len(mine), number, dtype=np.int64), mine)
         yield from writer.send()
 
@@ -153,7 +167,7 @@ def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFram
         node, root = components(owner[linked], star[linked])
         return pa.table({"a": pa.array(node[node != root]), "b": pa.array(root[node != root])})
 
-    sent = points.select("id", "shingles").mapInArrow(S.tidy(first_shingles), H.MESSAGE)
+    sent = points.select("id", "rarest").mapInArrow(S.tidy(first_shingles), H.MESSAGE)
     candidates = connected(sent.repartition(2 * slots, "slot").groupBy("slot").applyInArrow(meet, "a long, b long"))
     points = points.join(candidates, F.col("id") == F.col("node")).select("id", "n", "root", "corners", "shingles")
     links = _verified(points, percent)

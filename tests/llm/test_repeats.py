@@ -105,6 +105,20 @@ def test_large_group_of_near_copies_needs_several_leaves(spark, monkeypatch):
     assert C.ordered(jaccard.link_documents(C.frame(spark, rows)).collect()) == C.ordered(C.classes(rows))
 
 
+def test_a_passage_common_to_many_texts_does_not_connect_them(spark, monkeypatch):
+    common = " ".join(f"all{i}" for i in range(12))
+    rows = [(2 * n + k, " ".join([common, *(f"w{n}x{i}" for i in range(60)), f"end{k}"]), "a") for n in range(40) for k in range(2)]
+    largest, verified = [], jaccard._verified
+
+    def watched(points, percent):
+        largest.append(points.groupBy("root").count().agg({"count": "max"}).first()[0])
+        return verified(points, percent)
+
+    monkeypatch.setattr(jaccard, "_verified", watched)
+    assert C.ordered(jaccard.link_documents(C.frame(spark, rows)).collect()) == C.ordered(C.classes(rows))
+    assert largest == [2]
+
+
 @pytest.mark.parametrize("operator", [suffixes.remove_repeated_bytes, windows.remove_repeated_windows, jaccard.link_documents, jaccard.drop_linked])
 def test_empty_table(docs, operator):
     assert operator(docs.limit(0)).collect() == []
