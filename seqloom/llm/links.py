@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.session import cut_lineage
 
@@ -27,6 +27,18 @@ def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[root]
 
 
+def _minima(both: DataFrame) -> DataFrame:
+    """a, least (its smallest neighbour, or itself), place: a copy for each place where larger neighbours of `a` are."""
+    place = F.when(F.col("b") > F.col("a"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(b), {SPREAD}) as int))"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.coalesce(F.bit_or(place), F.lit(0)).alias("places"))
+    taken = F.filter(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.getbit("places", i) == 1)
+    return least.select("a", "least", F.explode(taken).alias("place"))
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) of links a-b, root being the smallest node of the component.
 
@@ -39,11 +51,9 @@ def connected(links: DataFrame) -> DataFrame:
     known = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
         # the centre of a star has very many larger neighbours: they meet copies of its minimum in `SPREAD` places
-        least = least.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-        larger = both.where("b > a").withColumn("place", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
-        large = larger.join(least, ["a", "place"]).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        larger = both.where("b > a").withColumn("place", _place())
+        large = larger.join(_minima(both), ["a", "place"]).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("least"))
         joined = large.join(low, "a")
         small = joined.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(low.select("a", F.col("least").alias("b")))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from seqloom.llm import jaccard, spans as S, suffixes, windows
-from seqloom.llm.links import components, connected
+from seqloom.llm.links import SPREAD, _minima, components, connected
 from tests.llm import cases as C
 
 
@@ -133,3 +133,11 @@ def test_components(spark):
     loops = {int(a) for a, b in links if a == b}
     assert {k: v for k, v in want.items() if k in got} == got and set(want) - set(got) <= loops
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_minima_are_copied_only_where_neighbours_are(spark):
+    links = [(i + 1, i) for i in range(100)] + [(1000 + i, 500) for i in range(400)]
+    both = spark.createDataFrame(links + [(b, a) for a, b in links], "a long, b long")
+    rows = _minima(both).collect()
+    assert {r.a for r in rows} == {b for _, b in links}
+    assert len(rows) <= 100 + SPREAD and sum(r.a == 500 for r in rows) == SPREAD
