@@ -67,9 +67,9 @@ def unpack_sorted(body: bytes, columns: int = 0) -> tuple[np.ndarray, ...]:
     return keys, *(from_planes(view[8 * n * (i + 1) : 8 * n * (i + 2)], n, np.int64) for i in range(columns))
 
 
-def ipc(batch: pa.RecordBatch) -> bytes:
+def ipc(batch: pa.RecordBatch, level: int = 1) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -100,8 +100,8 @@ def by_slot(keys: np.ndarray, slots: int) -> Iterator[tuple[int, int, int]]:
 # -- texts and their homes
 
 
-def to_homes(texts: DataFrame, homes: int) -> DataFrame:
-    """`texts` has `doc_id`, `text`, `key`; kind 0: the distinct texts of a task, with their smallest ids."""
+def to_homes(texts: DataFrame, homes: int, level: int = 1) -> DataFrame:
+    """`texts` has `doc_id`, `text`, `key`; kind 0: the distinct texts of a task, with their smallest ids. `level`: of the compression of texts."""
     rows = texts.select("doc_id", "text", "key", F.pmod(F.xxhash64("key").bitwiseAND(F.lit(int(SHORT))), F.lit(homes)).alias("home"), F.xxhash64("key").alias("id"))
 
     def pack(batches):
@@ -113,7 +113,7 @@ def to_homes(texts: DataFrame, homes: int) -> DataFrame:
             keys, texts = zip(*waiting.pop(home))
             held.pop(home)
             batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(texts, pa.string())], ["key", "text"])
-            return message([(home, 0, ipc(batch))])
+            return message([(home, 0, ipc(batch, level))])
 
         for batch in batches:
             for doc, text, key, home, number in zip(*(batch.column(i).to_pylist() for i in range(5))):

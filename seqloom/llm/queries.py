@@ -72,7 +72,8 @@ def toxicity(spark, sf_dir):
     from seqloom.llm.toxicity import fit, score
 
     documents = table(spark, sf_dir, "documents")
-    return score(documents, fit(documents, table(spark, sf_dir, "labels")))
+    model = fit(documents, table(spark, sf_dir, "labels"))
+    return score(documents, model, model.grams)
 
 
 @query("op5_quality_rules")

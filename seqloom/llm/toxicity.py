@@ -27,6 +27,7 @@ PER_LABEL = 50_000
 PRIOR = 1e-4  # ridge of the curve
 PLACES = (1, 2, 4, 8)  # words of a text that count on their own
 FEATURES = 3 + len(PLACES)
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what `spans.ALNUM` leaves out
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -135,6 +136,8 @@ class Model:
         """`counts`: gram, n0, n1 over labelled texts; `shared`: tables of the shorter n-grams."""
         self.counts, self.shared = counts, shared
         self.curve = None
+        #: The different n-grams of the documents it was fitted to.
+        self.grams: DataFrame | None = None
 
     def ratio_table(self, grams: DataFrame) -> DataFrame:
         """gram, ratio of each of the different `grams`: log P(last byte | the others, toxic) - log P(.. | ordinary).
@@ -160,7 +163,7 @@ class Model:
             of = [F.coalesce(c, F.lit(0)) for c in (n, f"sum_{n}", f"types_{n}")]
             share = F.greatest(of[0] - DISCOUNT, F.lit(0.0)) + (DISCOUNT * of[2] + BACKOFF) * F.col("below")
             logs.append(F.log(F.greatest(share / (of[1] + BACKOFF), F.lit(1e-12))))
-        return cut_lineage(rows.select("gram", (logs[1] - logs[0]).alias("ratio")))
+        return rows.select("gram", (logs[1] - logs[0]).alias("ratio"))  # one join of tables that are written; not worth writing itself
 
     def ratios(self, grams: np.ndarray) -> np.ndarray:
         """`ratio_table` of a few n-grams."""
@@ -201,12 +204,15 @@ def _features(column: pa.Array, known: np.ndarray, ratio: np.ndarray) -> np.ndar
 _NAMES = [f"f{i}" for i in range(FEATURES)]
 
 
-def _feature_rows(rows: DataFrame, model: Model, *kept: str) -> DataFrame:
-    """`kept` and the features of every row. Texts go to homes, which are answered the ratios of their different n-grams."""
-    ratios = model.ratio_table(cut_lineage(corpus_grams(rows)))
-    keyed = rows.select(F.lit(0).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), H.text_key().alias("key"))
+def _feature_rows(rows: DataFrame, model: Model, *kept: str, grams: DataFrame | None = None) -> DataFrame:
+    """`kept` and the features of every row. Texts go to homes, which are answered the ratios of their different n-grams.
+
+    `grams`: the different n-grams of the rows, or more. Homes get words with a blank between them, and ratios in single precision."""
+    ratios = model.ratio_table(cut_lineage(corpus_grams(rows)) if grams is None else grams).withColumn("ratio", F.col("ratio").cast("float"))
+    between = F.regexp_replace(F.coalesce("text", F.lit("")), BETWEEN_WORDS, " ")
+    keyed = rows.select(F.lit(0).cast("long").alias("doc_id"), between.alias("text"), H.text_key().alias("key"))
     homes = H.parts(H.text_bytes(rows), H.HOME_BYTES)
-    packs = H.to_homes(keyed, homes).repartition(2 * homes, "slot").groupBy("slot")
+    packs = H.to_homes(keyed, homes, level=3).repartition(2 * homes, "slot").groupBy("slot")
 
     def ask(key, packs):
         grams = np.zeros(0, np.uint64)
@@ -252,29 +258,34 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
     chosen = F.broadcast(labelled_sample(marks, "toxic", per_label))  # twice `per_label` rows at most about
     texts = documents.where((fold() != 0) & F.col("text").isNotNull()).select("doc_id", "text", fold().alias("fold"))
     rows = texts.join(chosen, "doc_id").select("text", "toxic", (F.col("toxic") + 2 * (F.col("fold") == 4).cast("int")).alias("group"))
-    shared = shared_tables(corpus_grams(documents))
+    grams = cut_lineage(corpus_grams(documents))
+    shared = shared_tables(grams)
     counts = cut_lineage(count_grams(rows))
     of = lambda *names: counts.select("gram", *[sum((F.col(n) for n in c[1:]), F.col(c[0])).alias(f"n{i}") for i, c in enumerate(names)])
     apart = Model(of(["a0"], ["a1"]), shared)
     later = cut_lineage(rows.where(F.col("group") >= 2).select("text", "toxic"))  # a part of the sample
     found = _feature_rows(later, apart, "toxic").toArrow()
     model = Model(of(["a0", "b0"], ["a1", "b1"]), shared)
+    model.grams = grams
     y = np.asarray(found.column("toxic")).astype(float)
     if len(set(y.tolist())) == 2:
         model.curve = _logistic(np.stack([np.asarray(found.column(f)) for f in _NAMES], axis=1), y)
     return model
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
+def score(documents: DataFrame, model: Model, grams: DataFrame | None = None) -> DataFrame:
     """Score whole texts for toxicity, from nothing but the text.
 
+    `grams`: the different n-grams of `documents` or more, where the caller has them, as `model.grams` for the documents of `fit`;
+    otherwise they are extracted.
+
     `documents` needs `doc_id` and `text`; other columns are ignored. Null and wordless texts have ratios of 0 and the score that goes with
     them; if one of the classes had no text to learn from, every score is 0. Equal texts get equal scores; every row gives a row.
 
     Returns doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
     """
     rows = documents.select("doc_id", (fold() == 0).alias("held_out"), "text")
-    found = _feature_rows(rows, model, "doc_id", "held_out")
+    found = _feature_rows(rows, model, "doc_id", "held_out", grams=grams)
     curve = model.curve
     if curve is None:
         value = F.lit(0.0)

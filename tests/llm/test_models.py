@@ -130,6 +130,18 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_takes_the_ngrams_of_fit(spark, monkeypatch):
+    """Documents of `fit` are not searched for n-grams again, and marks between words do not matter."""
+    rows, marks = labelled()
+    rows += [(10_000, "?gromp-ak,\x7fthe.\n", "a"), (10_001, "Gromp AK the", "a")]
+    table, labels = C.frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
+    model = toxicity.fit(table, labels)
+    alone = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+    monkeypatch.setattr(toxicity, "corpus_grams", None)
+    got = {r.doc_id: r.score for r in toxicity.score(table, model, model.grams).collect()}
+    assert got == alone and got[10_000] == got[10_001]
+
+
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
