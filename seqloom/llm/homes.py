@@ -292,6 +292,7 @@ def repeated_anchors(messages: DataFrame, homes: int, slots: int, ranked: bool =
             owners.append(owner[at])
             times.append(np.diff(np.concatenate([at, [len(key)]])) > 1)
         key, owner, twice = np.concatenate(keys), np.concatenate(owners), np.concatenate(times)
+        del keys, owners, times  # as long as the slot's hashes, all of them
         order = np.lexsort((owner, key))
         key, owner, twice = key[order], owner[order], twice[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])

@@ -29,13 +29,15 @@ GROUPS = 128  # coordinates of a point
 CORNERS = 16  # coordinates of the boxes of leaves, each the sum of neighbouring groups
 LEAF = 1024  # texts in a leaf at most about
 LEAF_SHINGLES = 1 << 20  # shingles of the texts of a leaf at most about
+CHUNK = 1 << 19  # bytes of text in one numpy pass, whose arrays take some 50 times as many
+SLOT_BYTES = H.SLOT_BYTES // 2  # a slot sorts its hashes beside their texts, in some 12 times as many bytes
 UNKNOWN = 1 << 16  # rank of a shingle that was not asked about: behind all that were
 _ID, _FIRST, _EMPTY, _AGAIN = (f"seqloom {x}" for x in ("id", "first", "empty", "again"))  # names that no input has
 
 
 def _sets(column, shingle: int):
     """Per chunk: first row, rows, the row of every distinct shingle and its hash, ascending within rows."""
-    for first, last, text, offsets in S.chunks(column):
+    for first, last, text, offsets in S.chunks(column, CHUNK):
         text = S.LOWER[text]
         starts, ends, bounds = S.words(text, offsets, S.NON_SPACE)
         hashes = S.span_hashes(S.prefix_sums(text), starts, ends)
@@ -107,7 +109,7 @@ def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFram
     """`documents` as doc_id, text, key, id, and id, n_shingles, first (smallest doc_id of the text), root (names the class), component_id of every text."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), H.text_key().alias("key"), F.xxhash64(H.text_key()).alias("id"))
     size = H.text_bytes(documents)
-    homes, slots = H.parts(size, H.HOME_BYTES), H.parts(0.6 * size, H.SLOT_BYTES)
+    homes, slots = H.parts(size, H.HOME_BYTES), H.parts(0.6 * size, SLOT_BYTES)
 
     def every_second(column):
         for begin, _, of, key in _sets(column, shingle):
@@ -121,7 +123,9 @@ def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFram
         home = H.Home(packs, answered)
         ranked = home.answered(2)
         ranked = ranked[np.argsort(ranked & H.SHORT)]
-        answers, times = ranked & H.SHORT, (ranked >> np.uint64(48)).astype(np.int64)
+        answers, times = ranked & H.SHORT, (ranked >> np.uint64(48)).astype(np.uint16)
+        home.answers.clear()
+        del ranked
         rows = []
         for begin, n, of, keys in _sets(home.texts, shingle):
             bounds = np.searchsorted(of, np.arange(n + 1))
@@ -137,8 +141,9 @@ def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFram
                 corners = _vectors([mine]).reshape(CORNERS, -1).sum(axis=1).tolist() if chosen else None
                 rarest = _rarest(mine, ranks[bounds[i] : bounds[i + 1]], percent).tobytes() if chosen else None
                 rows.append((home.ids[begin + i], int(home.first[begin + i]), size, corners, mine.tobytes() if chosen else None, rarest))
+        del home, answers, times
         found = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), facts_schema)], schema=facts_schema)
-        del home, rows
+        del rows
         S.release()
         return found
 

@@ -27,7 +27,7 @@ RANK_GROUP = 512  # pieces of one length that one task numbers together
 CACHE = 1_500_000  # atoms of text whose ids a task keeps, the first it meets
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-CHUNK = 4 << 20  # bytes of text that are cut into atoms together
+CHUNK = 1 << 20  # bytes of text that are cut into atoms together; the arrays of a pass take some 50 times as many
 JOINED = 512  # atoms that the tokenizer gets in one string, a line each
 
 # A blank before something else than white space always starts a new word of the tokenizer, whatever stands before the
