@@ -195,6 +195,65 @@ def test_vector_sums(spark):
     assert got["dim", 1] == (150, -float(sum(i % 7 + 1 for i in range(150))), 150.0)
 
 
+def test_letters_to_bases():
+    """Letters of any case become bases, everything else drops out, bytes of other scripts too; null stays null."""
+    import pyarrow as pa
+
+    from seqloom.sources.standins import _letters_to_bases
+
+    texts = ["", "A-b 1", None, "\u00e9", "zZ", "", "n\u65e5x", " "]
+    want = [None if t is None else "".join("ACGT"[(ord(c.lower()) - 97) % 4] for c in t if c.isascii() and c.isalpha()) for t in texts]
+    assert _letters_to_bases(pa.array(texts)).to_pylist() == want == ["", "AC", None, "", "CC", "", "CT", ""]
+    assert _letters_to_bases(pa.array(texts)[1:5]).to_pylist() == want[1:5]
+
+
+def test_tables_of_all_counts():
+    """Windows over two rows or other letters are not counted; rows longer than a slice are counted in pieces."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ACGTN"), n, p=[0.23, 0.23, 0.23, 0.23, 0.08])) for n in (5, 0, 300, 2, 1, 90, 1000, 0, 3)] + ["", "NNNN", "ACGTACGT", ""]
+    sizes = K.SLICE, K.TABLE_BASES
+    for ks in ((3, 5), (1, 2, 4)):
+        for K.SLICE, K.TABLE_BASES in (sizes, (128, 64), (1 << 10, 256)):
+            try:
+                got = {}
+                for first, tables in K.count_tables(pa.array([*texts, None])[1:], ks):
+                    assert [t.shape[1] for t in tables] == [4**k for k in ks]
+                    got |= {first + i + 1: row for i, row in enumerate(np.concatenate(tables, axis=1))}
+            finally:
+                K.SLICE, K.TABLE_BASES = sizes
+            assert sorted(got) == list(range(1, len(texts) + 1))
+            for i, t in enumerate([*texts, ""]):
+                assert i == 0 or {j: n for j, n in enumerate(got[i].tolist()) if n} == dict(brute(t, ks))
+
+
+def test_moments_of_tables(spark, seqs):
+    rows = seqs.filter(F.length("sequence") >= 7).withColumns({"extra": F.array(F.lit(2.0), F.col("row_id").cast("double"))})
+    features = E.baseline_features(rows).select(
+        "row_id", F.concat("idx", F.array(F.lit(21825), F.lit(21826))).alias("idx"), F.concat("val", F.array(F.lit(2.0), F.col("row_id").cast("double"))).alias("val")
+    )
+    want = {r.idx: (r.mean, r.sd) for r in E.baseline_stats(features).collect()}
+    got = {r.idx: (r.mean, r.sd) for r in E.table_stats(rows.select("row_id", "sequence", "extra").repartition(2), E.BASELINE_KMERS).collect()}
+    assert sorted(got) == sorted(want) and got[21825] == (2.0, 1.0)
+    np.testing.assert_allclose([got[i] for i in sorted(got)], [want[i] for i in sorted(want)], rtol=1e-9, atol=1e-12)
+
+
+def test_vectors_are_taken_where_they_are_made(spark):
+    """With `then` the vectors do not leave the task; the result is that of the vectors sent."""
+    from seqloom.queries.embedding import SUMS, embed_kmer_dataset_whole, sums_of, vector_sums
+
+    texts = ["ACGTAC", "", "GGGG", None, "ATATAT", "TTTACGGGCATTAGCA"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, sequence string")
+    sent = vector_sums(E.embed_kmer_dataset(df.filter("sequence <> ''"))).groupBy("kind", "id")
+    taken = E.embed_kmer_dataset(df, skip_empty=True, then=(sums_of, SUMS)).groupBy("kind", "id")
+    want, got = [{(r.kind, r.id): r[2:] for r in g.sum("n", "weighted", "squares").collect()} for g in (sent, taken)]
+    assert sorted(got) == sorted(want) and [i for kind, i in sorted(got) if kind == "row"] == [0, 2, 4, 5]
+    np.testing.assert_allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(want)], atol=1e-6)
+    plan = embed_kmer_dataset_whole(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") == 1
+
+
 def test_windows_of_uneven_tracks(spark):
     df = spark.createDataFrame([(1, "ACGTACGT", [1, 0, 0]), (2, "ACG", [0] * 9), (3, "", [])], "row_id long, sequence string, cds array<tinyint>")
     got = [(r.row_id, r.chunk, r.piece, r.cds) for r in E.chunk_cds_aware(df, 4).orderBy("row_id", "chunk").collect()]
